@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import quality
+import public_tokenizers
+
+from brindle.llm import bpe, mixing, quality, url_rules, warc
+from brindle.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +19,63 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.digests(bpe.encode(docs, path).drop("text"), path)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_ids(_table(spark, sf_dir, "documents"))
     base = [f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *base, "base_failed", "kept", "p_good")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    archives = scratch.path("archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), archives)
+    records = scratch.save(warc.read_records(spark, archives, payloads=False), "records")
+    captures = warc.assemble(records)
+    return captures.select(
+        F.expr("try_cast(metadata['key'] as bigint)").alias("page_id"),
+        F.coalesce("response.payload_bytes", "origin.bytes").alias("payload_bytes"),
+        F.coalesce("response.payload_digest", "origin.digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.expr("try_cast(origin.fields['key'] as bigint)").alias("refers_to"),
+        "digest_fits",
+    )
+
+
+#: The rules that the contract names, as (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op6_warc": op6_warc,
+    "op7_url_filters": op7_url_filters,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
