@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from brindle.llm import bpe, mixing, quality, url_rules, warc
+from brindle.llm import bpe, mixing, pii, quality, url_rules, warc
 from brindle.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_ids(_table(spark, sf_dir, "documents"))
+    base = lambda kind: F.size(F.filter("_spans", lambda x: (x["kind"] == kind) & x["base"])).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[base(k) for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("_spans"), True).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("_spans"), False).alias("spans"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_warc": op6_warc,
