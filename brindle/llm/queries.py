@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from brindle.llm import bpe, mixing, pii, quality, url_rules, warc
+from brindle.llm import bpe, mixing, near_dedup, pii, quality, url_rules, warc
 from brindle.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_ids(_table(spark, sf_dir, "documents"))
     base = lambda kind: F.size(F.filter("_spans", lambda x: (x["kind"] == kind) & x["base"])).cast("long").alias(f"n_{kind}")
@@ -82,6 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
