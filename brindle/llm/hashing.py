@@ -14,6 +14,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and ASCII punctuation, for words without what stands at their ends.
+BREAKS = _SPACE.copy()
+BREAKS[33:48] = BREAKS[58:65] = BREAKS[91:97] = BREAKS[123:127] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS = np.ones(1, np.uint64)
 
@@ -52,10 +55,10 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return sums * powers(n)
 
 
-def words(buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buffer: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, start) of each lower-cased word of the texts buffer[bounds[i]:bounds[i + 1]]."""
     low = _LOWER[buffer]
-    inside = ~_SPACE[low]
+    inside = ~breaks[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from brindle.llm import bpe, mixing, near_dedup, pii, quality, url_rules, warc
+from brindle.llm import bpe, mixing, near_dedup, pii, quality, toxicity, url_rules, warc
 from brindle.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,13 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.score(docs, trained, keep=["doc_id"]).select("doc_id", held_out, "score", "predicted")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs)
@@ -92,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_warc": op6_warc,
     "op7_url_filters": op7_url_filters,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
