@@ -11,24 +11,29 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the split that the public byte-level vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same split for texts of Latin-1 letters alone, in which the classes are short lists.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN_SPLIT = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Encoded words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 400_000
 #: Up to this many bytes a word's pairs are scanned, beyond it they are kept in a heap.
 SHORT = 40
 UNRANKED = 1 << 60
 #: Characters of text that are encoded at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,7 +73,7 @@ class ByteBPE:
             self.prefixes[token] = i
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.forget()
         self.tried = np.empty(0, np.int64)  # pairs, in order
         self.fits = np.empty(0, bool)
 
@@ -138,6 +143,11 @@ class ByteBPE:
             self.tried, self.fits = tried[order], np.concatenate([self.fits, np.array(fits, bool)])[order]
         return self.fits[np.searchsorted(self.tried, wanted)][place]
 
+    def forget(self) -> None:
+        #: A word's number; the ids of word k are known[first[k]:first[k] + count[k]].
+        self.words: dict[str, int] = {}
+        self.known, self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
     def learn(self, words: list[str]) -> None:
         """Encodes words that aren't known yet."""
         raw = [w.encode() for w in words]
@@ -148,19 +158,45 @@ class ByteBPE:
         size = len(self.token_bytes)
         failing = np.zeros(len(guess), bool)
         failing[owner[1:][inside][~self.pairs_fit((ids[:-1] * size + ids[1:])[inside])]] = True
-        for i, w in enumerate(words):
-            alone = len(guess[i]) == 1 and len(raw[i]) > 1
-            self.words[w] = tuple(self.merged(raw[i]) if failing[i] or alone else guess[i])
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        cut = [[(p, None) for p in [t]] if self.at_special is None else list(self._around_specials(t)) for t in texts]
-        pieces = [[self.split.findall(p) if i is None else i for p, i in parts] for parts in cut]
-        wanted = set(chain.from_iterable(p for parts in pieces for p in parts if not isinstance(p, int)))
+        for i in range(len(words)):
+            if failing[i] or len(guess[i]) == 1 < len(raw[i]):
+                guess[i] = self.merged(raw[i])
+        count = np.fromiter(map(len, guess), np.int64, len(guess))
+        self.first = np.concatenate([self.first, len(self.known) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.known = np.concatenate([self.known, np.fromiter(chain.from_iterable(guess), np.int32, int(count.sum()))])
+        at = len(self.words)
+        self.words.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def pieces_of(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+            return LATIN_SPLIT.findall(text)
+        except UnicodeEncodeError:
+            return self.split.findall(text)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many of them each text has."""
+        pieces = [[w for part, i in self._around_specials(t) for w in ([part] if i is not None else self.pieces_of(part))] if self._has_special(t) else self.pieces_of(t) for t in texts]
+        wanted = set(chain.from_iterable(pieces))
         if len(self.words) + len(wanted) > KEPT_WORDS:
-            self.words.clear()
-        self.learn([w for w in wanted if w not in self.words])
-        get = self.words.__getitem__
-        return [list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in parts)) for parts in pieces]
+            self.forget()
+        self.learn([w for w in wanted if w not in self.words and w not in self.special])
+        for w in wanted & self.special.keys():
+            if w not in self.words:  # no piece of ordinary text is a special token's string
+                self.first, self.count = np.append(self.first, len(self.known)), np.append(self.count, 1)
+                self.known = np.append(self.known, np.int32(self.special[w]))
+                self.words[w] = len(self.words)
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        word = np.fromiter(map(self.words.__getitem__, chain.from_iterable(pieces)), np.int64, int(n.sum()))
+        count = self.count[word]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.known[np.repeat(self.first[word] - total[:-1], count) + np.arange(total[-1])]
+        ends = total[np.cumsum(n)]
+        return ids, np.diff(ends, prepend=0)
+
+    def _has_special(self, text: str) -> bool:
+        return self.at_special is not None and self.at_special.search(text) is not None
 
     def _around_specials(self, text: str) -> Iterator[tuple[str, int | None]]:
         at = 0
@@ -179,17 +215,15 @@ def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in their order, in runs of about AT_ONCE characters."""
-    run, chars = [], 0
-    for t in texts:
-        run.append(t)
-        chars += len(t)
-        if chars >= AT_ONCE:
-            yield run
-            run, chars = [], 0
-    if run:
-        yield run
+def _runs(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in their order, null as empty, in runs of about AT_ONCE characters."""
+    sizes = pa.compute.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    runs = np.cumsum(sizes) // AT_ONCE
+    start = 0
+    while start < len(texts):
+        stop = int(np.searchsorted(runs, runs[start], side="right"))
+        yield [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def encoded(text: Column, path: str) -> Column:
@@ -199,13 +233,11 @@ def encoded(text: Column, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(path)
         for batch in batches:
-            sizes, values = [0], []
-            for run in _runs([t or "" for t in batch.to_pylist()]):
-                for ids in bpe.encode_batch(run):
-                    sizes.append(sizes[-1] + len(ids))
-                    values.append(np.array(ids, np.int32))
-            flat = np.concatenate(values) if values else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+            found = [bpe.encode_batch(run) for run in _runs(batch)]
+            counts = np.concatenate([c for _, c in found]) if found else np.empty(0, np.int64)
+            flat = np.concatenate([i for i, _ in found]) if found else np.empty(0, np.int32)
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
     return encode(text)
 
@@ -217,8 +249,8 @@ def decoded(ids: Column, path: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(path)
         for batch in batches:
-            flat, ends = batch.values.to_numpy(zero_copy_only=False).tolist(), batch.offsets.to_pylist()
-            yield pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
+            yield pa.array([bpe.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
     return decode(ids)
 
