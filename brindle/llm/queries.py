@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from brindle.llm import bpe, mixing, near_dedup, pii, quality, toxicity, url_rules, warc
+from brindle.llm import ann, bpe, mixing, near_dedup, pii, quality, toxicity, url_rules, warc
 from brindle.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept", "p_good")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     archives = scratch.path("archives")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_nearest": op5_nearest,
     "op6_warc": op6_warc,
     "op7_url_filters": op7_url_filters,
     "op9_toxicity": op9_toxicity,
