@@ -32,6 +32,10 @@ BAND = 4
 #: Estimates are trusted from so many shingles on, and so far (over 4 standard deviations).
 TRUST_FROM = 64
 MARGIN = 0.2
+#: Blocks of the block joins, and shingles that their matrices hold at once.
+OPEN_BLOCK = 256
+FULL_BLOCK = 1024
+CODES = 8192
 
 _WALK = np.random.default_rng(20240101).integers(0, REGISTERS, (REGISTERS, 4096))
 
@@ -141,6 +145,56 @@ def similarity(width: int):
     return exact
 
 
+def forest(width: int, percent: int):
+    """A function of one pair of blocks, rows of (rep, label, left, text): links between left and
+    other rows of different labels, as many as it takes to join what they join."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        rep, label = rows["rep"].to_numpy(), rows["label"].to_numpy()
+        left = rows["left"].to_numpy(zero_copy_only=False).astype(bool)
+        n, parts = len(rep), [(t + first, h) for first, _, t, h in shingle_sets(rows["text"], width)]
+        t, h = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        size = np.bincount(t, minlength=n)
+        row, column = np.flatnonzero(left), np.flatnonzero(~left)
+        place = np.empty(n, np.int64)
+        place[row], place[column] = np.arange(len(row)), np.arange(len(column))
+        # Counts of shared shingles, as products of 0/1 matrices over the shingles that both sides have.
+        shared = np.intersect1d(h[left[t]], h[~left[t]])
+        code = np.searchsorted(shared, h)
+        hit = (code < len(shared)) & (shared[np.minimum(code, max(len(shared) - 1, 0))] == h if len(shared) else False)
+        t, code = t[hit], code[hit]
+        order = np.argsort(code, kind="stable")
+        t, code = t[order], code[order]
+        both = np.zeros((len(row), len(column)), np.float32)
+        for start in range(0, len(shared), CODES):
+            a, b = np.searchsorted(code, (start, start + CODES))
+            who, what = t[a:b], code[a:b] - start
+            x, y = np.zeros((len(row), CODES), np.float32), np.zeros((len(column), CODES), np.float32)
+            side = left[who]
+            x[place[who[side]], what[side]] = 1
+            y[place[who[~side]], what[~side]] = 1
+            both += x @ y.T
+        either = size[row][:, None] + size[column][None] - both
+        i, j = np.nonzero((both * 100 >= either * percent) & (label[row][:, None] != label[column][None]))
+        root = {x: x for x in label.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for u, v in zip(row[i].tolist(), column[j].tolist(), strict=True):
+            p, q = top(int(label[u])), top(int(label[v]))
+            if p != q:
+                root[p] = q
+                found.append((rep[u], rep[v]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return work
+
+
 def _bands(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.substring(sig, 2 * BAND * i + 1, 2 * BAND), F.lit(i)) for i in range(REGISTERS // BAND)])
 
@@ -175,11 +229,13 @@ class NearDuplicates:
         # A repeated doc_id can stand for several sets: a pair counts by its best.
         return met.select("a", "b", j.alias("j"), ratio.alias("ratio")).groupBy("a", "b").agg(F.max("j").alias("j"), F.max("ratio").alias("ratio"))
 
+    def texts_of(self, reps: DataFrame) -> DataFrame:
+        texts = self.docs.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text"))
+        return self.scratch.save(texts.join(reps.distinct(), "rep", "left_semi").distinct(), "texts")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose whole texts link."""
-        texts = self.docs.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        held = self.scratch.save(texts.join(wanted, "rep").distinct(), "texts")
+        held = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
         side = lambda c: held.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
         met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
         seen = met.select("a", "b", similarity(self.width)("text_a", "text_b").alias("s"))
@@ -203,40 +259,56 @@ class NearDuplicates:
         parts = components(links, self.scratch)
         rest = self.rest(stars, tried, parts)
         if rest is not None:
-            more = self.verified(rest)
-            if not more.isEmpty():
-                parts = components(links.unionByName(more), self.scratch)
+            if not rest.isEmpty():
+                parts = components(links.unionByName(rest), self.scratch)
         met = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         own = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
         return met.select("doc_id", "n", own.alias("component"))
 
     def rest(self, stars: DataFrame, tried: DataFrame, parts: DataFrame) -> DataFrame | None:
-        """Pairs that the pivots leave open: in one bucket, of different components, at distances
-        from the pivot that differ by no more than a link's distance and the estimates' error."""
+        """Links that the pivots left open.
+
+        Sets that miss their pivot by little are held against the pivot's whole component and each
+        other; sets that miss it by far, against the others of their bucket that miss it. What lies
+        between is ruled out by distance. Both are block joins: a task gets two blocks of whole
+        texts and returns a spanning forest of their links, so nothing grows with pairs.
+        """
         label = parts.withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
-        known = stars.join(tried.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "j"), ["rep", "pivot"])
         to_pivot = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_label"))
-        placed = known.filter("size > 2").join(label, "rep", "left").join(to_pivot, "pivot", "left").select(
-            "band", "rep", "j", F.coalesce("label", "rep").alias("label"), F.coalesce("pivot_label", "pivot").alias("pivot_label")
+        known = stars.filter("size > 2").join(tried.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "j"), ["rep", "pivot"])
+        placed = known.join(label, "rep", "left").join(to_pivot, "pivot", "left").select(
+            "band", "rep", "pivot", "j", F.coalesce("label", "rep").alias("label"), F.coalesce("pivot_label", "pivot").alias("pivot_label")
         )
         placed = self.scratch.save(placed, "placed")
-        apart = placed.filter("label != pivot_label")
-        if apart.isEmpty():
+        least = self.percent / 100
+        close = F.col("j") >= least - (1 - least) - MARGIN
+        missing = placed.filter("label != pivot_label")
+        near = missing.filter(close).select(F.col("pivot_label").alias("family"), "rep", "label").distinct()
+        own = placed.filter("label = pivot_label").select(F.col("pivot_label").alias("family"), "rep", "label")
+        own = own.unionByName(placed.select(F.col("pivot_label").alias("family"), F.col("pivot").alias("rep"), F.col("pivot_label").alias("label"))).distinct()
+        own = own.join(near.select("family").distinct(), "family", "left_semi")
+        members = near.withColumn("open", F.lit(True)).unionByName(own.withColumn("open", F.lit(False)))
+        # The same for buckets in which several components miss the pivot.
+        loose = placed.filter(F.col("j") < least + MARGIN / 2).select(F.col("band").alias("family"), "rep", "label", (~close & (F.col("label") != F.col("pivot_label"))).alias("open"))
+        mixed = loose.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("o")).filter("x != y and o").select("family")
+        members = members.unionByName(loose.join(mixed, "family", "left_semi"))
+        members = self.scratch.save(members, "families")
+        if members.isEmpty():
             return None
-        gap = 1 - self.percent / 100 + MARGIN
-        side = lambda df, c: df.select("band", F.col("rep").alias(c), F.col("j").alias(f"j_{c}"), F.col("label").alias(f"l_{c}"))
-        # Two sets that both miss the pivot, and a set that misses it closely with one that meets it.
-        near = apart.filter(F.col("j") >= self.percent / 100 - gap)
-        meets = placed.filter("label = pivot_label").join(near.select("band").distinct(), "band", "left_semi")
-        open_ = (
-            side(apart, "a").join(side(apart, "b"), "band").filter("a < b")
-            .unionByName(side(near, "a").join(side(meets, "b"), "band"))
-            .filter((F.col("l_a") != F.col("l_b")) & (F.abs(F.col("j_a") - F.col("j_b")) <= gap))
-        )
-        pairs = open_.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        est = self.estimates(pairs).filter(F.col("ratio") & (F.col("j") >= self.percent / 100 - MARGIN))
-        return self.scratch.save(est, "open")
+        sizes = members.groupBy("family").agg(
+            F.ceil(F.sum(F.col("open").cast("int")) / OPEN_BLOCK).alias("rows"), F.ceil(F.count("*") / FULL_BLOCK).alias("columns")
+        )
+        dealt = members.join(sizes, "family")
+        at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+        other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1).cast("array<bigint>"))
+        left = dealt.filter("open").select("family", at("rows").alias("r"), other("columns").alias("c"), "rep", "label", F.lit(True).alias("left"))
+        right = dealt.select("family", other("rows").alias("r"), at("columns").alias("c"), "rep", "label", F.lit(False).alias("left"))
+        texts = self.texts_of(members.select("rep"))
+        blocks = left.unionByName(right).join(texts, "rep")
+        found = blocks.groupBy("family", "r", "c").applyInArrow(forest(self.width, self.percent), "a long, b long")
+        links = self.scratch.save(found.distinct(), "rest")
+        self.scratch.drop(texts, placed, members)
+        return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
