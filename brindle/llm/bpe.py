@@ -9,6 +9,7 @@ table of pairs that have been tried, and only words with a failing pair are merg
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import re
@@ -28,7 +29,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_SPLIT = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Encoded words that a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Up to this many bytes a word's pairs are scanned, beyond it they are kept in a heap.
 SHORT = 40
 UNRANKED = 1 << 60
@@ -43,6 +44,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def token_table(spec: dict) -> list[bytes]:
+    letters, vocab = byte_letters(), spec["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    out = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for token, i in vocab.items():
+        out[i] = bytes(letters[c] for c in token)
+    for content, i in special.items():
+        out[i] = content.encode()
+    return out
+
+
 class ByteBPE:
     """A vocabulary file of the tokenizers library, of kind byte-level BPE."""
 
@@ -50,15 +62,9 @@ class ByteBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        to_bytes = lambda token: bytes(letters[c] for c in token)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        size = 1 + max([*vocab.values(), *self.special.values()])
-        self.token_bytes = [b""] * size
-        for token, i in vocab.items():
-            self.token_bytes[i] = to_bytes(token)
-        for content, i in self.special.items():
-            self.token_bytes[i] = content.encode()
+        self.token_bytes = token_table(spec)
         self.byte_ids = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -207,7 +213,11 @@ class ByteBPE:
         yield text[at:], None
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return text_of(self.token_bytes, ids)
+
+
+def text_of(token_bytes: list[bytes], ids: Iterable[int]) -> str:
+    return b"".join(map(token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -215,6 +225,13 @@ def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+@functools.lru_cache(maxsize=2)
+def tokens(path: str) -> list[bytes]:
+    """The bytes of each token: all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        return token_table(json.load(f))
+
+
 def _runs(texts: pa.Array) -> Iterator[list[str]]:
     """Texts in their order, null as empty, in runs of about AT_ONCE characters."""
     sizes = pa.compute.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
@@ -242,19 +259,39 @@ def encoded(text: Column, path: str) -> Column:
     return encode(text)
 
 
+def _rows(batch: pa.Array) -> Iterator[list[int]]:
+    flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
+    return (flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
+
+
 def decoded(ids: Column, path: str) -> Column:
     """The text of token ids; bytes that are no UTF-8 become U+FFFD, a null array an empty text."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = vocabulary(path)
+        table = tokens(path)
         for batch in batches:
-            flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
-            yield pa.array([bpe.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            yield pa.array([text_of(table, row) for row in _rows(batch)], pa.string())
 
     return decode(ids)
 
 
+def digested(ids: Column, path: str) -> Column:
+    """SHA-256 of the decimal ids, comma-joined, and of the text that the ids decode to."""
+
+    @F.arrow_udf("struct<ids:string,decoded:string>")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = tokens(path)
+        decimal = [str(i) for i in range(len(table))]
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for batch in batches:
+            both = [(sha(",".join(map(decimal.__getitem__, row))), sha(text_of(table, row))) for row in _rows(batch)]
+            columns = [pa.array([x[i] for x in both], pa.string()) for i in (0, 1)]
+            yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+
+    return digest(ids)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the column `ids`. Narrow: no shuffle, each row by itself, repeated rows alike."""
     return docs.withColumn(ids, encoded(F.col(text), path))
@@ -267,11 +304,5 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 def digests(encoded_docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256; drops the ids."""
-    joined = F.array_join(F.col(ids).cast("array<string>"), ",")
-    out = decode(encoded_docs, path, ids, "_decoded")
-    return (
-        out.withColumn("n_tokens", F.size(ids).cast("long"))
-        .withColumn("ids_sha256", F.sha2(joined.cast("binary"), 256))
-        .withColumn("decoded_sha256", F.sha2(F.col("_decoded").cast("binary"), 256))
-        .drop(ids, "_decoded")
-    )
+    out = encoded_docs.withColumn("n_tokens", F.size(ids).cast("long")).withColumn("_d", digested(F.col(ids), path))
+    return out.withColumns({"ids_sha256": F.col("_d.ids"), "decoded_sha256": F.col("_d.decoded")}).drop(ids, "_d")
