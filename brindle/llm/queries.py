@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from brindle.llm import ann, bpe, mixing, near_dedup, pii, quality, toxicity, url_rules, warc
+from brindle.llm import ann, bpe, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, url_rules, warc
 from brindle.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     trained = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -105,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op5_nearest": op5_nearest,
     "op6_warc": op6_warc,
     "op7_url_filters": op7_url_filters,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }

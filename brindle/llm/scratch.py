@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import sys
 import tempfile
@@ -57,6 +58,11 @@ class Scratch:
         for df in frames:
             self._delete(df._scratch_path)
 
+    def collect_garbage(self) -> None:
+        """Lets Spark's cleaner find shuffles that nothing refers to any more, and delete their files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop_all(self) -> None:
         try:
             self._delete(self.base)

@@ -6,9 +6,11 @@ columns of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import quality
+from brindle.llm import bpe, mixing, near_dedup, pii, quality
 from brindle.llm.scratch import Scratch
 
 
@@ -17,8 +19,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays."""
+    return near_dedup.keep_first(docs, width=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are masked by their kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out, kept or repeated so that each source meets its budget of words."""
+    return mixing.sample(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become token ids; round_trip tells that decoding them gives the text again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(docs, path), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: No DuckDB SQL expresses all stages; tests/llm holds the stages against brute force.
