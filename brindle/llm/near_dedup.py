@@ -230,18 +230,16 @@ class NearDuplicates:
         return met.select("a", "b", j.alias("j"), ratio.alias("ratio")).groupBy("a", "b").agg(F.max("j").alias("j"), F.max("ratio").alias("ratio"))
 
     def texts_of(self, reps: DataFrame) -> DataFrame:
+        """(rep, text) of the documents that may link; a shuffle by id at any size, once for the whole run."""
         texts = self.docs.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text"))
-        return self.scratch.save(texts.join(reps.distinct(), "rep", "left_semi").distinct(), "texts")
+        return self.scratch.save(texts.join(reps.distinct().hint("merge"), "rep", "left_semi").distinct(), "texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose whole texts link."""
-        held = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
-        side = lambda c: held.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
+        side = lambda c: self.texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
         met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
         seen = met.select("a", "b", similarity(self.width)("text_a", "text_b").alias("s"))
-        links = self.scratch.save(seen.filter(F.col("s.both") * 100 >= F.col("s.either") * self.percent).select("a", "b").distinct(), "verified")
-        self.scratch.drop(held)
-        return links
+        return self.scratch.save(seen.filter(F.col("s.both") * 100 >= F.col("s.either") * self.percent).select("a", "b").distinct(), "verified")
 
     def run(self) -> DataFrame:
         """(doc_id, n, component) of every document."""
@@ -251,6 +249,8 @@ class NearDuplicates:
         stars = self.scratch.save(rows.join(pivots, "band").filter("rep != pivot"), "stars")
         likely = self.percent / 100 - MARGIN
         tried = self.scratch.save(self.estimates(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()), "tried")
+        self.texts = self.texts_of(tried.select(F.explode(F.array("a", "b")).alias("rep")))
+        self.scratch.collect_garbage()
         links = self.verified(tried.filter(F.col("ratio") & (F.col("j") >= likely)))
         # One doc_id on several rows may have several sets; they are one node.
         several = members.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b")
@@ -303,11 +303,10 @@ class NearDuplicates:
         other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1).cast("array<bigint>"))
         left = dealt.filter("open").select("family", at("rows").alias("r"), other("columns").alias("c"), "rep", "label", F.lit(True).alias("left"))
         right = dealt.select("family", other("rows").alias("r"), at("columns").alias("c"), "rep", "label", F.lit(False).alias("left"))
-        texts = self.texts_of(members.select("rep"))
-        blocks = left.unionByName(right).join(texts, "rep")
+        blocks = left.unionByName(right).join(self.texts, "rep")
         found = blocks.groupBy("family", "r", "c").applyInArrow(forest(self.width, self.percent), "a long, b long")
         links = self.scratch.save(found.distinct(), "rest")
-        self.scratch.drop(texts, placed, members)
+        self.scratch.drop(placed, members)
         return links
 
 
