@@ -175,15 +175,15 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `_q`, p_good, base_failed and kept.
 
     Null and empty texts have no words and fail the base rule. Repeated rows are judged alike,
-    extra columns pass through, an empty table gives an empty result. Texts are read twice,
-    once for the counts and once for the verdicts, rather than shuffled or stored.
+    extra columns pass through, an empty table gives an empty result. Texts are read once: the
+    statistics are written beside the columns of docs, so give only those that are needed.
     """
-    stats = with_statistics(docs, text)
+    stats = Scratch(docs.sparkSession, "quality").save(with_statistics(docs, text), "stats")
     return with_posterior(stats, fit_reliabilities(vote_counts(stats)))
 
 
 def judge_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As judge(), with only the key beside the verdicts: texts are read once, statistics stored."""
+    """As judge(), with only the key beside the verdicts."""
     stats = Scratch(docs.sparkSession, "quality").save(with_statistics(docs.select(key, text), text).drop(text), "stats")
     return with_posterior(stats, fit_reliabilities(vote_counts(stats)))
 
