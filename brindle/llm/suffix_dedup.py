@@ -29,6 +29,8 @@ SIDE = LENGTH - SEED  # bytes to the left of an anchor that a string over it can
 AROUND = SIDE + LENGTH
 #: Input bytes for each group of anchors that meet in one task.
 GROUP_BYTES = 16_000_000
+#: Fewest such groups, so that a document's anchors are spread alike over small inputs and larger ones.
+LEAST_GROUPS = 64
 #: Anchors with bytes that are sorted at once; an anchor that more documents have is a piece of its own.
 SORT_ROWS = 20_000
 
@@ -361,7 +363,7 @@ def removable(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     scratch = Scratch(spark, "suffix")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(8, -(-total // GROUP_BYTES))
+    groups = max(LEAST_GROUPS, -(-total // GROUP_BYTES))
     met = rows.mapInArrow(anchor_rows(groups), "grp long, blob binary").groupBy("grp").applyInArrow(meet, "doc_id long, stamp long, at binary, sure binary")
     shared = scratch.save(met, "shared")
     scratch.collect_garbage()
