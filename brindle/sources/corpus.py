@@ -133,7 +133,7 @@ FROM (SELECT doc_id AS id, {list(EXTENSIONS)}[CAST(doc_id % 8 + 1 AS INT)] AS ex
   CASE doc_id % 20 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'SKIPPED' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'NAME_ONLY' ELSE 'INDEXED' END AS status,
   CASE WHEN doc_id % 4 = 0 THEN doc_id % 3 + 1 END AS volume_id, lang, source, text FROM documents)"""
 
-_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 #: The same entities in DuckDB SQL.
 SQL_VIEWS = {
