@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.scratch import bound_batches
+
 #: Fixed value: the split that the public byte-level vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same split for texts of Latin-1 letters alone, in which the classes are short lists.
@@ -294,6 +296,7 @@ def digested(ids: Column, path: str) -> Column:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the column `ids`. Narrow: no shuffle, each row by itself, repeated rows alike."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(ids, encoded(F.col(text), path))
 
 

@@ -117,7 +117,7 @@ def fit_reliabilities(patterns: Sequence[tuple[Sequence[int], int]], rounds: int
     Returns the prior log odds of good and, for each rule, the log odds that a bad and a good
     vote add. Rates stay inside (0.001, 0.999), and a rule's bad votes never count for good.
     """
-    width = max((len(p) for p, _ in patterns), default=0)
+    width = len(rule_votes())
     clip = lambda x: min(0.999, max(0.001, x))
     prior, on_bad, on_good = 0.9, [0.5] * width, [0.02] * width
     for _ in range(rounds):

@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Keeps Arrow batches to so many rows, for functions whose results are much larger than their input."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Tables that one operator call writes to cut its lineage.
 
