@@ -62,14 +62,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, percent
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come nearest to `budget`.
 
-    Every length first gives the same share, rounded down. Long documents then draw the leftover
+    Every length first gives the same share of all but the table's part, rounded down. Long documents then draw the leftover
     down, one of each length at most in a round, to TABLE_WORDS; a table of reachable sums, one
     bit a word, fits the rest exactly, with counts split into powers of two.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    taken = [c * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
+    spread = max(0, budget - TABLE_WORDS // 2)  # what stays gives the table documents to choose from
+    taken = [c * spread // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     order = sorted((i for i, n in enumerate(lengths) if n > 0), key=lambda i: -lengths[i])
     while left > TABLE_WORDS:
