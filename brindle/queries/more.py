@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import changes, graphs
+from brindle.operators import changes, faces, graphs, passages
 from brindle.queries.registry import query
 from brindle.sources.corpus import BASE_NS, DAY_NS, Corpus
 from brindle.streaming import windows
@@ -349,3 +349,77 @@ def rate_drift(c: Corpus):
     old = F.col("mtime_ns") < BASE_NS - 500 * DAY_NS
     counts = c.files.groupBy("source").agg(F.count_if(old).alias("o"), F.count_if(~old).alias("n")).filter("o > 0")
     return counts.select("source", (F.abs(F.col("n") - F.col("o")) / F.col("o") > 0.3).alias("drifted"))
+
+
+# ---- passages, faces, answers
+
+
+@query("chunk_passages", None)
+def chunk_passages(c: Corpus):
+    return passages.chunk(c.table("documents").select("doc_id", "text")).select("doc_id", "ordinal", "start", "end")
+
+
+@query("chunk_lines", "SELECT file_id, ordinal, length(text) AS n FROM chunks")
+def chunk_lines(c: Corpus):
+    return c.chunks.select("file_id", "ordinal", F.length("text").alias("n"))
+
+
+@query("rerank_window", None)
+def rerank_window(c: Corpus):
+    docs = c.table("documents").filter(F.lower("text").contains("license"))
+    return docs.select("doc_id", passages.windows(F.col("text"), ["license", "version"], 600).alias("window"))
+
+
+@query("stemmed_postings", None)
+def stemmed_postings(c: Corpus):
+    words = c.table("documents").filter("lang = 'en'").select("doc_id", passages.stems(T.words(F.col("text"))).alias("stems"))
+    return words.select("doc_id", F.explode("stems").alias("stem")).groupBy("stem").agg(F.countDistinct("doc_id").alias("df"))
+
+
+MEANS = "SELECT label AS pile, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 5 < 3) GROUP BY 1, 2) GROUP BY 1"
+SIM = "list_sum(list_transform(list_zip(f.embedding, p.c), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (sqrt(list_sum(list_transform(f.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(p.c, lambda x: x * x))))"
+
+
+@query("face_piles", f"SELECT face, pile, sim, CASE WHEN sim >= 0.62 THEN 'assigned' WHEN sim >= 0.45 THEN 'suggested' ELSE 'open' END AS outcome FROM (SELECT f.vec_id AS face, p.pile, round({SIM}, 6) AS sim, row_number() OVER (PARTITION BY f.vec_id ORDER BY round({SIM}, 6) DESC, p.pile) AS r FROM embeddings f CROSS JOIN ({MEANS}) p WHERE f.vec_id % 5 >= 3) WHERE r = 1")
+def face_piles(c: Corpus):
+    e = c.table("embeddings")
+    means = e.filter("vec_id % 5 < 3").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    piles = means.groupBy(F.col("label").alias("pile")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    return faces.assign(e.filter("vec_id % 5 >= 3").select(F.col("vec_id").alias("face"), F.col("embedding").alias("v")), piles)
+
+
+@query("answer_support", "SELECT item_id, round(CAST(len(list_intersect(list_distinct(q), list_distinct(w))) AS DOUBLE) / len(list_distinct(q)), 6) AS support FROM (SELECT b.item_id, list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS q, list_filter(regexp_split_to_array(lower(d.text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)".replace("\\\\", "\\"))
+def answer_support(c: Corpus):
+    asked = c.table("benchmark").select(F.col("item_id"), F.array_distinct(T.words(F.col("text"))).alias("q"))
+    cited = c.table("documents").select(F.col("doc_id").alias("item_id"), F.array_distinct(T.words(F.col("text"))).alias("w"))
+    return asked.join(cited, "item_id").select("item_id", F.round(F.size(F.array_intersect("q", "w")) / F.size("q"), 6).alias("support"))
+
+
+@query("amount_grounding", r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{3,}'))) AS amounts FROM documents WHERE regexp_matches(text, '[0-9]{3,}')")
+def amount_grounding(c: Corpus):
+    docs = c.table("documents").filter(F.col("text").rlike("[0-9]{3,}"))
+    return docs.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0)))).alias("amounts"))
+
+
+@query("glossary_substitute", r"SELECT doc_id, length(regexp_replace(text, '(?i)licen[cs]e', 'permission', 'g')) AS n FROM documents")
+def glossary_substitute(c: Corpus):
+    return c.table("documents").select("doc_id", F.length(F.regexp_replace("text", "(?i)licen[cs]e", "permission")).alias("n"))
+
+
+@query("renamed_source", "WITH t AS (SELECT volume_id, list_distinct(list(lang || source)) AS names FROM files WHERE volume_id IS NOT NULL GROUP BY 1) SELECT a.volume_id AS a, b.volume_id AS b, round(CAST(len(list_intersect(a.names, b.names)) AS DOUBLE) / len(list_distinct(list_concat(a.names, b.names))), 6) AS jaccard FROM t a JOIN t b ON a.volume_id < b.volume_id")
+def renamed_source(c: Corpus):
+    # Volumes are few: three rows meet three rows.
+    names = c.files.filter("volume_id is not null").groupBy("volume_id").agg(F.collect_set(F.concat("lang", "source")).alias("names"))
+    other = names.select(F.col("volume_id").alias("b"), F.col("names").alias("m"))
+    met = names.withColumnRenamed("volume_id", "a").join(other, F.col("a") < F.col("b"))
+    return met.select("a", "b", F.round(F.size(F.array_intersect("names", "m")) / F.size(F.array_union("names", "m")), 6).alias("jaccard"))
+
+
+@query("junk_images", "SELECT content_hash, count(*) AS seen FROM files WHERE ext = 'jpg' AND content_hash IS NOT NULL AND size_bytes < 3000 GROUP BY 1")
+def junk_images(c: Corpus):
+    return c.files.filter("ext = 'jpg' and content_hash is not null and size_bytes < 3000").groupBy("content_hash").agg(F.count("*").alias("seen"))
+
+
+@query("stream_sliding", "SELECT epoch(s) AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 day', ts) - INTERVAL '1 day']) AS s FROM events) GROUP BY 1")
+def stream_sliding(c: Corpus):
+    return windows.sliding(windows.timed(c.table("events")), "2 days", "1 day").withColumn("start", F.col("start").cast("double"))
