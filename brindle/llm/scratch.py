@@ -4,23 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def ship_package() -> None:
-    """Send this package's functions to workers by value where they cannot import it by name."""
-    if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        cloudpickle.register_pickle_by_value(sys.modules["brindle"])
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one is made only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
