@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship_package() -> None:
+    """Sends this package's functions to workers by value where they can't import it by name:
+    workers see PYTHONPATH and the folder that the driver was started in."""
+    seen = {os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    if _ROOT not in seen:
+        cloudpickle.register_pickle_by_value(sys.modules["brindle"])
+
 
 def session(app: str = "brindle", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; conf overrides, underscores standing for dots."""
