@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import filters, reports
+from brindle.plans import questions
 from brindle.plans.grammar import parse
 from brindle.queries.registry import query
 from brindle.sources.corpus import BASE_NS, DAY_NS, Corpus
@@ -285,3 +286,13 @@ def read_order(c: Corpus):
 @query("size_words", "SELECT id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f', size_bytes / 1024.0) || ' KB' ELSE printf('%.1f', size_bytes / 1048576.0) || ' MB' END AS words FROM files")
 def size_words(c: Corpus):
     return c.files.select("id", T.size_words(F.col("size_bytes")).alias("words"))
+
+
+@query("question_count", f"SELECT count(*) AS n FROM files WHERE ext = 'pdf' AND status IN ('INDEXED', 'PARTIAL', 'NAME_ONLY') AND {EFFECTIVE} BETWEEN 1640995200000000000 AND 1672531199999999000")
+def question_count(c: Corpus):
+    return questions.answer(c.files, questions.parse_aggregate("How many PDFs in 2022?"), c)
+
+
+@query("question_size", "SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM files WHERE ext IN ('jpg', 'jpeg', 'png', 'gif', 'tiff', 'heic') AND status IN ('INDEXED', 'PARTIAL', 'NAME_ONLY')")
+def question_size(c: Corpus):
+    return questions.answer(c.files, questions.Aggregate("size", questions.NOUNS["photos"]), c)
