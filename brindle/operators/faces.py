@@ -20,8 +20,7 @@ def assign(faces: DataFrame, piles: DataFrame) -> DataFrame:
     faces: (face, v); piles: (pile, c), at most MOST_PILES of them, which is checked before they are
     broadcast. No row is kept for each pair: a face keeps its best pile as it goes.
     """
-    rows = piles.limit(MOST_PILES + 1).collect()
-    if len(rows) > MOST_PILES:
+    if piles.limit(MOST_PILES + 1).count() > MOST_PILES:
         raise ValueError(f"more than {MOST_PILES} piles; index them")
     table = F.broadcast(piles.agg(F.collect_list(F.struct("pile", "c")).alias("all")))
     best = F.array_max(F.transform("all", lambda p: F.struct(F.round(V.cosine(F.col("v"), p["c"]), 6).alias("sim"), (-p["pile"]).alias("neg"))))

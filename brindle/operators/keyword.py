@@ -45,13 +45,13 @@ def top(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
 
 def with_all_terms(rows: DataFrame, searches: DataFrame) -> DataFrame:
     sizes = searches.select("qid", "term").distinct().groupBy("qid").agg(F.count("*").alias("wanted"))
-    return rows.join(F.broadcast(sizes), "qid").filter("matched = wanted").drop("wanted")
+    return rows.join(sizes, "qid").filter("matched = wanted").drop("wanted")
 
 
 def and_first(rows: DataFrame, searches: DataFrame, k: int) -> DataFrame:
     """The k documents of a query with all words if there are so many, otherwise the k best with any."""
     sizes = searches.select("qid", "term").distinct().groupBy("qid").agg(F.count("*").alias("wanted"))
-    marked = rows.join(F.broadcast(sizes), "qid").withColumn("every", F.col("matched") == F.col("wanted"))
+    marked = rows.join(sizes, "qid").withColumn("every", F.col("matched") == F.col("wanted"))
     full = marked.groupBy("qid").agg((F.count_if("every") >= k).alias("full"))
     return top(marked.join(full, "qid").filter(~F.col("full") | F.col("every")).select("qid", "doc_id", "score"), k)
 

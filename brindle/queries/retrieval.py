@@ -208,10 +208,11 @@ def declares_boost(c: Corpus):
     return docs.select("doc_id", ranking.declaration_bonus(F.lit(1.0), F.col("text"), "password").alias("score"))
 
 
-@query("fold_copies", "SELECT head, position, older FROM (SELECT coalesce(content_hash, '#' || id) AS g, max_by(id, (mtime_ns, -id)) AS head, min(rank) AS position, count(*) - 1 AS older FROM (SELECT id, content_hash, mtime_ns, row_number() OVER (ORDER BY size_bytes DESC, id) AS rank FROM files WHERE ext = 'pdf') GROUP BY 1)")
+@query("fold_copies", "SELECT head, position, older FROM (SELECT coalesce(content_hash, '#' || id) AS g, max_by(id, (mtime_ns, -id)) AS head, min(rank) AS position, count(*) - 1 AS older FROM (SELECT id, content_hash, mtime_ns, row_number() OVER (ORDER BY size_bytes DESC, id) AS rank FROM files WHERE ext = 'pdf' QUALIFY rank <= 500) GROUP BY 1)")
 def fold_copies(c: Corpus):
     pdf = c.files.filter("ext = 'pdf'").select("id", "content_hash", "mtime_ns", "size_bytes")
-    return ranking.fold_copies(pdf.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size_bytes"), "id"))))
+    page = pdf.orderBy(F.desc("size_bytes"), "id").limit(500)  # what a result page holds at most
+    return ranking.fold_copies(page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size_bytes"), "id"))))
 
 
 FAMILY = r"regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '')"
@@ -238,9 +239,11 @@ def group_by_document(c: Corpus):
 
 @query("recall_at_k", f"SELECT round(avg(hit), 6) AS recall FROM (SELECT q.qid, max(CASE WHEN t.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END) AS hit FROM (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) q LEFT JOIN ({TOP % (RANKED % SCORES, 10)}) t ON q.qid = t.qid AND q.doc_id = t.doc_id GROUP BY q.qid)")
 def recall_at_k(c: Corpus):
-    # A few hundred passages: their texts are what every document is searched for.
-    passages = F.broadcast(c.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
-    right = c.table("documents").join(passages, F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
+    # The passages are a query set whose size is checked: every document is searched for each.
+    passages = c.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    if passages.limit(vectors.MOST_QUERIES + 1).count() > vectors.MOST_QUERIES:
+        raise ValueError("too many passages to send to every task")
+    right = c.table("documents").join(F.broadcast(passages), F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
     found = bm25_top(c).select("qid", "doc_id", F.lit(1.0).alias("found"))
     hit = right.join(found, ["qid", "doc_id"], "left").groupBy("qid").agg(F.max(F.coalesce("found", F.lit(0.0))).alias("hit"))
     return hit.agg(F.round(F.avg("hit"), 6).alias("recall"))
