@@ -98,11 +98,12 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     at = F.col("_t").contains("@")
     numbers = has(r"[0-9]{3}")
     marked = lambda pattern: F.regexp_replace(F.translate("_t", MARK, "\x02"), pattern, MARK)
-    # Marked and digit-bearing copies are null where the text can hold no match.
+    # Marked and digit-bearing copies are null where the text can hold no match: a base card has at
+    # least 16 digits, a separator at most between two; the wider forms begin with three digits in a row.
     staged = docs.withColumn("_t", t).select(
         "*",
         F.when(at, marked(r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])")).alias("_e"),
-        F.when(numbers, marked(r"(?<=[0-9])[\x20-](?=[0-9])")).alias("_c"),
+        F.when(has(r"(?:[0-9][\x20-]?+){15}[0-9]"), marked(r"(?<=[0-9])[\x20-](?=[0-9])")).alias("_c"),
         F.when(has(r"[0-9]\.[0-9]+\.[0-9]"), F.col("_t")).alias("_i"),
         F.when(F.col("_t").contains("+"), F.col("_t")).alias("_p"),
         F.when(numbers, F.col("_t")).alias("_n"),
