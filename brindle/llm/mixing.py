@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum fitting of word budgets.
 
 Sizes are counted once a document. A source takes all of its documents as often as its target
-holds them whole, and for what remains a subset: documents are counted by exact length, all
-lengths give the same share, and a bounded-knapsack table over the leftover budget picks how
-many more of each length to add. Which documents of a length go in follows a seeded hash.
+holds them whole, and for what remains a subset: documents are counted by exact length, and a
+bounded-knapsack table picks how many of each length to add, over the whole budget or over what
+is left of a large one after all lengths gave the same share. Which documents of a length go in follows a seeded hash.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ WEIGHTS = (3, 1, 2)
 TOTAL_PERCENT = 150
 MOST_TIMES = 2
 SEED = 17
-#: Budgets up to this many words are fitted by the table, larger ones first drawn down to it.
+#: Budgets that the table can't hold whole are drawn down to this many words or to the next document's length.
 TABLE_WORDS = 1 << 17
+#: Bits of all steps of a table that holds a budget whole (32 MB).
+TABLE_BITS = 1 << 28
 #: Parts that the documents of one source and length are ranked in, by hash.
 PARTS = 64
 
@@ -62,29 +64,65 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, percent
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come nearest to `budget`.
 
-    Every length first gives the same share of all but the table's part, rounded down. Long documents then draw the leftover
-    down, one of each length at most in a round, to TABLE_WORDS; a table of reachable sums, one
-    bit a word, fits the rest exactly, with counts split into powers of two.
+    A table of reachable sums, one bit a word, fits the budget exactly where its steps take at most
+    TABLE_BITS. Otherwise every length first gives the same share of all but the table's part,
+    rounded down, long documents draw the leftover down, and the table fits the rest. Where
+    every document that is left is far longer than the leftover, the nearest of one more or none
+    is taken, and one that exceeds the budget is weighed against dropping others for it.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
+    if sum(int(c).bit_length() for c in counts) * (2 * budget + 1) <= TABLE_BITS:
+        return _fitted(lengths, counts, [0] * len(lengths), budget)
+    taken = _drawn(lengths, counts, budget)
+    left = budget - _sum(lengths, taken)
+    if left <= 2 * TABLE_WORDS:
+        return _fitted(lengths, counts, taken, left)
+    # Each document left is longer than left - TABLE_WORDS / 2, so two miss by more than one or none.
+    choices, spare = [taken], [i for i, n in enumerate(lengths) if n > 0 and taken[i] < counts[i]]
+    near = sorted(spare, key=lambda i: abs(lengths[i] - left))[:1] + sorted((i for i in spare if lengths[i] > left), key=lambda i: lengths[i])[:1]
+    for i in near:
+        more = [t + (j == i) for j, t in enumerate(taken)]
+        choices.append(more)
+        over = _sum(lengths, more) - budget
+        if over > 0:
+            out = _drawn(lengths, more, over)
+            rest = over - _sum(lengths, out)
+            if rest <= 2 * TABLE_WORDS:
+                out = _fitted(lengths, more, out, rest)
+            choices.append([m - o for m, o in zip(more, out, strict=True)])
+    return min(choices, key=lambda c: abs(_sum(lengths, c) - budget))
+
+
+def _sum(lengths: Sequence[int], taken: Sequence[int]) -> int:
+    return sum(n * t for n, t in zip(lengths, taken, strict=True))
+
+
+def _drawn(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+    """Counts whose words leave up to TABLE_WORDS of the budget, or as little as documents that fit allow."""
+    total = _sum(lengths, counts)
     spread = max(0, budget - TABLE_WORDS // 2)  # what stays gives the table documents to choose from
     taken = [c * spread // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
-    left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
+    left = budget - _sum(lengths, taken)
     order = sorted((i for i, n in enumerate(lengths) if n > 0), key=lambda i: -lengths[i])
     while left > TABLE_WORDS:
         before = left
-        for i in order:
+        for i in order:  # one of each length at most in a round
             if taken[i] < counts[i] and lengths[i] <= left - TABLE_WORDS // 2:
                 taken[i] += 1
                 left -= lengths[i]
         if left == before:
             break
-    # The nearest sum may lie above the budget by up to half the shortest length.
-    span = min(left, TABLE_WORDS) * 2 + 1
+    return taken
+
+
+def _fitted(lengths: Sequence[int], counts: Sequence[int], taken: Sequence[int], left: int) -> list[int]:
+    """`taken` with more documents whose words come nearest to `left`, by a table of reachable sums with
+    counts split into powers of two. Sums beyond twice `left` are further off than no document."""
+    taken, span = list(taken), 2 * left + 1
     mask, reach, steps = (1 << span) - 1, 1, []
-    for i in reversed(order):  # short ones first: few steps reach most sums
+    for i in sorted((i for i, n in enumerate(lengths) if n > 0), key=lambda i: lengths[i]):  # short ones first: few steps reach most sums
         spare, part = counts[i] - taken[i], 1
         while spare > 0 and lengths[i] * part < span:
             k = min(part, spare)
@@ -95,7 +133,10 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
             spare, part = spare - k, part * 2
         if reach >> left & 1:
             break
-    goal = next(g for d in range(span) for g in (left - d, left + d) if g >= 0 and reach >> g & 1)
+    goal, above = (reach & ((2 << left) - 1)).bit_length() - 1, reach >> left
+    if above:
+        higher = left + (above & -above).bit_length() - 1
+        goal = goal if left - goal <= higher - left else higher
     for i, k, before in reversed(steps):
         if not before >> goal & 1:
             taken[i] += k

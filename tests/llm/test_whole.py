@@ -1,8 +1,9 @@
 """Inputs that a shortcut would miss."""
 
+import itertools
 import random
 
-from brindle.llm import pii
+from brindle.llm import mixing, pii
 from tests.llm import brute
 
 CARD = "4111111111111111"
@@ -24,3 +25,38 @@ def test_cards_in_short_groups(spark):
     assert cards > 60
     masked = pii.redact(spark.createDataFrame([(1, "pay 41 11 11 11 11 11 11 11 now")], "doc_id long, text string")).first()
     assert masked["text"] == "pay <CARD> now"
+
+
+def distance(lengths, taken, budget):
+    return abs(sum(n * t for n, t in zip(lengths, taken, strict=True)) - budget)
+
+
+def test_budgets_of_very_long_documents(monkeypatch):
+    for bits in (mixing.TABLE_BITS, 0):  # by the whole table, and by drawing down
+        monkeypatch.setattr(mixing, "TABLE_BITS", bits)
+        assert [mixing.fit_counts([1_000_000], [1], b) for b in (400_000, 500_000, 600_000)] == [[0], [0], [1]]
+        assert mixing.fit_counts([1_000_000, 10], [1, 1000], 600_000) == [1, 0]
+        assert mixing.fit_counts([300_000, 1_000_000], [1, 1], 700_000) == [0, 1]
+        assert mixing.fit_counts([400_000], [1], 260_000) == [1]  # just below twice the table
+        assert mixing.fit_counts([80_000], [3], 140_000) == [2]
+    r = random.Random(6)
+    for bits in (1 << 28, 0):
+        monkeypatch.setattr(mixing, "TABLE_BITS", bits)
+        for _ in range(300):
+            lengths = sorted(r.sample(range(100_000, 1_500_000), r.randint(1, 3)))
+            counts = [r.randint(1, 2) for _ in lengths]
+            budget = r.randint(0, distance(lengths, counts, 0))
+            best = min(distance(lengths, c, budget) for c in itertools.product(*[range(n + 1) for n in counts]))
+            taken = mixing.fit_counts(lengths, counts, budget)
+            assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
+            assert distance(lengths, taken, budget) == best if bits else distance(lengths, taken, budget) <= max(lengths) / 2
+
+
+def test_mix_of_one_very_long_document(spark):
+    for source_words, taken in ((400_000, 0), (600_000, 1_000_000), (1_400_000, 1_000_000)):
+        text = "w " * 1_000_000
+        # fit() sees the source's size and its target only.
+        histogram = spark.createDataFrame([("1a", 1_000_000, 1)], "_s string, size long, n long")
+        targets = spark.createDataFrame([("1a", 1_000_000, float(source_words))], "_s string, source_size long, target double")
+        row = mixing.take_plan(histogram, targets).first()
+        assert (row["rounds"] + row["extra"]) * len(text) // 2 == taken
