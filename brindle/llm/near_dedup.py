@@ -235,11 +235,12 @@ class NearDuplicates:
         return self.scratch.save(texts.join(reps.distinct().hint("merge"), "rep", "left_semi").distinct(), "texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose whole texts link."""
+        """pairs (a, b) with `linked`, whether their whole texts link."""
         side = lambda c: self.texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
         met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
         seen = met.select("a", "b", similarity(self.width)("text_a", "text_b").alias("s"))
-        return self.scratch.save(seen.filter(F.col("s.both") * 100 >= F.col("s.either") * self.percent).select("a", "b").distinct(), "verified")
+        linked = F.max(F.col("s.both") * 100 >= F.col("s.either") * self.percent).alias("linked")
+        return self.scratch.save(seen.groupBy("a", "b").agg(linked), "verified")
 
     def run(self) -> DataFrame:
         """(doc_id, n, component) of every document."""
@@ -251,13 +252,14 @@ class NearDuplicates:
         tried = self.scratch.save(self.estimates(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()), "tried")
         self.texts = self.texts_of(tried.select(F.explode(F.array("a", "b")).alias("rep")))
         self.scratch.collect_garbage()
-        links = self.verified(tried.filter(F.col("ratio") & (F.col("j") >= likely)))
+        verified = self.verified(tried.filter(F.col("ratio") & (F.col("j") >= likely)))
+        links = verified.filter("linked").select("a", "b")
         # One doc_id on several rows may have several sets; they are one node.
         several = members.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b")
         same = members.join(several.select("doc_id", "a"), "doc_id").filter("rep != a").select("a", F.col("rep").alias("b"))
         links = links.unionByName(same)
         parts = components(links, self.scratch)
-        rest = self.rest(stars, tried, parts)
+        rest = self.rest(stars, tried.join(verified, ["a", "b"], "left"), parts)
         if rest is not None:
             if not rest.isEmpty():
                 parts = components(links.unionByName(rest), self.scratch)
@@ -271,13 +273,14 @@ class NearDuplicates:
         Sets that miss their pivot by little are held against the pivot's whole component and each
         other; sets that miss it by far, against the others of their bucket that miss it. What lies
         between is ruled out by distance. Both are block joins: a task gets two blocks of whole
-        texts and returns a spanning forest of their links, so nothing grows with pairs.
+        texts and returns a spanning forest of their links, so nothing grows with pairs. A pair too
+        small for an estimate counts as close and, if its texts don't link, as far too.
         """
         label = parts.withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
         to_pivot = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_label"))
-        known = stars.filter("size > 2").join(tried.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "j"), ["rep", "pivot"])
+        known = stars.filter("size > 2").join(tried.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "j", "linked"), ["rep", "pivot"])
         placed = known.join(label, "rep", "left").join(to_pivot, "pivot", "left").select(
-            "band", "rep", "pivot", "j", F.coalesce("label", "rep").alias("label"), F.coalesce("pivot_label", "pivot").alias("pivot_label")
+            "band", "rep", "pivot", "j", "linked", F.coalesce("label", "rep").alias("label"), F.coalesce("pivot_label", "pivot").alias("pivot_label")
         )
         placed = self.scratch.save(placed, "placed")
         least = self.percent / 100
@@ -289,7 +292,7 @@ class NearDuplicates:
         own = own.join(near.select("family").distinct(), "family", "left_semi")
         members = near.withColumn("open", F.lit(True)).unionByName(own.withColumn("open", F.lit(False)))
         # The same for buckets in which several components miss the pivot.
-        loose = placed.filter(F.col("j") < least + MARGIN / 2).select(F.col("band").alias("family"), "rep", "label", (~close & (F.col("label") != F.col("pivot_label"))).alias("open"))
+        loose = placed.filter((F.col("j") < least + MARGIN / 2) | ~F.col("linked")).select(F.col("band").alias("family"), "rep", "label", (~close & (F.col("label") != F.col("pivot_label"))).alias("open"))
         mixed = loose.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("o")).filter("x != y and o").select("family")
         members = members.unionByName(loose.join(mixed, "family", "left_semi"))
         members = self.scratch.save(members, "families")

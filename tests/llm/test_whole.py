@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from brindle.llm import mixing, pii
+from brindle.llm import mixing, near_dedup, pii
 from tests.llm import brute
 
 CARD = "4111111111111111"
@@ -60,3 +60,18 @@ def test_mix_of_one_very_long_document(spark):
         targets = spark.createDataFrame([("1a", 1_000_000, float(source_words))], "_s string, source_size long, target double")
         row = mixing.take_plan(histogram, targets).first()
         assert (row["rounds"] + row["extra"]) * len(text) // 2 == taken
+
+
+def test_short_texts_among_many_that_are_loosely_alike(spark):
+    """A pair of 66 and 58 shingles, and in each of their buckets a smaller doc_id that neither links with."""
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(67)]
+    rows = []
+    for i in range(2500):
+        changed = set(r.sample(range(67), 25))
+        rows.append((i, " ".join(f"x{i}_{j}" if j in changed else w for j, w in enumerate(base))))
+    rows += [(10_000, " ".join(base)), (10_001, " ".join(base[:57]) + " y0 y1")]
+    a, b = (brute.shingles(t) for _, t in rows[-2:])
+    assert len(a) >= near_dedup.TRUST_FROM > len(b) and len(a & b) >= 0.8 * len(a | b)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.near_components(rows)
