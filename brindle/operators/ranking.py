@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.llm.scratch import Scratch
 
 RRF_K = 60
 RECENCY_WEIGHT, HALF_LIFE_DAYS = 0.03, 180
@@ -63,6 +64,23 @@ def declaration_bonus(score: Column, text: Column, name: str) -> Column:
     return F.when(hit, score * DECLARATION_WEIGHT).otherwise(score)
 
 
+def positions(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with `rank`, their place in the order over the whole table, counted from 1.
+
+    Rows are dealt to ranges of the order and stored; the driver gets one count a range.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    dealt = Scratch(spark, "positions").save(dealt, "ranges")
+    before, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("_part").count().collect()):
+        offsets += [F.lit(part), F.lit(before).cast("long")]
+        before += n
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    offset = F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else F.lit(0)
+    return dealt.withColumn("rank", own + offset).drop("_part")
+
+
 def fold_copies(hits: DataFrame) -> DataFrame:
     """One row a content: the newest file as head, at the group's best place; unhashed files stay alone."""
     group = F.coalesce("content_hash", F.concat(F.lit("#"), F.col("id").cast("string")))

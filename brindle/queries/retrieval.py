@@ -211,8 +211,7 @@ def declares_boost(c: Corpus):
 @query("fold_copies", "SELECT head, position, older FROM (SELECT coalesce(content_hash, '#' || id) AS g, max_by(id, (mtime_ns, -id)) AS head, min(rank) AS position, count(*) - 1 AS older FROM (SELECT id, content_hash, mtime_ns, row_number() OVER (ORDER BY size_bytes DESC, id) AS rank FROM files WHERE ext = 'pdf' QUALIFY rank <= 500) GROUP BY 1)")
 def fold_copies(c: Corpus):
     pdf = c.files.filter("ext = 'pdf'").select("id", "content_hash", "mtime_ns", "size_bytes")
-    page = pdf.orderBy(F.desc("size_bytes"), "id").limit(500)  # what a result page holds at most
-    return ranking.fold_copies(page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size_bytes"), "id"))))
+    return ranking.fold_copies(ranking.positions(pdf, F.desc("size_bytes"), F.asc("id")))
 
 
 FAMILY = r"regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '')"
