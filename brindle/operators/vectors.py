@@ -1,25 +1,32 @@
-"""Exact vector search in JVM expressions, for query sets that stay small; and vector checks."""
+"""Exact vector search in JVM expressions, and vector checks."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
 
-#: Queries that may be sent to every task; a larger set belongs to an index.
+#: About as many queries are sent to every task at once; a larger set goes in blocks.
 MOST_QUERIES = 1_000
 
 
+def blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+    """queries in blocks of about MOST_QUERIES rows, dealt by a hash of the key; at least one block."""
+    n = max(1, -(-queries.count() // MOST_QUERIES))
+    part = F.pmod(F.xxhash64(key), F.lit(n))
+    return [queries.filter(part == i) for i in range(n)] if n > 1 else [queries]
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, id, sim, rank) by cosine, ties to the smaller id.
 
-    queries: (qid, q); vectors: (id, v). At most MOST_QUERIES queries are broadcast, which is checked.
+    queries: (qid, q); vectors: (id, v). Each block of queries is broadcast and meets all vectors.
     A task keeps its own k best a query before anything is shuffled.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; use an index")
-    pairs = vectors.join(F.broadcast(queries), F.col("id") != F.col("qid"))
+    pairs = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(b), F.col("id") != F.col("qid")) for b in blocks(queries, "qid")])
     rated = pairs.select("qid", "id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("sim"))
     own = F.row_number().over(Window.partitionBy("qid", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy(F.desc("sim"), "id"))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
@@ -238,11 +240,11 @@ def group_by_document(c: Corpus):
 
 @query("recall_at_k", f"SELECT round(avg(hit), 6) AS recall FROM (SELECT q.qid, max(CASE WHEN t.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END) AS hit FROM (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) q LEFT JOIN ({TOP % (RANKED % SCORES, 10)}) t ON q.qid = t.qid AND q.doc_id = t.doc_id GROUP BY q.qid)")
 def recall_at_k(c: Corpus):
-    # The passages are a query set whose size is checked: every document is searched for each.
+    # Every document is searched for each passage, a block of passages at a time.
     passages = c.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    if passages.limit(vectors.MOST_QUERIES + 1).count() > vectors.MOST_QUERIES:
-        raise ValueError("too many passages to send to every task")
-    right = c.table("documents").join(F.broadcast(passages), F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
+    holds = F.col("text").contains(F.col("passage"))
+    met = [c.table("documents").join(F.broadcast(b), holds).select("qid", "doc_id") for b in vectors.blocks(passages, "qid")]
+    right = reduce(DataFrame.unionByName, met)
     found = bm25_top(c).select("qid", "doc_id", F.lit(1.0).alias("found"))
     hit = right.join(found, ["qid", "doc_id"], "left").groupBy("qid").agg(F.max(F.coalesce("found", F.lit(0.0))).alias("hit"))
     return hit.agg(F.round(F.avg("hit"), 6).alias("recall"))
