@@ -90,9 +90,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    trained = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held_out = toxicity.held_out(F.col("doc_id")).alias("held_out")
-    return toxicity.score(docs, trained, keep=["doc_id"]).select("doc_id", held_out, "score", "predicted")
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out, "score", "predicted")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
