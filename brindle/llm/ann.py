@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from brindle.llm.scratch import Scratch
 
 #: Most distinct vectors in a shard, and the fewest shards a large table is dealt to.
-SHARD_ROWS = 32_768
+SHARD_ROWS = 65_536
 SHARDS = 8
-#: Queries that are searched at once.
-BLOCK = 1_024
+#: Queries that meet a shard at once: a block is about as large as a quarter of a shard, so that a shard
+#: is sent to few tasks.
+BLOCK = 16_384
 #: Neighbours of a vector in upper graphs and twice as many in the lowest; width of searches.
 LINKS = 16
 BUILD_WIDTH = 64
@@ -204,15 +205,19 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
     return rows.filter(finite & F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + 0.0))
 
 
-def build_index(distinct: DataFrame, radius: float) -> DataFrame:
+def _unit(x: np.ndarray, scale: float, radius: float) -> np.ndarray:
+    """Vectors of length 1: x / scale / radius, and one more coordinate that evens out the norms."""
+    y = x / scale / radius
+    return np.column_stack([y, np.sqrt(np.maximum(1 - (y**2).sum(axis=1), 0))]).astype(np.float32)
+
+
+def build_index(distinct: DataFrame, scale: float, radius: float) -> DataFrame:
     """(shard, ids, vectors, order, levels, neighbours) from (shard, id, v): one row of flat arrays a shard."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         x = np.array(group["v"].tolist(), np.float64)
-        # Vectors of one length; the added coordinate evens out the norms.
-        rest = np.sqrt(np.maximum(radius**2 - (x**2).sum(axis=1), 0))
-        graph = Graph.build((np.column_stack([x, rest]) / radius).astype(np.float32))
+        graph = Graph.build(_unit(x, scale, radius))
         return pd.DataFrame(
             {
                 "shard": [group["shard"].iloc[0]], "ids": [group["id"].to_numpy(np.int64)[graph.order].tobytes()],
@@ -226,7 +231,7 @@ def build_index(distinct: DataFrame, radius: float) -> DataFrame:
     )
 
 
-def search_shards(blocks: DataFrame, index: DataFrame, radius: float, k: int, width: int) -> DataFrame:
+def search_shards(blocks: DataFrame, index: DataFrame, scale: float, radius: float, k: int, width: int) -> DataFrame:
     """(query_id, id, score) of each query's best k in each shard; a task holds one shard and one block."""
 
     def search(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
@@ -239,12 +244,12 @@ def search_shards(blocks: DataFrame, index: DataFrame, radius: float, k: int, wi
         q = np.array(queries["v"].tolist(), np.float64)
         if q.shape[1] != s["dim"]:
             return empty
-        rest = np.sqrt(np.maximum(radius**2 - (x**2).sum(axis=1), 0))
         tables = [np.frombuffer(t, np.int32).reshape(-1, LINKS * (2 if i == 0 else 1)) for i, t in enumerate(s["neighbours"])]
-        graph = Graph((np.column_stack([x, rest]) / radius).astype(np.float32), levels, tables)
+        graph = Graph(_unit(x, scale, radius), levels, tables)
         found = []
         for part in np.array_split(np.arange(len(q)), max(1, -(-len(q) // 256))):
-            unit = np.column_stack([q[part], np.zeros(len(part))]) / np.maximum(np.linalg.norm(q[part], axis=1), 1e-300)[:, None]
+            own = q[part] / np.abs(q[part]).max(axis=1, keepdims=True)
+            unit = np.column_stack([own / np.linalg.norm(own, axis=1)[:, None], np.zeros(len(part))])
             at, _ = graph.search(unit.astype(np.float32), k, width)
             r, c = np.nonzero(at >= 0)
             to = at[r, c]
@@ -261,20 +266,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     Nearness is the inner product, ties go to the smaller vec_id. Vectors that are null, zero or not
     finite, and rows without a key, take no part. Vectors of another length than the query's are no
     candidates. Of rows that repeat a vec_id each counts, but a query's own id is never its candidate.
+    An empty table, or one without queries, gives an empty result; other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
     rows = scratch.save(usable(vectors, key, column).withColumn("same", F.xxhash64("v")), "rows")
     # Members of a class of equal vectors: the k + 1 least ids are all that a result can need.
     ranked = rows.groupBy("same", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = scratch.save(ranked, "classes")
-    total, radius = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    # Norms are of vectors over the largest component of all, so that no square overflows.
+    total, scale = classes.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     if not total:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    radius = float(radius) * (1 + 1e-9)
+    part = lambda x: x / F.lit(scale)
+    radius = classes.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + part(x) * part(x))))).first()[0] * (1 + 1e-9)
     shards = max(-(-total // SHARD_ROWS), min(SHARDS, -(-total // 256)))
     dims = F.size("v").cast("long") * 1_000_003  # a shard holds vectors of one length
     placed = classes.select((dims + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards))).alias("shard"), "id", "v")
-    index = scratch.save(build_index(placed, radius), "index")
+    index = scratch.save(build_index(placed, scale, radius), "index")
     asked = usable(queries, key, column).select(F.col("vec_id").alias("query_id"), "v").distinct()
     n_blocks = F.lit(max(1, -(-asked.count() // BLOCK)))
     block = F.pmod(F.xxhash64("query_id", F.lit(11)), n_blocks)
@@ -282,7 +290,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     blocks = asked.select("query_id", "v", block.alias("block"), every.alias("shard"))
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1).cast("array<bigint>")))
     # One more than k: the query's own class may be among them.
-    found = search_shards(blocks, copies, radius, k + 1, max(width, k + 1))
+    found = search_shards(blocks, copies, scale, radius, k + 1, max(width, k + 1))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     classes_found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     member = _least_members(rows, classes, k + 1)
