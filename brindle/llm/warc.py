@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_REVISIT_BYTES = 1000
-#: Captures in one archive file, so that a reader holds a file of bounded size.
-CAPTURES_PER_FILE = 5_000
+#: (payload bytes, captures): files of payloads up to so many bytes hold up to so many captures, so that a
+#: reader, which takes a file whole, holds 256 MB of payload or one capture.
+FILES = ((1 << 16, 4_096), (1 << 20, 256), (1 << 24, 16), (1 << 62, 1))
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -66,7 +67,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """Writes a request, a response or revisit, and a metadata record for each row of pages.
 
     Null html is an empty payload, a null url an empty target; line ends in urls are escaped. A
-    record's id depends on key and payload alone, so repeated rows give repeated records.
+    record's id depends on key and payload alone, so repeated rows give repeated records. An empty
+    table gives files without records; other columns are not read. Pages of 16 MB and more, if there
+    are any, are written apart, and so are two classes between (FILES).
     """
     rows = plan_captures(pages, key, url, html)
     target = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
@@ -94,9 +97,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         facts,
     )
     text = F.concat(request, F.lit(END), F.when(F.col("first").isNull(), response).otherwise(revisit), F.lit(END), metadata)
-    rows.select(text.alias("value")).write.options(
-        compression="gzip", lineSep=END, maxRecordsPerFile=CAPTURES_PER_FILE, **{"zlib.compress.level": "BEST_SPEED"}
-    ).text(path)
+    largest = pages.agg(F.max(F.octet_length(F.col(html)))).first()[0] or 0
+    above = -1
+    for most, captures in FILES:
+        if above < largest or above < 0:
+            some = rows.filter(F.col("size").between(above + 1, most))
+            some.select(text.alias("value")).write.mode("error" if above < 0 else "append").options(
+                compression="gzip", lineSep=END, maxRecordsPerFile=captures, **{"zlib.compress.level": "BEST_SPEED"}
+            ).text(path)
+        above = most
 
 
 def _records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -154,7 +163,8 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: response, request, metadata, and for revisits the response referred to.
 
     Captures without a request or metadata keep nulls there; a digest that doesn't fit its payload
-    shows as digest_fits false. Requests and metadata that repeat for one capture count once.
+    shows as digest_fits false. Requests and metadata that repeat for one capture count once. An
+    empty table gives an empty result; columns of records beyond those of RECORD are not read.
     """
     side = lambda kind: (
         records.filter(F.col("type") == kind).groupBy("concurrent_to").agg(F.min(F.struct("record_id", "target_uri")).alias(kind), F.first("fields").alias(f"{kind}_fields"))
@@ -168,7 +178,9 @@ def assemble(records: DataFrame) -> DataFrame:
     origin = first.join(metadata.select("record_id", F.col("metadata_fields").alias("origin_fields")), "record_id", "left").select(
         F.col("record_id").alias("refers_to"), F.struct("bytes", "digest", F.col("origin_fields").alias("fields")).alias("origin")
     )
-    met = own.join(requests, "record_id", "left").join(metadata, "record_id", "left").join(origin, "refers_to", "left")
+    met = own.join(requests, "record_id", "left").join(metadata, "record_id", "left")
+    # Captures that refer to nothing get a key each that no record has, or one task would get them all.
+    met = met.withColumn("refers_to", F.coalesce("refers_to", F.concat(F.lit("-"), "record_id"))).join(origin, "refers_to", "left")
     digest = F.coalesce("response.payload_digest", "origin.digest")
     return met.select(
         "record_id", "response", "request", F.col("metadata_fields").alias("metadata"), "origin",
