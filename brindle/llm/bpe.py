@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.columns import given, named
 from brindle.llm.scratch import bound_batches
 
 #: Fixed value: the split that the public byte-level vocabulary was made with.
@@ -295,7 +296,8 @@ def digested(ids: Column, path: str) -> Column:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the column `ids`. Narrow: no shuffle, each row by itself, repeated rows alike."""
+    """docs with the column `ids`, which replaces one of that name. Narrow: no shuffle, each row by
+    itself, repeated rows alike; null texts have no ids, an empty table gives an empty result."""
     bound_batches(docs.sparkSession)
     return docs.withColumn(ids, encoded(F.col(text), path))
 
@@ -306,6 +308,9 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 
 def digests(encoded_docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256; drops the ids."""
-    out = encoded_docs.withColumn("n_tokens", F.size(ids).cast("long")).withColumn("_d", digested(F.col(ids), path))
-    return out.withColumns({"ids_sha256": F.col("_d.ids"), "decoded_sha256": F.col("_d.decoded")}).drop(ids, "_d")
+    """Adds n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256, which replace columns of
+    those names; drops the ids."""
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    rest = [c for c in encoded_docs.columns if c != ids]
+    out = encoded_docs.select(given(encoded_docs, rest), F.size(ids).cast("long").alias("n_tokens"), digested(F.col(ids), path).alias("d"))
+    return out.select(*named(rest, *new), "n_tokens", F.col("d.ids").alias("ids_sha256"), F.col("d.decoded").alias("decoded_sha256"))

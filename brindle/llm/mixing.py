@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.columns import given, named
 from brindle.llm.scratch import Scratch
 
 WEIGHTS = (3, 1, 2)
@@ -24,8 +25,9 @@ SEED = 17
 TABLE_WORDS = 1 << 17
 #: Bits of all steps of a table that holds a budget whole (32 MB).
 TABLE_BITS = 1 << 28
-#: Parts that the documents of one source and length are ranked in, by hash.
-PARTS = 64
+#: Least number of parts that the documents of one source and length are ranked in, by hash, and documents
+#: for each further part: all documents may be of one source and length.
+PARTS, PART_ROWS = 64, 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -167,16 +169,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Null and empty texts have no words and are never taken; null is a source of its own. Repeated
     rows are documents like others. Reruns agree: the hash is seeded, ties among equal hashes are
-    between rows with the same key and length. An empty table gives an empty result.
+    between rows with the same key and length. An empty table gives an empty result. Other columns
+    pass through, whatever their names, but one named _mix, which is replaced.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(PARTS))
+    rows = _mixed(docs, key, text, source, seed)
+    return rows.select(*named(docs.columns, "_mix"), "_mix")
+
+
+def _mixed(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """(given, _mix): the columns of docs packed in a struct, beside the mix."""
     name = F.when(F.col(source).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(source)))
+    draw = F.xxhash64(F.lit(seed), F.col(key))
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = scratch.save(
-        docs.select(name.alias("_s"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), part.alias("part")), "sizes"
-    )
+    sizes = scratch.save(docs.select(name.alias("_s"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), draw.alias("draw")), "sizes")
+    n_parts = max(PARTS, -(-sizes.count() // PART_ROWS))
+    part = lambda c: F.pmod(c, F.lit(n_parts))
     targets = source_targets(sizes).withColumn("_s", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")))
-    parts = sizes.groupBy("_s", "size", "part").agg(F.count("*").alias("n"))
+    parts = sizes.groupBy("_s", "size", part(F.col("draw")).alias("part")).agg(F.count("*").alias("n"))
     plan = take_plan(parts.groupBy("_s", "size").agg(F.sum("n").alias("n")), targets)
     earlier = Window.partitionBy("_s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -185,10 +194,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         parts.join(plan, ["_s", "size"]).join(targets, "_s").select("_s", F.col("size").alias("_n"), F.col("part").alias("_p"), rest.alias("_c")),
         "choice",
     )
-    rows = (
-        docs.withColumn("_s", name).withColumn("_n", n_words(F.col(text))).withColumn("_p", part)
-        .withColumn("_rank", F.xxhash64(F.col(key), F.lit(seed)))
-    )
+    rank = F.xxhash64(F.col(key), F.lit(seed))
+    rows = docs.select(given(docs), name.alias("_s"), n_words(F.col(text)).alias("_n"), part(draw).alias("_p"), rank.alias("_rank"))
     # A document goes in if fewer of its length come before it, by part and then by hash, than are wanted.
     place = F.row_number().over(Window.partitionBy("_s", "_n", "_p").orderBy("_rank"))
     extra = F.col("_c.extra")
@@ -197,12 +204,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     mixed = F.struct(
         F.col("_n").alias("size"), "_c.source_size", "_c.target", (F.col("_n") * times).cast("long").alias("taken"), times.alias("times")
     )
-    met = rows.join(choice, ["_s", "_n", "_p"]).withColumn("_place", place)
-    return met.withColumn("_mix", mixed).select(*docs.columns, "_mix")
+    return rows.join(choice, ["_s", "_n", "_p"]).withColumn("_place", place).select("given", mixed.alias("_mix"))
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns it came with."""
-    taken = mix(docs).filter(F.col("_mix.taken") > 0)
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns it came with, whatever
+    their names. Rows without words are never taken; an empty table gives an empty result."""
+    taken = _mixed(docs, key, text, source, seed).filter(F.col("_mix.taken") > 0)
     times = F.explode(F.array_repeat(F.lit(1), F.col("_mix.times").cast("int")))
-    return taken.withColumn("_time", times).select(*docs.columns)
+    return taken.select("given", times.alias("time")).select(*named(docs.columns))

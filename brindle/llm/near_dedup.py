@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import hashing
+from brindle.llm.columns import given, named, quoted
 from brindle.llm.components import components
 from brindle.llm.scratch import Scratch
 
@@ -36,6 +37,8 @@ MARGIN = 0.2
 OPEN_BLOCK = 256
 FULL_BLOCK = 1024
 CODES = 8192
+#: Parts that the members of a large family are dealt in.
+SALTS = 64
 
 _WALK = np.random.default_rng(20240101).integers(0, REGISTERS, (REGISTERS, 4096))
 
@@ -301,7 +304,11 @@ class NearDuplicates:
         sizes = members.groupBy("family").agg(
             F.ceil(F.sum(F.col("open").cast("int")) / OPEN_BLOCK).alias("rows"), F.ceil(F.count("*") / FULL_BLOCK).alias("columns")
         )
-        dealt = members.join(sizes, "family")
+        # Few families have more than a block. Their members may be most of all rows, so they meet the sizes in parts.
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt")
+        large = sizes.filter("rows > 1 or columns > 1").select("*", salt)
+        dealt = members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SALTS))).join(large, ["family", "salt"], "left")
+        dealt = dealt.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("rows", "columns")})
         at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
         other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1).cast("array<bigint>"))
         left = dealt.filter("open").select("family", at("rows").alias("r"), other("columns").alias("c"), "rep", "label", F.lit(True).alias("left"))
@@ -319,6 +326,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Texts without words, null ones too, have an empty set and link with nothing. A row whose
     doc_id is null takes no part: it is kept, with a null component. Rows that share a doc_id are
     one node. component_id is the least doc_id reachable by links, kept says that it is the row's own.
+    An empty table gives an empty result; other columns are not read.
     """
     out = NearDuplicates(docs, key, text, width, percent).run()
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
@@ -326,9 +334,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, and one row of each doc_id that repeats."""
+    """docs with one document of each group of near duplicates, and one row of each doc_id that repeats.
+
+    Rows without a doc_id all stay; columns keep their names and values, whatever they are; an empty
+    table gives an empty result.
+    """
     verdict = near_duplicates(docs, key, text, width, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(verdict.withColumnRenamed("doc_id", key), key, "left_semi")
-    one = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
-    kept = kept.withColumn("_one", one).filter("_one = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    rows = docs.select(given(docs), F.col(quoted(key)).cast("long").alias("doc_id"))
+    one = rows.join(verdict, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("given", F.xxhash64("given")).alias("given"))
+    return one.select(*named(docs.columns)).unionByName(docs.filter(F.col(key).isNull()))

@@ -17,6 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.columns import given, named
 from brindle.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -92,7 +93,8 @@ def _apart(wide: Column, base: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_base` and `_wide`, structs of one array of spans for each kind, and `_t`, the text."""
+    """(given, _base, _wide, _t): the columns of docs packed in a struct, beside structs of one array of
+    spans for each kind, and the text (null: empty)."""
     t = F.coalesce(F.col(text), F.lit(""))
     has = lambda pattern: F.col("_t").rlike(pattern)
     at = F.col("_t").contains("@")
@@ -100,7 +102,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = lambda pattern: F.regexp_replace(F.translate("_t", MARK, "\x02"), pattern, MARK)
     # Marked and digit-bearing copies are null where the text can hold no match: a base card has at
     # least 16 digits, a separator at most between two; the wider forms begin with three digits in a row.
-    staged = docs.withColumn("_t", t).select(
+    staged = docs.select(given(docs), t.alias("_t")).select(
         "*",
         F.when(at, marked(r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])")).alias("_e"),
         F.when(has(r"(?:[0-9][\x20-]?+){15}[0-9]"), marked(r"(?<=[0-9])[\x20-](?=[0-9])")).alias("_c"),
@@ -167,7 +169,7 @@ def _labelled(kind: str, spans: Column, base: bool) -> Column:
 
 
 def with_labels(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_spans`: every candidate with its votes and features."""
+    """(given, _t, _spans): every candidate with its votes and features."""
     found = with_candidates(docs, text)
     parts = [_labelled(k, F.col(f"_{where}.{k}"), where == "base") for k in KINDS for where in ("base", "wide")]
     return found.withColumn("_spans", F.concat(*parts)).drop("_base", "_wide")
@@ -238,20 +240,27 @@ def classified(labelled: DataFrame, counts: list[tuple], weights: dict[tuple, fl
     return labelled.withColumn("_spans", F.filter(scored, lambda x: x["base"] | (x["p"] >= 0.5)))
 
 
+def _found(docs: DataFrame, text: str) -> DataFrame:
+    labelled = with_labels(docs, text)
+    counts = pattern_counts(labelled)
+    return classified(labelled, counts, train_classifier(counts, fit_labelers(counts)))
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_spans`: (kind, start, end, base, votes, p), in code points, end exclusive.
+    """docs with `_spans`, which replaces a column of that name: (kind, start, end, base, votes, p), in
+    code points, end exclusive.
 
     Null and empty texts have no spans; repeated rows are searched alike; an empty table gives an
-    empty result; extra columns pass through. Narrow: texts are neither shuffled nor stored.
+    empty result; other columns pass through, whatever their names. Narrow: texts are neither
+    shuffled nor stored.
     """
-    labelled = with_labels(docs, text)
-    counts = pattern_counts(labelled)
-    return classified(labelled, counts, train_classifier(counts, fit_labelers(counts))).drop("_t")
+    return _found(docs, text).select(*named(docs.columns, "_spans"), "_spans")
 
 
 def find_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As find(), with only the key beside the spans: texts are searched once, candidates stored."""
-    labelled = Scratch(docs.sparkSession, "pii").save(with_labels(docs.select(key, text), text).select(key, "_spans"), "spans")
+    own = with_labels(docs.select(key, text), text).select(F.col(f"given.{key}").alias(key), "_spans")
+    labelled = Scratch(docs.sparkSession, "pii").save(own, "spans")
     counts = pattern_counts(labelled)
     return classified(labelled, counts, train_classifier(counts, fit_labelers(counts)))
 
@@ -283,8 +292,17 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """docs with personal data masked in the text and n_chars, if there is such a column, counted anew."""
-    out = find(docs, text).withColumn(text, redacted(F.col(text), F.col("_spans")))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.size("_spans") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+    """docs with personal data masked in the text and n_chars, if there is such a column, counted anew.
+
+    Texts without personal data, null and empty ones too, stay as they are; other columns pass
+    through, whatever their names; an empty table gives an empty result.
+    """
+    masked = redacted(F.col(f"given.{text}"), F.col("_spans"))
+    out = _found(docs, text).select("given", masked.alias("_masked"), (F.size("_spans") > 0).alias("_hit"))
+    columns = named(docs.columns)
+    for i, c in enumerate(docs.columns):
+        if c == text:
+            columns[i] = F.col("_masked").alias(c)
+        elif c == n_chars:
+            columns[i] = F.when(F.col("_hit"), F.length("_masked").cast(docs.schema[c].dataType)).otherwise(columns[i]).alias(c)
+    return out.select(*columns)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.columns import given, named
 from brindle.llm.scratch import Scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -67,14 +68,16 @@ def repeated_words(windows: str, width: int = WINDOW) -> Column:
     )
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one struct column `_q` of whole-text statistics (null text: as empty)."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def with_statistics(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """(given, _q): the columns `keep` of docs (all, unless named) packed in a struct, beside one of
+    whole-text statistics (null text: as empty)."""
+    body = F.col("_body")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    staged = docs.withColumn("_w", word_array(body)).withColumn("_l", lines)
+    staged = docs.select(given(docs, keep), F.coalesce(F.col(text), F.lit("")).alias("_body"))
+    staged = staged.withColumn("_w", word_array(body)).withColumn("_l", lines)
     staged = staged.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_joined", F.array_join("_w", ""))
-    return staged.withColumn("_wins", window_hashes("_h")).withColumn(
-        "_q",
+    return staged.withColumn("_wins", window_hashes("_h")).select(
+        "given",
         F.struct(
             F.size("_w").cast("long").alias("n_words"),
             F.length("_joined").cast("long").alias("word_chars"),
@@ -85,8 +88,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             F.length(F.regexp_replace("_joined", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
             F.length(F.regexp_replace("_joined", r"[^0-9]+", "")).cast("long").alias("n_digits"),
             F.length(F.regexp_replace("_joined", r"\p{L}+", "")).cast("long").alias("n_other"),
-        ),
-    ).drop("_w", "_l", "_joined", "_h", "_wins")
+        ).alias("_q"),
+    )
 
 
 def rule_votes(q: str = "_q") -> list[tuple[str, Column]]:
@@ -171,23 +174,28 @@ def with_posterior(stats: DataFrame, weights: dict) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= MIN_POSTERIOR))
 
 
+def _judged(docs: DataFrame, text: str, keep: Sequence[str] | None = None) -> DataFrame:
+    stats = Scratch(docs.sparkSession, "quality").save(with_statistics(docs, text, keep), "stats")
+    return with_posterior(stats, fit_reliabilities(vote_counts(stats)))
+
+
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_q`, p_good, base_failed and kept.
+    """docs with `_q`, p_good, base_failed and kept, which replace columns of those names.
 
     Null and empty texts have no words and fail the base rule. Repeated rows are judged alike,
-    extra columns pass through, an empty table gives an empty result. Texts are read once: the
-    statistics are written beside the columns of docs, so give only those that are needed.
+    other columns pass through, whatever their names, an empty table gives an empty result. Texts
+    are read once: the statistics are written beside the columns of docs, so give only those that
+    are needed.
     """
-    stats = Scratch(docs.sparkSession, "quality").save(with_statistics(docs, text), "stats")
-    return with_posterior(stats, fit_reliabilities(vote_counts(stats)))
+    new = ("_q", "p_good", "base_failed", "kept")
+    return _judged(docs, text).select(*named(docs.columns, *new), *new)
 
 
 def judge_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As judge(), with only the key beside the verdicts."""
-    stats = Scratch(docs.sparkSession, "quality").save(with_statistics(docs.select(key, text), text).drop(text), "stats")
-    return with_posterior(stats, fit_reliabilities(vote_counts(stats)))
+    return _judged(docs, text, [key]).select(F.col(f"given.{key}").alias(key), "_q", "p_good", "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text passes, with the columns they came with."""
-    return judge(docs).filter("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text passes, with the columns they came with, whatever their names."""
+    return _judged(docs, text).filter("kept").select(*named(docs.columns))

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sorted runs that the urls of one range of keys are dealt over, for hosts with many urls.
-SALTS = 64
+#: Least number of sorted runs that the urls of one range of keys are dealt over, and urls for each
+#: further one: all urls may be of one host.
+SALTS, SALT_ROWS = 64, 1_000_000
 #: Ranges of keys, cut at boundaries; at most so many keys are held by the driver.
 RANGES = 128
 
@@ -84,15 +85,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     cuts = range_cuts(edges)
     range_of = lambda key: F.size(F.filter(F.lit(cuts).cast("array<string>"), lambda c: c <= key))
     keyed = rows.withColumn("key", host_key(F.col("host")))
+    salts = max(SALTS, -(-pages.count() // SALT_ROWS))
     urls = keyed.select(
         range_of(F.col("key")).alias("range"),
-        F.pmod(F.xxhash64("host", "path", F.spark_partition_id()), F.lit(SALTS)).alias("salt"),
+        F.pmod(F.xxhash64("host", "path", F.spark_partition_id()), F.lit(salts)).alias("salt"),
         "key", F.lit(1).alias("kind"), "given", "host", "path",
         F.lit(None).cast(edges.schema["stack"].dataType).alias("stack"),
     )
     marks = edges.select(
         range_of(F.col("key")).alias("range"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("salt"),
         "key", F.lit(0).alias("kind"),
         F.lit(None).cast(urls.schema["given"].dataType).alias("given"),
         F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack",

@@ -1,17 +1,29 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import pathlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import ann, bpe, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, url_rules, warc
+from brindle.llm import ann, bpe, components, hashing, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, url_rules, warc
 from tests.llm import brute
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-CLASHING = ["kept", "size", "band", "ids", "host", "target", "n", "rank", "score", "_part"]
+
+def names_in_use():
+    """Every name that the operators' code gives to a column or reads one by, but those of documents."""
+    found = set()
+    for module in (bpe, hashing, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, components):
+        code = pathlib.Path(module.__file__).read_text()
+        found |= set(re.findall(r'"([A-Za-z_][A-Za-z0-9_]*)"', code)) | set(re.findall(r"\b([a-z_]+) (?:long|int|binary|string|double|boolean|array<[a-z]+>)\b", code))
+    return sorted(n for n in found if n.lower() not in ("doc_id", "text", "source", "lang", "n_chars"))
+
+
+CLASHING = names_in_use()
 
 
 def words(seed, n):
@@ -88,6 +100,7 @@ def test_pii(docs, empty, messy):
         base = [(s["kind"], s["start"], s["end"]) for s in found[i] if s["base"]]
         assert sorted(base) == sorted(brute.base_spans(text)), i
     assert pii.find(empty).count() == 0 and pii.find(messy).count() == messy.count()
+    assert {"start", "kind"} <= {f.name for f in pii.find(docs).schema["_spans"].dataType.elementType.fields}
     masked = by_id(pii.redact(docs), "text", "n_chars")
     assert masked[9][0] == "mail <EMAIL> or <PHONE>, <IP>, 256.1.1.1 and <CARD>." and masked[9][1] == len(masked[9][0])
     assert masked[1] == (None, None) and masked[5][0] == BASE
@@ -98,7 +111,7 @@ def test_bpe(docs, empty, messy):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(PATH)
-    got = by_id(bpe.decode(bpe.encode(docs.drop("ids"), PATH), PATH), "ids", "decoded")
+    got = by_id(bpe.decode(bpe.encode(docs, PATH), PATH), "ids", "decoded")
     for i, text, _ in ROWS:
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert got[i] == (ids, library.decode(ids, skip_special_tokens=False)), i
@@ -222,7 +235,7 @@ def test_toxicity(spark, docs, empty):
     right = [got[i][1] == y for i, y in labels if i in held]
     assert len(got) == 403 and sum(right) / len(right) > 0.9
     assert all(0 <= s <= 1 for s, _ in got.values()) and got[1000] == got[1001]
-    assert toxicity.score(docs.drop("score"), trained).count() == len(ROWS) and toxicity.score(empty, trained).count() == 0
+    assert toxicity.score(docs, trained).count() == len(ROWS) and toxicity.score(empty, trained).count() == 0
     untaught = toxicity.train(frame, known.limit(0))
     assert toxicity.score(frame, untaught).count() == 403
 
