@@ -46,6 +46,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def plain_words(text: str) -> list[str]:
+    """The words of a typed text, cut as words() cuts a column's."""
+    return "".join(c if c.isalpha() or c.isnumeric() else " " for c in text).split()
+
+
 def token_cost(c: Column) -> Column:
     """An estimate of model tokens: a quarter of a word's letters, 1.35 at least."""
     parts = F.filter(F.split(c, r"\s+"), lambda w: w != "")
@@ -96,19 +101,80 @@ def year_hint(path: Column) -> Column:
     return F.nullif(F.when(folder != "", folder).otherwise(year(basename(path))), F.lit("")).cast("int")
 
 
-# What marks a file's version.
-VERSION_MARKS = r"(?i)[ _.-]*(?:\([0-9]+\)|\[[0-9]+\]|v[0-9]+(?:\.[0-9]+)*|rev[ _.-]?[0-9]*|final|draft|copy|old|new|latest|current|[0-9]{4}-[0-9]{2}-[0-9]{2})$"
+# Words that mark a version of a file where they end its name, and forms that do.
+VERSION_WORDS = ("final", "draft", "copy", "old", "new", "latest", "current", "rev", "revision")
+_BRACKETED = r"[(\[] *[0-9]{1,3} *[)\]]"
+_NUMBERED = r"v *[0-9]+(?:[._][0-9]+)*"
+_DATED = r"[0-9]{4}[-_][0-9]{2}[-_][0-9]{2}|[0-9]{2}[-_][0-9]{2}[-_][0-9]{2,4}"
+#: Stands for a bracketed number, version number or date while a name is in words.
+_MARK = "\u0001"
+
+
+def base_words(path: Column) -> Column:
+    """The words of a base name without its extension, each version mark of several signs as one word."""
+    base = F.lower(F.regexp_replace(basename(path), r"\.[^.]*$", ""))
+    base = F.regexp_replace(base, f"(^|[ _.-])(?:{_DATED})", f"$1 {_MARK}")
+    base = F.regexp_replace(base, _BRACKETED, f" {_MARK}")
+    base = F.regexp_replace(base, f"(^|[ _.-]){_NUMBERED}", f"$1 {_MARK}")
+    base = F.regexp_replace(base, r"(^|[ _.-])rev(?:ision)? *[0-9]+", f"$1 {_MARK}")
+    return F.filter(F.split(base, r"[ _.-]+"), lambda w: w != "")
 
 
 def version_family(path: Column) -> Column:
-    """The base name without version marks, up to three of them, in lower case."""
-    base = F.regexp_replace(basename(path), r"\.[^.]*$", "")
-    for _ in range(3):
-        base = F.regexp_replace(base, VERSION_MARKS, "")
-    return F.lower(F.trim(base))
+    """The base name up to the marks of a version that end it; a name of nothing but marks keeps its first."""
+    words = base_words(path)
+    last = F.array_max(F.transform(words, lambda w, i: F.when(w.isin(*VERSION_WORDS, _MARK), 0).otherwise(i)))
+    return F.array_join(F.slice(words, F.lit(1), F.coalesce(last, F.lit(0)) + 1), " ")
+
+
+def has_version_mark(path: Column) -> Column:
+    return F.coalesce(F.element_at(base_words(path), -1).isin(*VERSION_WORDS, _MARK), F.lit(False))
 
 
 def size_words(c: Column) -> Column:
-    """Bytes in units of 1024, with one decimal from KB on."""
-    unit = lambda n, name: F.concat(F.format_string("%.1f", c / float(n)), F.lit(f" {name}"))
+    """Bytes in units of 1024, with one decimal from KB on, halves to even."""
+    unit = lambda n, name: F.concat(F.format_string("%.1f", F.bround(c / float(n), 1)), F.lit(f" {name}"))
     return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1 << 20, unit(1 << 10, "KB")).when(c < 1 << 30, unit(1 << 20, "MB")).otherwise(unit(1 << 30, "GB"))
+
+
+def whole_address(c: Column, address: str) -> Column:
+    """Whether a text holds the address as a whole: no part of a longer one."""
+    escaped = "".join("\\" + x if x in ".+-" else x for x in address.lower())
+    return F.lower(c).rlike(rf"(^|[^a-z0-9._%+-]){escaped}($|[^a-z0-9_%+-])")
+
+
+def phone_key(c: Column) -> Column:
+    """Digits of a phone number, with its plus sign if it begins with one; null under 7 digits."""
+    digits = F.regexp_replace(c, "[^0-9]+", "")
+    return F.when(F.length(digits) >= 7, F.concat(F.when(F.trim(c).startswith("+"), "+").otherwise(""), digits))
+
+
+def name_case(c: Column) -> Column:
+    """Words in all capitals or none get a first capital; mixed ones are left alone."""
+    plain = lambda w: (w == F.lower(w)) | ((w == F.upper(w)) & (F.length(w) > 1))
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.when(plain(w), F.initcap(w)).otherwise(w)), " ")
+
+
+def sort_key(c: Column) -> Column:
+    """Last word first: Ann Marie Lee as lee, ann marie."""
+    words = F.split(F.lower(F.trim(c)), " +")
+    return F.when(F.size(words) < 2, F.lower(F.trim(c))).otherwise(
+        F.concat(F.element_at(words, -1), F.lit(", "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))
+    )
+
+
+def day_words(ns: Column) -> Column:
+    return F.date_format(F.timestamp_micros(F.floor(ns / 1000)), "dd MMM yyyy")
+
+
+def sentences(c: Column) -> Column:
+    """Sentences of a text: they end at . ! or ? before white space, but not after a title or a single letter."""
+    kept = F.regexp_replace(c, r"\b(Mr|Mrs|Ms|Dr|Prof|St|No|vs|etc|[A-Z])\.", "$1\u0001")
+    cut = F.split(F.regexp_replace(kept, r"([.!?][\"')\]]*)\s+", "$1\u0002"), "\u0002")
+    return F.filter(F.transform(cut, lambda s: F.trim(F.translate(s, "\u0001", "."))), lambda s: s != "")
+
+
+def symbol_tokens(c: Column) -> Column:
+    """Parts of mixed-case and letter-digit words, two letters or more, each once whatever its case."""
+    parts = F.filter(identifier_parts(c), lambda w: F.length(w) >= 2)
+    return F.array_distinct(F.transform(parts, F.lower))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.plans.grammar import Parsed
+from brindle.plans.grammar import FACETS, Parsed
 
 MAIL_KINDS = ("eml", "msg", "pst", "mbox")
 
@@ -47,22 +47,47 @@ def in_scope(scope: str) -> Column:
     return {"all": F.lit(True), "mail": mail, "documents": ~mail, "code": F.col("repo_id").isNotNull()}[scope]
 
 
+def same(column: Column, values: list[str]) -> Column:
+    """Equal to one of the values without regard to case, or matched by one that is a glob."""
+    out = F.lit(False)
+    for v in values:
+        out = out | (column.rlike(T.glob_regex(v)) if set(v) & set("*?") else T.ascii_lower(column) == T.ascii_lower(F.lit(v)))
+    return out
+
+
+def _all(column: Column, values: list[str]) -> Column:
+    out = F.lit(True)
+    for v in values:
+        out = out & T.matches(column, v)
+    return out
+
+
+#: Tests that a file's own columns answer: a column of the file and the values asked for.
+OWN = {
+    "type": type_is,
+    "name": lambda v: any_of(T.basename(F.col("path")), v),
+    "status": lambda v: F.col("status").isin(*v),
+    "path": lambda v: _all(F.col("path"), v),
+    "place": lambda v: same(F.col("place"), v),
+}
+SCREENSHOT = ("screenshot", "screen shot", "snip")
+
+
 def condition(q: Parsed) -> Column:
     """Filters that the file's own columns answer; a negated one keeps nulls."""
     own = F.lit(True)
-    tests = {
-        "type": type_is, "name": lambda v: any_of(T.basename(F.col("path")), v), "status": lambda v: F.col("status").isin(*[x.upper() for x in v]),
-    }
     for field, values in q.filters.items():
-        if field == "path":
-            for v in values:
-                own = own & T.matches(F.col("path"), v)
-        elif field in tests:
-            own = own & tests[field](values)
+        if field in OWN:
+            own = own & OWN[field](values)
     for field, values in q.excluded_filters.items():
-        test = any_of(F.col("path"), values) if field == "path" else tests[field](values) if field in tests else None
-        if test is not None:
+        if field in OWN:
+            test = any_of(F.col("path"), values) if field == "path" else OWN[field](values)
             own = own & F.coalesce(~test, F.lit(True))
+    for asked, wanted in ((q.filters, True), (q.excluded_filters, False)):
+        for facet in asked.get("only", ()):
+            if facet in ("mail", "screenshots"):
+                hit = F.col("path").contains("/attachments/") if facet == "mail" else any_of(F.col("path"), list(SCREENSHOT))
+                own = own & (hit if wanted else ~hit)
     if q.after_ns is not None:
         own = own & (effective_ns() >= q.after_ns)
     if q.before_ns is not None:
@@ -72,17 +97,63 @@ def condition(q: Parsed) -> Column:
     return own & in_scope(q.scope)
 
 
+def attached(corpus, value: str) -> DataFrame:
+    """(path) of messages with an attachment of that name: an attachment is a row under its message's path."""
+    parts = corpus.listing.filter(F.col("path").contains("/attachments/") & T.matches(T.basename(F.col("path")), value))
+    return parts.select(F.substring_index("path", "/attachments/", 1).alias("path")).distinct()
+
+
+def memberships(corpus) -> dict:
+    """Fields that another table answers: the file's column, and the rows of one value or of several (any of them)."""
+    mail = lambda test: corpus.messages.filter(test).select(F.col("mail_id").alias("id"))
+    every = lambda find: lambda values: [find(v) for v in values]  # each value must hold
+    either = lambda find: lambda values: [find(values)]
+    return {
+        "repo": ("repo_id", either(lambda v: corpus.repos.filter(any_of(F.col("name"), v) | any_of(F.col("root_path"), v)).select(F.col("id").alias("repo_id")))),
+        "on": ("volume_id", either(lambda v: corpus.volumes.filter(any_of(F.col("name"), v)).select(F.col("id").alias("volume_id")))),
+        "shows": ("id", either(lambda v: corpus.file_tags.filter(F.col("tag").isin(*v)).select(F.col("file_id").alias("id")).distinct())),
+        "from": ("id", every(lambda v: mail(T.contains_ci(F.col("sender"), v)))),
+        "to": ("id", every(lambda v: mail(F.exists("recipients", lambda r: T.contains_ci(r, v))))),
+        "subject": ("id", every(lambda v: mail(T.contains_ci(F.col("subject"), v)))),
+        "mailbox": ("id", every(lambda v: mail(T.matches(F.col("archive"), v)))),
+        "mailfolder": ("id", every(lambda v: mail(T.matches(F.col("folder"), v)))),
+        "attachment": ("path", every(lambda v: attached(corpus, v))),
+        "who": ("id", either(lambda v: corpus.faces.join(corpus.piles.filter(same(F.col("name"), v)).select(F.col("id").alias("pile")), "pile").select(F.col("file_id").alias("id")).distinct())),
+    }
+
+
+def _facet(corpus, files: DataFrame, facet: str, wanted: bool) -> DataFrame:
+    named = corpus.faces.join(corpus.piles.select(F.col("id").alias("pile"), "name"), "pile", "left")
+    has = {"named": F.col("name").isNotNull(), "unnamed": F.col("name").isNull(), "no-faces": F.lit(True)}[facet]
+    hit = named.filter(has).select(F.col("file_id").alias("id")).distinct()
+    pictures = files.filter("ext = 'jpg'") if facet == "no-faces" and wanted else files
+    return pictures.join(hit, "id", "left_semi" if wanted != (facet == "no-faces") else "left_anti")
+
+
 def apply(files: DataFrame, q: Parsed, corpus) -> DataFrame:
-    """files under all filters of q; those of other tables become semi-joins, negated ones anti-joins."""
+    """files under all filters of q; those of other tables become semi-joins, negated ones anti-joins.
+
+    A field that no test answers raises, so that no filter is left out without a word.
+    """
+    others = memberships(corpus)
+    for field in (*q.filters, *q.excluded_filters):
+        if field not in OWN and field not in others and field != "only":
+            raise ValueError(f"no filter for {field}:")
+    for facet in (*q.filters.get("only", ()), *q.excluded_filters.get("only", ())):
+        if facet not in FACETS:
+            raise ValueError(f"no facet {facet}")
     out = files.filter(condition(q))
-    ids = {
-        "repo": ("repo_id", lambda v: corpus.repos.filter(any_of(F.col("name"), v) | any_of(F.col("root_path"), v)).select(F.col("id").alias("repo_id"))),
-        "on": ("volume_id", lambda v: corpus.volumes.filter(any_of(F.col("name"), v)).select(F.col("id").alias("volume_id"))),
-        "shows": ("id", lambda v: corpus.file_tags.filter(F.col("tag").isin(*v)).select(F.col("file_id").alias("id")).distinct()),
-    }
-    for field, (key, find) in ids.items():
-        if field in q.filters:
-            out = out.join(find(q.filters[field]), key, "left_semi")
-        if field in q.excluded_filters:
-            out = out.join(find(q.excluded_filters[field]), key, "left_anti")
+    for field, (key, find) in others.items():
+        for rows in find(q.filters[field]) if field in q.filters else ():
+            out = out.join(rows, key, "left_semi")
+        for v in q.excluded_filters.get(field, ()):
+            for rows in find([v]):
+                out = out.join(rows, key, "left_anti")
+    for asked, wanted in ((q.filters, True), (q.excluded_filters, False)):
+        for facet in asked.get("only", ()):
+            if facet not in ("mail", "screenshots"):
+                out = _facet(corpus, out, facet, wanted)
+    if q.has_attachment is not None:
+        rows = corpus.messages.filter(F.col("has_attach") == q.has_attachment).select(F.col("mail_id").alias("id"))
+        out = out.join(rows, "id", "left_semi")
     return out

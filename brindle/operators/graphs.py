@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder that the cluster shares, or by caching where there is none."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.cache()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from brindle.sources.store import kept
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -24,13 +14,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Every round gives a node the least label around it and then that label's own label, so labels
     travel twice as far each time; a count of changes ends it.
     """
-    both = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("n"), "l"))
+    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("n"), "l"), "labels")
     for _ in range(most_rounds):
         around = both.join(labels, F.col("b") == F.col("n")).groupBy(F.col("a").alias("n")).agg(F.min("l").alias("m"))
         near = labels.join(around, "n").select("n", F.least("l", "m").alias("l"), F.col("l").alias("was"))
         far = near.select(F.col("n").alias("k"), F.col("l").alias("kl"))
-        new = _kept(near.join(far, F.col("l") == F.col("k"), "left").select("n", F.least("l", F.coalesce("kl", "l")).alias("l"), "was"))
+        new = kept(near.join(far, F.col("l") == F.col("k"), "left").select("n", F.least("l", F.coalesce("kl", "l")).alias("l"), "was"), "labels")
         if new.filter("l != was").isEmpty():
             return new.select(F.col("n").alias("node"), F.col("l").alias("component"))
         labels = new.select("n", "l")

@@ -1,39 +1,66 @@
-"""Keyword retrieval over an inverted index of words: BM25, boolean forms, phrases and vocabulary.
+"""Keyword retrieval over the stored inverted index: BM25, boolean forms, phrases and vocabulary.
 
 Queries run as a batch: a table of (qid, term) is joined to the postings of just those terms.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import text as T
+from brindle.sources.corpus import Corpus
+
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Asked words that the plan names one by one, which prunes buckets and row groups; more are joined.
+MOST_WORDS = 2_000
+
 
+def idf(n: int | float, df: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
-def vocabulary(postings: DataFrame) -> DataFrame:
-    """(term, df): documents a word is in."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
+def postings_of(corpus: Corpus, words: DataFrame) -> DataFrame:
+    """The postings of the words in the column `term`: only their buckets are read."""
+    asked = words.select("term").distinct()
+    some = asked.select("term", corpus.bucket("term").alias("b")).limit(MOST_WORDS + 1).collect()
+    if len(some) > MOST_WORDS:
+        return corpus.postings.join(asked, "term", "left_semi")
+    return corpus.postings.filter(F.col("b").isin({r["b"] for r in some}) & F.col("term").isin([r["term"] for r in some]))
 
-def idf(n: Column, df: Column) -> Column:
-    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+
+def postings_of_words(corpus: Corpus, words: Sequence[str]) -> DataFrame:
+    return postings_of(corpus, corpus.spark.createDataFrame([(w,) for w in words], "term string"))
 
 
-def scores(searches: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
+def parts(corpus: Corpus, words: DataFrame) -> DataFrame:
+    """(term, doc_id, part): what each of the words adds to a document's BM25."""
+    asked = words.select("term").distinct()
+    hits = postings_of(corpus, asked).select("term", "doc_id", "tf", "len")
+    n, mean = corpus.lengths.agg(F.count("*"), F.avg("len")).first()
+    tf = F.col("tf").cast("double")
+    part = idf(n, F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / (mean or math.inf)))
+    return hits.join(asked.join(corpus.vocabulary, "term"), "term").select("term", "doc_id", part.alias("part"))
+
+
+def scores(corpus: Corpus, searches: DataFrame) -> DataFrame:
     """(qid, doc_id, score, matched): BM25 of each document with any word of a query, higher is better."""
     wanted = searches.select("qid", "term").distinct()
-    # Only postings of asked words leave the scan's stage.
-    hits = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = vocabulary(hits)
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
-    weighted = hits.join(df, "term").join(lengths, "doc_id").join(F.broadcast(totals))
-    tf = F.col("tf").cast("double")
-    part = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return wanted.join(weighted.select("term", "doc_id", part.alias("part")), "term").groupBy("qid", "doc_id").agg(
-        F.sum("part").alias("score"), F.count("*").alias("matched")
-    )
+    each = wanted.join(parts(corpus, wanted), "term")
+    return each.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
+
+
+def named_like(files: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(id, score) of files whose name (10 a word) or folder (1 a word) holds words of two letters and more."""
+    score = F.lit(0)
+    for w in words:
+        if len(w) >= 2:
+            score = score + 10 * T.contains_ci(T.basename(F.col("path")), w).cast("int") + T.contains_ci(F.regexp_replace("path", "[^/]*$", ""), w).cast("int")
+    return files.select("id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id")
 
 
 def top(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -56,9 +83,9 @@ def and_first(rows: DataFrame, searches: DataFrame, k: int) -> DataFrame:
     return top(marked.join(full, "qid").filter(~F.col("full") | F.col("every")).select("qid", "doc_id", "score"), k)
 
 
-def phrase(tokens: DataFrame, terms: list[str]) -> DataFrame:
+def phrase(corpus: Corpus, terms: Sequence[str]) -> DataFrame:
     """Documents in which the words follow each other: runs of positions that agree once shifted."""
-    places = tokens.filter(F.col("term").isin(*terms))
+    places = postings_of_words(corpus, terms).select("doc_id", "term", F.explode("pos").alias("pos"))
     shifts = F.array(*[F.when(F.col("term") == t, F.col("pos") - i) for i, t in enumerate(terms)])
     starts = places.select("doc_id", "pos", F.explode(F.filter(shifts, lambda x: x.isNotNull())).alias("start"))
     return starts.groupBy("doc_id", "start").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") == len(terms)).select("doc_id").distinct()

@@ -1,60 +1,78 @@
-"""Chunking, stemming and windows: text work that has no built-in expression, in pandas batches."""
+"""Passages, stems and windows: text work that has no built-in expression, in batches inside tasks."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Tokens of a passage and of what it repeats, least characters of a last one.
 TARGET, OVERLAP, SHORT = 512, 64, 120
+#: Costs are counted in twentieths of a token, which makes them whole: five a character, 27 a word at least.
+UNIT, CHAR_COST, LEAST_COST = 20, 5, 27
 PASSAGE = "array<struct<ordinal:int,start:int,end:int,text:string>>"
-_ATOM = re.compile(r"\S+")
-_SENTENCE_END = re.compile(r"[.!?:][\"')\]]*$")
-
-
-def cost(word: str) -> float:
-    return max(1.35, len(word) / 4)
+PLAIN, SENTENCE, PARAGRAPH = 0, 1, 2
+_WORDS, _EMPTY_LINES = re.compile(r"\S+"), re.compile(r"\n\s*\n")
+_CLOSING, _STOPS = "\"')]", ".!?:"
+
+
+def pieces(text: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, border) of words, those of over `most` characters in pieces; border says what begins there."""
+    spans = np.array([m.span() for m in _WORDS.finditer(text)], np.int64).reshape(-1, 2)
+    start, end = spans[:, 0], spans[:, 1]
+    ends = np.array([m.end() for m in _EMPTY_LINES.finditer(text)], np.int64)
+    before = np.concatenate([[0], end[:-1]]) if len(end) else end
+    fresh = np.searchsorted(ends, start, side="right") > np.searchsorted(ends, before, side="right")
+    stopped = np.array([text[a:b].rstrip(_CLOSING)[-1:] in _STOPS and text[a:b].rstrip(_CLOSING) != "" for a, b in spans.tolist()], bool)
+    border = np.where(fresh | (start == 0), PARAGRAPH, np.where(np.concatenate([[False], stopped[:-1]])[: len(start)], SENTENCE, PLAIN))
+    count = -(-(end - start) // most)
+    owner = np.repeat(np.arange(len(start)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    first = start[owner] + place * most
+    return first, np.minimum(first + most, end[owner]), np.where(place == 0, border[owner], PLAIN)
 
 
 def passages(text: str, target: int = TARGET, overlap: int = OVERLAP, short: int = SHORT) -> list[tuple[int, int]]:
-    """(start, end) of windows of about `target` tokens that end at a paragraph or sentence where one is
-    near, and start `overlap` tokens before the last one's end. A short tail joins the window before it."""
-    atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text)]
-    if not atoms:
-        return []
-    costs = [cost(text[a:b]) for a, b in atoms]
-    out, first = [], 0
-    while first < len(atoms):
-        spent, last = 0.0, first
-        while last < len(atoms) and (spent + costs[last] <= target or last == first):
-            spent += costs[last]
-            last += 1
-        if last < len(atoms):
-            last = _break(text, atoms, first, last, target)
-        out.append((atoms[first][0], atoms[last - 1][1]))
-        if last >= len(atoms):
+    """(start, end) of windows of at most `target` tokens.
+
+    A window ends before the last paragraph that begins in its last fifth, else before the last
+    sentence that does, but is at least half as long as it could be. The next begins where `overlap`
+    tokens are repeated, or at the first sentence after that. A last window of under `short`
+    characters joins the one before it.
+    """
+    start, end, border = pieces(text, target * 4)
+    n = len(start)
+    spent = np.concatenate([[0], np.cumsum(np.maximum(LEAST_COST, CHAR_COST * (end - start)))])
+    index = np.arange(n)
+    last_of = {b: np.maximum.accumulate(np.where(border >= b, index, -1)) for b in (SENTENCE, PARAGRAPH)}
+    sentences = np.flatnonzero(border >= SENTENCE)
+    out: list[tuple[int, int]] = []
+    here = 0
+    while here < n:
+        stop = max(here + 1, int(np.searchsorted(spent, spent[here] + target * UNIT, side="right")) - 1)
+        if stop < n:
+            least = max(here + 1, stop - max(1, target // 5), here + (stop - here) // 2)
+            stop = next((int(last_of[b][stop]) for b in (PARAGRAPH, SENTENCE) if last_of[b][stop] >= least), stop)
+        a, b = int(start[here]), int(end[stop - 1])
+        if stop == n and out and b - a < short and b > out[-1][1]:
+            out[-1] = (out[-1][0], b)
+            break
+        out.append((a, b))
+        if stop == n:
             break
-        back, spent = last, 0.0
-        while back > first + 1 and spent + costs[back - 1] <= overlap:
-            back -= 1
-            spent += costs[back]
-        starts = [i for i in range(back, last) if _SENTENCE_END.search(text[slice(*atoms[i - 1])])]
-        first = max(first + 1, starts[0] if starts else back)
-    if len(out) > 1 and out[-1][1] - max(out[-1][0], out[-2][1]) < short:
-        out[-2:] = [(out[-2][0], out[-1][1])]
+        back = stop
+        if overlap > 0:
+            back = max(here + 1, int(np.searchsorted(spent, spent[stop] - overlap * UNIT, side="right")) - 1)
+            k = int(np.searchsorted(sentences, back))
+            back = int(sentences[k]) if k < len(sentences) and sentences[k] < stop else back
+        here = max(back, here + 1)
     return out
 
 
-def _break(text: str, atoms: list[tuple[int, int]], first: int, last: int, target: int) -> int:
-    floor = max(first + 1, last - target // 5, first + (last - first) // 2)
-    paragraph = [i for i in range(last, floor - 1, -1) if re.search(r"\n\s*\n", text[atoms[i - 1][1] : atoms[i][0]])]
-    sentence = [i for i in range(last, floor - 1, -1) if _SENTENCE_END.search(text[slice(*atoms[i - 1])])]
-    return (paragraph or sentence or [last])[0]
-
-
 def chunk(docs: DataFrame, text: str = "text", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """docs with one row a passage: ordinal, start, end and the passage's text in place of the document's."""
 
@@ -67,17 +85,36 @@ def chunk(docs: DataFrame, text: str = "text", target: int = TARGET, overlap: in
     return docs.select(*rest, F.explode(cut(F.col(text))).alias("p")).select(*rest, "p.ordinal", "p.start", "p.end", F.col("p.text").alias(text))
 
 
+def with_pages(chunks: DataFrame, breaks: DataFrame) -> DataFrame:
+    """chunks (doc_id, start, ...) with `page`, the number of page breaks of the document at or before the start.
+
+    breaks: (doc_id, at). A document's breaks are one sorted array, so no chunk meets them row by row.
+    """
+    pages = breaks.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("breaks"))
+    before = F.size(F.filter("breaks", lambda b: b <= F.col("start")))
+    return chunks.join(pages, "doc_id", "left").withColumn("page", F.when(F.col("breaks").isNull(), 1).otherwise(before + 1)).drop("breaks")
+
+
 def dense_window(text: str, terms: list[str], width: int = 600) -> str:
-    """The stretch of `width` characters with most of the terms, at word borders."""
-    if len(text) <= width or not terms:
-        return text[:width]
-    hits = [m.start() for m in re.finditer("|".join(re.escape(t) for t in terms), text, re.I)]
-    if not hits:
-        return text[:width]
-    best = max(hits, key=lambda a: (sum(a <= h < a + width for h in hits), -a))
-    start = text.rfind(" ", 0, max(0, best - 20)) + 1
-    stop = min(len(text), start + width)
-    return text[start : stop if stop == len(text) or " " not in text[start:stop] else text.rfind(" ", start, stop)].strip()
+    """The `width` characters with most of the terms, a third of them before the first one, whole words only;
+    the beginning where there is none. Blanks count as one."""
+    flat = " ".join(text.split())
+    if len(flat) <= width or width <= 0:
+        return flat
+    words = [re.escape(t) for t in terms if t]
+    hits = np.array([m.start() for m in re.finditer("|".join(words), flat, re.I)] if words else [], np.int64)
+    start = 0
+    if len(hits):
+        inside = np.searchsorted(hits, hits + width) - np.arange(len(hits))
+        start = min(max(0, int(hits[int(inside.argmax())]) - width // 3), len(flat) - width)
+    stop = start + width
+    if start and flat[start - 1] != " ":
+        space = flat.find(" ", start, stop)
+        start = space + 1 if space >= 0 else start
+    if stop < len(flat) and flat[stop] != " ":
+        space = flat.rfind(" ", start, stop)
+        stop = space if space > start else stop
+    return flat[start:stop].strip()
 
 
 def windows(text: Column, terms: list[str], width: int = 600) -> Column:
@@ -88,25 +125,67 @@ def windows(text: Column, terms: list[str], width: int = 600) -> Column:
     return cut(text)
 
 
-_STEPS = [
-    [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")],
-    [("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ness", ""), ("ment", ""), ("ation", "ate"), ("ing", ""), ("ed", ""), ("ly", "")],
-]
+# Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980). His suffixes.
+_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
 
+def _shape(stem: str) -> str:
+    """v for each vowel and c for each consonant; y is a vowel after a consonant."""
+    out = ""
+    for ch in stem:
+        out += "v" if ch in "aeiou" or (ch == "y" and out[-1:] == "c") else "c"
+    return out
+
+
+def _measure(stem: str) -> int:
+    return len(re.findall("v+c+", _shape(stem)))
+
+
+def _short_end(stem: str) -> bool:
+    return _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
 
-def light_stem(word: str) -> str:
-    """An English stem good enough to match word forms: plural, then one suffix, stem of three letters or more."""
-    for rules in _STEPS:
-        for suffix, to in rules:
-            if word.endswith(suffix) and len(word) - len(suffix) + len(to) >= 3:
-                word = word[: len(word) - len(suffix)] + to
-                break
-    return word[:-1] if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "lsz" else word
 
+def _longest(word: str, suffixes) -> str:
+    return max((s for s in suffixes if word.endswith(s)), key=len, default="")
 
-def stems(words: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def work(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ws: [light_stem(w) for w in ws] if ws is not None else None)
 
-    return work(words)
+def porter(word: str) -> str:
+    if len(word) <= 2 or not word.isascii() or not word.isalpha():
+        return word
+    w = word
+    for suffix, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if w.endswith(suffix):
+            w = w[: len(w) - len(suffix)] + to
+            break
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    elif (suffix := _longest(w, ("ed", "ing"))) and "v" in _shape(w[: -len(suffix)]):
+        w = w[: -len(suffix)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w[-1:] == w[-2:-1] and _shape(w)[-1] == "c" and w[-1] not in "lsz":
+            w = w[:-1]
+        elif _measure(w) == 1 and _short_end(w):
+            w += "e"
+    if w.endswith("y") and "v" in _shape(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (_STEP2, _STEP3):
+        if (suffix := _longest(w, table)) and _measure(w[: -len(suffix)]) > 0:
+            w = w[: -len(suffix)] + table[suffix]
+    if (suffix := _longest(w, _STEP4)) and _measure(w[: -len(suffix)]) > 1 and (suffix != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(suffix)]
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short_end(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary (term, ...) with `stem`: each distinct word is stemmed once, whatever it stands in."""
+
+    @F.pandas_udf("string")
+    def work(words: pd.Series) -> pd.Series:
+        return words.map(porter)
+
+    return vocabulary.withColumn("stem", work("term"))

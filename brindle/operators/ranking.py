@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.llm.scratch import Scratch
+from brindle.sources.store import kept
 
 RRF_K = 60
 RECENCY_WEIGHT, HALF_LIFE_DAYS = 0.03, 180
 FILENAME_WEIGHT, DECLARATION_WEIGHT = 1.05, 1.40
 DAY_NS = 86_400_000_000_000
 
-# How code and settings declare a name.
-DECLARES = (r"\b(?:class|interface|struct|enum)\s+{}\b", r"\b(?:def|func|fn|function)\s+{}\b", r"^\s*{}\s*=", r"\b{}\s*\([^)]*\)\s*\{{", r"^\s*\"?{}\"?\s*:")
+# Words of programming languages that a declared name follows.
+TYPE_WORDS = ("class", "interface", "struct", "enum", "trait", "record", "union", "protocol", "namespace", "module", "type")
+ROUTINE_WORDS = ("def", "func", "fn", "function", "fun", "sub", "procedure")
+VALUE_WORDS = ("const", "let", "var", "val")
+STORED_WORDS = ("table", "view", "index", "trigger")
 
 
 def fuse(lists: list[tuple[str, DataFrame]], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
@@ -57,11 +62,21 @@ def filename_bonus(score: Column, path: Column, terms: list[str]) -> Column:
     return F.when(hit, score * FILENAME_WEIGHT).otherwise(score)
 
 
+def is_symbol(word: str) -> bool:
+    return len(word) >= 3 and word.isascii() and word.isidentifier()
+
+
+def declares(text: Column, name: str) -> Column:
+    """Whether a line of the text declares the name: after a word that declares, with a value, or with a body."""
+    word = re.escape(name)
+    after = "|".join((*TYPE_WORDS, *ROUTINE_WORDS, *VALUE_WORDS, *(f"create +{w}" for w in STORED_WORDS)))
+    opened = rf"\b{word} *\([^()\n]*\) *\{{"
+    given = rf"^[ \t]*\"?{word}\"?[ \t]*(?::=?|=)[^=\n]"
+    return text.rlike(rf"(?im)(?:\b(?:{after})[ \t]+{word}\b)|(?:{given})|(?:{opened})")
+
+
 def declaration_bonus(score: Column, text: Column, name: str) -> Column:
-    hit = F.lit(False)
-    for shape in DECLARES:
-        hit = hit | text.rlike("(?im)" + shape.format(name))
-    return F.when(hit, score * DECLARATION_WEIGHT).otherwise(score)
+    return F.when(declares(text, name), score * DECLARATION_WEIGHT).otherwise(score)
 
 
 def positions(rows: DataFrame, *order: Column) -> DataFrame:
@@ -71,7 +86,7 @@ def positions(rows: DataFrame, *order: Column) -> DataFrame:
     """
     spark = rows.sparkSession
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
-    dealt = Scratch(spark, "positions").save(dealt, "ranges")
+    dealt = kept(dealt, "positions")
     before, offsets = 0, []
     for part, n in sorted(tuple(r) for r in dealt.groupBy("_part").count().collect()):
         offsets += [F.lit(part), F.lit(before).cast("long")]
@@ -89,6 +104,31 @@ def fold_copies(hits: DataFrame) -> DataFrame:
     ).drop("g")
 
 
+def _heads(hits: DataFrame, group: Column) -> DataFrame:
+    """Of each group the newest row, with the group's best rank and all of its ids."""
+    newest = F.struct("mtime_ns", -F.col("id"))
+    return hits.withColumn("g", group).groupBy("g").agg(
+        *[F.max_by(c, newest).alias(c) for c in hits.columns if c not in ("rank", "folded")], F.min("rank").alias("rank"),
+        F.flatten(F.collect_list("folded")).alias("folded"),
+    ).drop("g")
+
+
+def fold(hits: DataFrame) -> DataFrame:
+    """A page of hits (rank, id, path, mtime_ns, content_hash) with copies and versions as one row each.
+
+    First equal contents, then files of one folder, family and extension of which one at least bears a
+    version mark. The newest stands for its group, at the group's best place; `folded` has the others.
+    """
+    rows = _heads(hits.withColumn("folded", F.array("id")), F.coalesce("content_hash", F.concat(F.lit("#"), F.col("id").cast("string"))))
+    path = F.col("path")
+    family = F.concat_ws("\u0001", F.lower(F.regexp_replace(path, "[^/]*$", "")), T.version_family(path), F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)))
+    marked = rows.withColumn("family", family)
+    several = marked.groupBy("family").agg(F.count("*").alias("n"), F.max(T.has_version_mark(path)).alias("marked")).filter("n > 1 and marked").select("family", "marked")
+    rows = marked.join(several, "family", "left").withColumn("key", F.when(F.col("marked"), F.col("family")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))))
+    out = _heads(rows.drop("family", "marked"), F.col("key")).drop("key")
+    return out.withColumn("folded", F.array_sort(F.array_remove("folded", F.col("id"))))
+
+
 def by_document(hits: DataFrame) -> DataFrame:
     """The best passage of each file, ranked anew within its query."""
     best = hits.groupBy("qid", "file_id").agg(F.min(F.struct("rank", "chunk_id")).alias("b"))

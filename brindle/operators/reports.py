@@ -88,11 +88,12 @@ def month_of(ns: str) -> Column:
     return F.date_format(F.timestamp_micros(F.floor(F.col(ns) / 1000)), "yyyyMM")
 
 
-def about(files: DataFrame, topics: list[str]) -> DataFrame:
-    """Readable files with each topic in the path or the text."""
+def about(files: DataFrame, topics: list[str], bodies: DataFrame) -> DataFrame:
+    """Readable files with each topic in the path or the text; bodies: (id, text). Only ids of hits are joined."""
     out = files.filter(F.col("status").isin("INDEXED", "PARTIAL", "NAME_ONLY"))
     for t in topics:
-        out = out.filter(T.contains_ci(F.col("path"), t) | F.lower("text").contains(t.lower()))
+        hits = bodies.filter(F.lower("text").contains(t.lower())).select("id", F.lit(True).alias("hit")).distinct()
+        out = out.join(hits, "id", "left").filter(T.contains_ci(F.col("path"), t) | F.col("hit")).drop("hit")
     return out
 
 
@@ -103,3 +104,22 @@ def scan(files: DataFrame) -> DataFrame:
         .when(F.col("ext") == "jpg", "ocr").otherwise("none")
     )
     return files.groupBy("ext").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).withColumn("tier", tier)
+
+
+# What downloads, editors and installers leave behind.
+LEFTOVER_ENDS = ("tmp", "temp", "part", "partial", "crdownload", "download")
+INSTALLER_ENDS = ("msi", "exe", "dmg", "pkg", "iso")
+
+
+def is_leftover(path: Column) -> Column:
+    """Partial downloads, temporary and owner files, and installers in a downloads folder."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    folders = F.split(F.lower(F.regexp_replace(path, "[^/]*$", "")), "/")
+    return ext.isin(*LEFTOVER_ENDS) | T.basename(path).startswith("~$") | (ext.isin(*INSTALLER_ENDS) & F.array_contains(folders, "downloads"))
+
+
+def case_twins(files: DataFrame) -> DataFrame:
+    """Files whose paths differ in case only."""
+    key = F.lower("path")
+    several = files.groupBy(key.alias("key")).agg(F.count_distinct("path").alias("n")).filter("n > 1").select("key")
+    return files.withColumn("key", key).join(several, "key", "left_semi").drop("key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
@@ -20,19 +20,25 @@ def blocks(queries: DataFrame, key: str) -> list[DataFrame]:
     return [queries.filter(part == i) for i in range(n)] if n > 1 else [queries]
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, other: Column | None = None) -> DataFrame:
     """(qid, id, sim, rank) by cosine, ties to the smaller id.
 
-    queries: (qid, q); vectors: (id, v). Each block of queries is broadcast and meets all vectors.
+    queries: (qid, q); vectors: (id, v); `other` tells which pairs count (by default, those of two ids). Each block of queries is broadcast and meets all vectors.
     A task keeps its own k best a query before anything is shuffled.
     """
-    pairs = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(b), F.col("id") != F.col("qid")) for b in blocks(queries, "qid")])
+    pairs = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(b), F.col("id") != F.col("qid") if other is None else other) for b in blocks(queries, "qid")])
     rated = pairs.select("qid", "id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("sim"))
     own = F.row_number().over(Window.partitionBy("qid", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy(F.desc("sim"), "id"))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))
     return rated.withColumn("r", own).filter(F.col("r") <= k).withColumn("rank", best).filter(F.col("rank") <= k).drop("r")
 
 
+def nearest_to(vectors: DataFrame, q: list[float], k: int) -> DataFrame:
+    """(id, sim): the k vectors of (id, v) nearest to one vector by cosine, ties to the smaller id."""
+    rated = vectors.select("id", F.round(V.cosine(F.lit(q), F.col("v")), 6).alias("sim"))
+    return rated.orderBy(F.desc("sim"), "id").limit(k)
+
+
 def centroids(vectors: DataFrame, group: str, column: str) -> DataFrame:
     """(group, pos, mean): the mean vector of each group, one row a coordinate."""
     return vectors.select(group, F.posexplode(column).alias("pos", "x")).groupBy(group, "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))

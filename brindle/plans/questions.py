@@ -39,8 +39,9 @@ class Aggregate:
 
     def parsed(self) -> Parsed:
         days = self.year and (dt.date(self.year, 1, 1), dt.date(self.year, 12, 31))
+        asked = {"type": list(self.types)} if self.types else {}
         return Parsed(
-            terms=self.topics, filters={"type": list(self.types)} if self.types else {}, after_ns=days and start_ns(days[0]), before_ns=days and end_ns(days[1])
+            terms=self.topics, filters=asked | ({"from": list(self.people)} if self.people else {}), after_ns=days and start_ns(days[0]), before_ns=days and end_ns(days[1])
         )
 
 
@@ -73,7 +74,7 @@ def parse_aggregate(question: str) -> Aggregate | None:
 
 def answer(files: DataFrame, spec: Aggregate, corpus) -> DataFrame:
     """One row: the count, the bytes, or the newest or oldest file."""
-    found = filters.apply(reports.about(files, list(spec.topics)), spec.parsed(), corpus)
+    found = filters.apply(reports.about(files, list(spec.topics), corpus.bodies), spec.parsed(), corpus)
     when = F.coalesce("taken_at_ns", "mtime_ns")
     return {
         "count": lambda: found.agg(F.count("*").alias("n")),

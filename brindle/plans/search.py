@@ -1,52 +1,115 @@
-"""The whole search: parse, filter, retrieve, fuse, fold and rank, as one plan for a batch of queries."""
+"""The whole search: parse, filter, retrieve in lanes, fuse, blend, fold and rank, as one plan."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import filters, keyword, ranking
-from brindle.plans.grammar import Parsed, parse, relaxations
+from brindle.functions import text as T
+from brindle.operators import filters, keyword, ranking, vectors
+from brindle.plans import grammar
+from brindle.plans.grammar import Parsed
 from brindle.sources.corpus import BASE_NS, Corpus
+from brindle.sources.store import kept
 
+#: Rows of each lane that are fused, and words of the vocabulary that a pattern stands for at most.
+LANE, MOST_FORMS = 100, 200
 
-def search(corpus: Corpus, text: str, limit: int = 20, today: dt.date = dt.date(2024, 1, 1), relax: int = 2) -> DataFrame:
-    """(rank, id, path, score, sources) of one typed query; if it finds nothing, up to `relax` looser forms."""
-    q = parse(text, today)
-    found = ranked(corpus, q, limit)
-    for _, looser in relaxations(q)[:relax] if found.isEmpty() else ():
-        found = ranked(corpus, looser, limit)
-        if not found.isEmpty():
+
+def search(corpus: Corpus, text: str, limit: int = 20, today: dt.date = dt.date(2024, 1, 1), relax: int = 2, vector: list[float] | None = None) -> DataFrame:
+    """(place, id, path, score, sources, folded) of one typed query; if it finds nothing, up to `relax` looser forms.
+
+    A page is stored as it is found, so asking whether it is empty doesn't search twice.
+    """
+    q = grammar.parse(text, today)
+    if grammar.looks_pasted(text) and not (q.phrases or q.filters or q.all_terms):
+        q = Parsed(phrases=(grammar.pasted_phrase(text),))
+    page = kept(ranked(corpus, q, limit, vector), "page")
+    for _, looser in grammar.relaxations(q)[:relax]:
+        if not page.isEmpty():
             break
-    return found
+        page = kept(ranked(corpus, looser, limit, vector), "page")
+    return page
+
 
+def forms(corpus: Corpus, word: str) -> list[str]:
+    """The words of the vocabulary that a typed word stands for: itself and its spellings as a number; the
+    parts of a pattern's matches, commonest first."""
+    w = word.lower()
+    if set(w) & set("*?"):
+        if sum(c.isalnum() for c in w) < 2:
+            return []
+        found = corpus.vocabulary.filter(F.col("term").rlike(T.glob_regex(w))).orderBy(F.desc("df"), "term").limit(MOST_FORMS)
+        return [r["term"] for r in found.collect()]
+    return list(dict.fromkeys([*T.plain_words(w), *(f for f in grammar.number_forms(w) if f.isalnum())]))
 
-def ranked(corpus: Corpus, q: Parsed, limit: int) -> DataFrame:
+
+def matching(corpus: Corpus, q: Parsed) -> DataFrame | None:
+    """(doc_id, score) of documents that the words of q ask for; None where q has no words.
+
+    Alternatives of OR stand beside each other; within one, several words rank by how many match,
+    or must all match after an AND. All forms of a word count as that word. A word that stands for
+    nothing matches nothing.
+    """
+    rows, sizes = [], []
+    for g, group in enumerate(q.groups or ((q.terms,) if q.terms else ())):
+        words = grammar.content_words(group)
+        sizes.append(len(words))
+        rows += [(g, k, f) for k, w in enumerate(words) for f in forms(corpus, w)]
+    if not sizes:
+        return None
+    asked = corpus.spark.createDataFrame(rows, "grp int, word int, term string")
+    each = keyword.parts(corpus, asked.select("term"))
+    met = asked.join(each, "term").groupBy("doc_id", "grp").agg(F.sum("part").alias("score"), F.countDistinct("word").alias("matched"))
+    if q.all_terms:
+        wanted = F.get(F.lit(sizes), F.col("grp"))
+        met = met.filter(F.col("matched") == wanted)
+    return met.groupBy("doc_id").agg(F.sum("score").alias("score"))
+
+
+def allowed(corpus: Corpus, q: Parsed) -> DataFrame:
+    """Files under the filters, phrases and exclusions of q."""
     files = filters.apply(corpus.files, q, corpus)
+    having = lambda words: keyword.phrase(corpus, words).withColumnRenamed("doc_id", "id")
     for p in q.phrases:
-        words = p.lower().split()
-        files = files.join(keyword.phrase(corpus.tokens, words).withColumnRenamed("doc_id", "id"), "id", "left_semi")
-    for w in q.excluded:
-        gone = corpus.postings.filter(F.col("term") == w.lower()).select(F.col("doc_id").alias("id"))
-        files = files.join(gone, "id", "left_anti")
-    terms = [t.lower() for t in q.content_terms()] + [w.lower() for g in q.or_groups for w in g]
-    if not terms:
-        newest = files.select("id", "path", F.coalesce("taken_at_ns", "mtime_ns").alias("when_ns")).orderBy(F.desc("when_ns"), "id").limit(limit)
-        return newest.select("id", "path", F.lit(0.0).alias("score"), F.lit("newest").alias("sources"))
-    asked = corpus.spark.createDataFrame([(0, t) for t in dict.fromkeys(terms)], "qid long, term string")
-    scores = keyword.scores(asked, corpus.postings, corpus.lengths)
-    if q.all_terms:
-        scores = keyword.with_all_terms(scores, asked)
-    allowed = files.select(F.col("id").alias("doc_id"), "path", "mtime_ns")
-    first = keyword.top(scores.join(allowed, "doc_id", "left_semi").select("qid", "doc_id", "score"), 100)
-    fused = ranking.placed(ranking.fuse([("keyword", first.select("qid", F.col("doc_id").alias("id"), "rank"))]), 100)
-    met = fused.select("id", "rrf", "sources").join(files.select("id", "path", "mtime_ns"), "id")
-    score = ranking.filename_bonus(F.col("rrf"), F.col("path"), terms)
-    met = met.withColumn("score", F.round(score, 9))
-    order = F.round(ranking.recency(F.col("score"), F.col("mtime_ns"), BASE_NS), 9)
+        files = files.join(having(T.plain_words(p.lower())), "id", "left_semi")
+    for p in (*q.not_phrases, *q.excluded):
+        files = files.join(having(T.plain_words(p.lower())), "id", "left_anti")
+    return files
+
+
+def ranked(corpus: Corpus, q: Parsed, limit: int, vector: list[float] | None = None) -> DataFrame:
+    files = allowed(corpus, q)
+    found = matching(corpus, q)
+    lanes = []
+    first = lambda df, by: df.withColumn("rank", F.row_number().over(Window.orderBy(*by)))  # noqa: E731  LANE rows at most
+    if found is not None:
+        best = found.withColumnRenamed("doc_id", "id").join(files.select("id"), "id", "left_semi").withColumn("score", F.round("score", 6))
+        lanes.append(("keyword", first(best.orderBy(F.desc("score"), "id").limit(LANE), [F.desc("score"), F.col("id")])))
+        lanes.append(("name", first(keyword.named_like(files, [w.lower() for w in q.content_terms()]).limit(LANE), [F.desc("score"), F.col("id")])))
+    if vector is not None:
+        near = vectors.nearest_to(corpus.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(files.select("id"), "id", "left_semi"), vector, LANE)
+        lanes.append(("vector", first(near, [F.desc("sim"), F.col("id")])))
+    if not lanes:
+        order = files.withColumn("when_ns", filters.effective_ns()).orderBy(F.desc("when_ns"), "id").limit(limit)
+        return first(order, [F.desc("when_ns"), F.col("id")]).select(F.col("rank").alias("place"), "id", "path", F.lit(0.0).alias("score"), F.lit("newest").alias("sources"), F.array().cast("array<bigint>").alias("folded"))
+    fused = ranking.placed(ranking.fuse([(n, df.select(F.lit(0).cast("long").alias("qid"), "id", "rank")) for n, df in lanes]), LANE)
+    met = fused.select("id", "rrf", "sources").join(files.select("id", "path", "mtime_ns", "content_hash"), "id")
+    terms = [w.lower() for w in q.content_terms()]
+    key = F.round("rrf", 9)
     if q.sort in ("newest", "oldest", "name"):
-        order = {"newest": F.col("mtime_ns"), "oldest": -F.col("mtime_ns"), "name": None}[q.sort]
-    keys = [F.lower("path")] if order is None else [order.desc(), F.col("id")]
-    return met.orderBy(*keys).limit(limit).select("id", "path", "score", "sources")
+        order = {"newest": [F.desc("mtime_ns")], "oldest": [F.asc("mtime_ns")], "name": [F.lower(T.basename(F.col("path"))), F.col("path")]}[q.sort]
+        met = met.withColumn("score", key)
+    else:
+        met = met.withColumn("score", F.round(ranking.filename_bonus(F.col("rrf"), F.col("path"), terms), 9))
+        blend = ranking.recency(F.col("score"), F.col("mtime_ns"), BASE_NS)
+        if len(terms) == 1 and ranking.is_symbol(terms[0]):
+            text = corpus.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+            met = met.join(text, "id", "left").withColumn("declared", ranking.declares(F.col("body"), terms[0])).drop("body")
+            blend = F.when(F.col("declared"), blend * ranking.DECLARATION_WEIGHT).otherwise(blend)
+        order = [F.round(blend, 9).desc()]
+    hits = first(met, [*order, F.col("id")]).select("rank", "id", "path", "mtime_ns", "content_hash", "score", "sources")
+    page = ranking.fold(hits).orderBy("rank", "id").limit(limit)
+    return first(page, [F.col("rank"), F.col("id")]).select(F.col("rank").alias("place"), "id", "path", "score", "sources", "folded")

@@ -39,6 +39,11 @@ _filter("filter_size", "size:>2kb size:<=8kb", "size_bytes > 2048 AND size_bytes
 _filter("filter_after", "after:2023-06", f"{EFFECTIVE} >= 1685577600000000000")
 _filter("filter_date_range", "date:2022", f"{EFFECTIVE} BETWEEN 1640995200000000000 AND 1672531199999999000")
 _filter("filter_relative_date", "after:90d", f"{EFFECTIVE} >= {BASE_NS - 90 * DAY_NS}")
+_filter("filter_status_words", "status:timedout,done", "status IN ('SKIPPED', 'INDEXED')")
+_filter("filter_between", "between:2021-03 and 2022", f"{EFFECTIVE} BETWEEN 1614556800000000000 AND 1672531199999999000")
+_filter("filter_dates_reversed", "after:2023 before:2021", f"{EFFECTIVE} BETWEEN 1609459200000000000 AND 1704067199999999000")
+_filter("filter_star_extension", "*.pdf -*.txt", "ext = 'pdf' AND ext <> 'txt'")
+_filter("filter_open_span", "date:..2021-06", f"{EFFECTIVE} <= 1625097599999999000")
 _filter("filter_status", "status:failed status:pending", "status IN ('FAILED', 'PENDING')")
 _filter("filter_scope_mail", "scope:mail", MAIL)
 _filter("filter_scope_documents", "scope:documents", f"NOT {MAIL}")
@@ -52,6 +57,39 @@ _filter("filter_switches", "/type pdf /in src1 size:>1kb", "ext = 'pdf' AND lowe
 del _filter
 
 
+def _listing(name: str, text: str, where: str) -> None:
+    """A filter over the list of files, messages and attachments."""
+    query(name, f"SELECT id, path FROM listing f WHERE {where}")(lambda c: filters.apply(c.listing, parse(text, TODAY), c).select("id", "path"))
+
+
+MAIL_IN = "id IN (SELECT mail_id FROM messages WHERE %s)"
+_listing("filter_from", "from:ASSIST", MAIL_IN % "lower(sender) LIKE '%assist%'")
+_listing("filter_not_from", "-from:assist scope:mail", f"{MAIL} AND NOT " + MAIL_IN % "lower(sender) LIKE '%assist%'")
+_listing("filter_to", "to:user@example.com", MAIL_IN % "len(list_filter(recipients, lambda r: contains(lower(r), 'user@example.com'))) > 0")
+_listing("filter_not_to", "-to:user scope:mail", f"{MAIL} AND NOT " + MAIL_IN % "len(list_filter(recipients, lambda r: contains(lower(r), 'user'))) > 0")
+_listing("filter_subject", 'subject:"conversation 1"', MAIL_IN % "lower(subject) LIKE '%conversation 1%'")
+_listing("filter_not_subject", "-subject:1 scope:mail", f"{MAIL} AND NOT " + MAIL_IN % "lower(subject) LIKE '%1%'")
+_listing("filter_from_nobody", "from:nobody", "false")
+_listing("filter_has_attachment", "has:attachment", MAIL_IN % "has_attach")
+_listing("filter_no_attachment", "-has:attachment", MAIL_IN % "NOT has_attach")
+ATTACHED = "path IN (SELECT split_part(path, '/attachments/', 1) FROM listing WHERE contains(path, '/attachments/') AND regexp_extract(path, '[^/]*$') LIKE '%s')"
+_listing("filter_attachment", "attachment:report_3*.pdf", ATTACHED % "report\\_3%.pdf' ESCAPE '\\")
+_listing("filter_not_attachment", "-attachment:report_3 from:user", "NOT " + ATTACHED % "%report\\_3%' ESCAPE '\\" + " AND " + MAIL_IN % "lower(sender) LIKE '%user%'")
+_listing("filter_mailbox", "mailbox:archive_3", MAIL_IN % "archive LIKE '%archive\\_3%' ESCAPE '\\'")
+_listing("filter_mailfolder", "mailfolder:inbox*", MAIL_IN % "lower(folder) LIKE 'inbox%'")
+_listing("filter_place", "place:Porto,place place:leeds", "lower(place) IN ('porto,place', 'leeds')")
+_listing("filter_not_place", "-place:l*", "place IS NULL OR NOT lower(place) LIKE 'l%'")
+_listing("filter_who", 'who:"person 1"', "id IN (SELECT file_id FROM faces JOIN piles p ON p.id = pile WHERE lower(p.name) = 'person 1')")
+_listing("filter_not_who", "-who:person* type:jpg", "ext = 'jpg' AND id NOT IN (SELECT file_id FROM faces JOIN piles p ON p.id = pile WHERE lower(p.name) LIKE 'person%')")
+_listing("only_named", "only:named", "EXISTS (SELECT 1 FROM faces JOIN piles p ON p.id = pile WHERE file_id = f.id AND p.name IS NOT NULL)")
+_listing("only_unnamed", "only:unnamed", "EXISTS (SELECT 1 FROM faces LEFT JOIN piles p ON p.id = pile WHERE file_id = f.id AND p.name IS NULL)")
+_listing("not_only_named", "-only:named type:jpg", "ext = 'jpg' AND NOT EXISTS (SELECT 1 FROM faces JOIN piles p ON p.id = pile WHERE file_id = f.id AND p.name IS NOT NULL)")
+_listing("only_no_faces", "only:no-faces", "ext = 'jpg' AND NOT EXISTS (SELECT 1 FROM faces WHERE file_id = f.id)")
+_listing("only_mail_pictures", "only:mail", "contains(path, '/attachments/')")
+_listing("filter_negated_path_and_name", "-path:src1 -name:*7.pdf", "NOT lower(path) LIKE '%src1%' AND NOT regexp_matches(regexp_extract(path, '[^/]*$'), '7\\.pdf$')")
+del _listing
+
+
 @query("files_newest", f"SELECT id, path, {EFFECTIVE} AS when_ns FROM files ORDER BY when_ns DESC, id LIMIT 50")
 def files_newest(c: Corpus):
     return reports.newest(c.files, 50)
@@ -87,7 +125,7 @@ def union_name_content(c: Corpus):
 @query("repos_with_matches", "SELECT DISTINCT repo_id FROM (SELECT repo_id FROM files WHERE path LIKE '%/en/%' UNION SELECT repo_id FROM files WHERE lower(text) LIKE '%license%') WHERE repo_id IS NOT NULL")
 def repos_with_matches(c: Corpus):
     by_name = c.files.filter(F.col("path").contains("/en/")).select("repo_id")
-    by_text = c.files.filter(F.lower("text").contains("license")).select("repo_id")
+    by_text = c.texts.filter(F.lower("text").contains("license")).select("repo_id")
     return by_name.union(by_text).filter("repo_id is not null").distinct()
 
 
@@ -213,9 +251,15 @@ def copies_elsewhere(c: Corpus):
     return c.files.filter("volume_id is null").select("id", "content_hash").join(named, "content_hash").select("id", "name")
 
 
-@query("leftovers", r"SELECT id, path FROM files WHERE regexp_matches(path, '\.(tmp|part|crdownload)$') OR (ext = 'xlsx' AND size_bytes < 600)")
+LEFT = "SELECT id, size_bytes, CASE id % 11 WHEN 0 THEN path || '.part' WHEN 1 THEN regexp_replace(path, '([^/]*)$', '~$\\1') WHEN 2 THEN '/home/Downloads/setup_' || id || '.msi' WHEN 3 THEN '/home/apps/setup_' || id || '.msi' ELSE path END AS path FROM files WHERE volume_id IS NULL"
+
+
+@query("leftovers", f"SELECT id, path FROM ({LEFT}) WHERE regexp_matches(lower(path), '\\.(tmp|temp|part|partial|crdownload|download)$') OR starts_with({BASENAME}, '~$') OR (regexp_matches(lower(path), '\\.(msi|exe|dmg|pkg|iso)$') AND contains(lower(path), '/downloads/'))")
 def leftovers(c: Corpus):
-    return c.files.filter(F.col("path").rlike(r"\.(tmp|part|crdownload)$") | ((F.col("ext") == "xlsx") & (F.col("size_bytes") < 600))).select("id", "path")
+    i = F.col("id") % 11
+    name = lambda where: F.concat(F.lit(f"/home/{where}/setup_"), F.col("id").cast("string"), F.lit(".msi"))
+    path = F.when(i == 0, F.concat("path", F.lit(".part"))).when(i == 1, F.regexp_replace("path", "([^/]+)$", "~\\$$1")).when(i == 2, name("Downloads")).when(i == 3, name("apps")).otherwise(F.col("path"))
+    return c.files.filter("volume_id is null").select("id", path.alias("path")).filter(reports.is_leftover(F.col("path")))
 
 
 @query("keeper_rule", f"WITH g AS ({GROUPS}) SELECT content_hash, id AS keep_id FROM (SELECT f.content_hash, f.id, row_number() OVER (PARTITION BY f.content_hash ORDER BY f.volume_id IS NOT NULL, f.mtime_ns, length(f.path), f.path) AS r FROM files f JOIN g ON f.content_hash = g.content_hash) WHERE r = 1")
@@ -223,9 +267,13 @@ def keeper_rule(c: Corpus):
     return reports.keepers(c.files)
 
 
-@query("case_twins", "SELECT p AS path_lc, count(*) AS n FROM (SELECT lower(split_part(path, '/', 3)) AS p FROM files) GROUP BY 1 HAVING count(*) > 1")
+TWINS = "SELECT id, path FROM files UNION ALL SELECT id + 1000000, upper(path) FROM files WHERE id % 9 = 0"
+
+
+@query("case_twins", f"WITH t AS ({TWINS}), g AS (SELECT lower(path) AS p FROM t GROUP BY 1 HAVING count(DISTINCT path) > 1) SELECT t.id, t.path FROM t JOIN g ON lower(t.path) = g.p")
 def case_twins(c: Corpus):
-    return c.files.groupBy(F.lower(F.split_part("path", F.lit("/"), F.lit(3))).alias("path_lc")).agg(F.count("*").alias("n")).filter("n > 1")
+    again = c.files.filter("id % 9 = 0").select((F.col("id") + 1000000).alias("id"), F.upper("path").alias("path"))
+    return reports.case_twins(c.files.select("id", "path").unionByName(again))
 
 
 BRANCHES = f"SELECT {EFFECTIVE} AS when_ns, CASE WHEN taken_at_ns IS NOT NULL THEN 0 ELSE 1 END AS branch, id FROM files UNION ALL SELECT sent_at * 1000000000, 2, file_id FROM messages WHERE sent_at IS NOT NULL"
@@ -267,7 +315,7 @@ for _op, _spark, _sql in (
     ("oldest", lambda f: f.agg(F.min_by("id", F.struct(filters.effective_ns(), F.col("id"))).alias("id")), "min_by(id, (coalesce(taken_at_ns, mtime_ns), id)) AS id"),
 ):
     query(f"topic_aggregate_{_op}", f"SELECT {_sql} FROM files WHERE status IN ('INDEXED', 'PARTIAL', 'NAME_ONLY') AND ext = 'pdf' AND (lower(path) LIKE '%license%' OR lower(text) LIKE '%license%')")(
-        lambda c, f=_spark: f(reports.about(c.files.filter("ext = 'pdf'"), ["license"]))
+        lambda c, f=_spark: f(reports.about(c.files.filter("ext = 'pdf'"), ["license"], c.bodies))
     )
 
 
@@ -293,6 +341,16 @@ def question_count(c: Corpus):
     return questions.answer(c.files, questions.parse_aggregate("How many PDFs in 2022?"), c)
 
 
+@query("question_people", f"SELECT count(*) AS n FROM listing WHERE ext IN ('eml', 'msg', 'pst', 'mbox') AND {MAIL_IN % "lower(sender) LIKE '%assistant%'"} AND {EFFECTIVE} BETWEEN 1704067200000000000 AND 1735689599999999000")
+def question_people(c: Corpus):
+    return questions.answer(c.listing, questions.parse_aggregate("How many emails from Assistant in 2024?"), c)
+
+
+@query("question_people_unknown", "SELECT 0 AS n")
+def question_people_unknown(c: Corpus):
+    return questions.answer(c.listing, questions.parse_aggregate("How many PDFs from Zebediah?"), c)
+
+
 @query("question_size", "SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM files WHERE ext IN ('jpg', 'jpeg', 'png', 'gif', 'tiff', 'heic') AND status IN ('INDEXED', 'PARTIAL', 'NAME_ONLY')")
 def question_size(c: Corpus):
     return questions.answer(c.files, questions.Aggregate("size", questions.NOUNS["photos"]), c)

@@ -239,7 +239,7 @@ HASH32 = "CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)"
 @query("phash_pairs", f"SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS bits FROM (SELECT id, parent_dir AS grp, {HASH32} AS h FROM files WHERE ext = 'jpg') a JOIN (SELECT id, parent_dir AS grp, {HASH32} AS h FROM files WHERE ext = 'jpg') b ON a.grp = b.grp AND a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 12")
 def phash_pairs(c: Corpus):
     h = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long")
-    return graphs.near_hashes(c.files.filter("ext = 'jpg'").select("id", F.col("parent_dir").alias("grp"), h.alias("h")), 12)
+    return graphs.near_hashes(c.texts.filter("ext = 'jpg'").select("id", F.col("parent_dir").alias("grp"), h.alias("h")), 12)
 
 
 @query("photo_reuse", f"SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.taken_at_ns - b.taken_at_ns), b.id) AS r FROM files a JOIN files b ON a.parent_dir = b.parent_dir AND a.id <> b.id AND abs(a.taken_at_ns - b.taken_at_ns) <= {60 * DAY_NS} WHERE a.ext = 'jpg' AND b.ext = 'jpg') WHERE r = 1")
@@ -306,7 +306,7 @@ def quote_strip(c: Corpus):
 
 @query("code_matches", "SELECT doc_id, i - 1 AS line, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id % 8 = 6) WHERE contains(lower(l), 'license') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 3")
 def code_matches(c: Corpus):
-    lines = c.files.filter("ext = 'py'").select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = c.texts.filter("ext = 'py'").select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     return lines.filter(F.lower("text").contains("license")).withColumn("r", first).filter("r <= 3").select("doc_id", "line", "text")
 
@@ -372,8 +372,9 @@ def rerank_window(c: Corpus):
 
 @query("stemmed_postings", None)
 def stemmed_postings(c: Corpus):
-    words = c.table("documents").filter("lang = 'en'").select("doc_id", passages.stems(T.words(F.col("text"))).alias("stems"))
-    return words.select("doc_id", F.explode("stems").alias("stem")).groupBy("stem").agg(F.countDistinct("doc_id").alias("df"))
+    # Distinct words are stemmed, and joined to the postings.
+    stems = passages.stems(c.vocabulary.select("term"))
+    return c.postings.select("term", "doc_id").join(stems, "term").groupBy("stem").agg(F.countDistinct("doc_id").alias("df"))
 
 
 MEANS = "SELECT label AS pile, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 5 < 3) GROUP BY 1, 2) GROUP BY 1"

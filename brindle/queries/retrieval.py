@@ -11,7 +11,6 @@ from brindle.functions import text as T
 from brindle.functions import vectors as V
 from brindle.operators import keyword, ranking, vectors
 from brindle.plans.grammar import number_forms
-from brindle.plans.search import search
 from brindle.queries.registry import query
 from brindle.sources.corpus import BASE_NS, Corpus
 
@@ -24,7 +23,7 @@ WANTED = "SELECT qid, count(*) AS wanted FROM searches GROUP BY qid"
 
 
 def _scores(c: Corpus):
-    return keyword.scores(c.searches, c.postings, c.lengths)
+    return keyword.scores(c, c.searches)
 
 
 @query("bm25_top", TOP % (RANKED % SCORES, 10))
@@ -53,13 +52,13 @@ def bm25_filtered(c: Corpus):
 
 @query("bm25_not", "SELECT DISTINCT doc_id FROM postings WHERE term = 'the' AND doc_id NOT IN (SELECT doc_id FROM postings WHERE term = 'license')")
 def bm25_not(c: Corpus):
-    has = lambda w: c.postings.filter(F.col("term") == w).select("doc_id")
+    has = lambda w: keyword.postings_of_words(c, [w]).select("doc_id")
     return has("the").join(has("license"), "doc_id", "left_anti").distinct()
 
 
 @query("bm25_phrase", "SELECT DISTINCT a.doc_id FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tokens d ON a.doc_id = d.doc_id AND d.pos = a.pos + 2 WHERE a.term = 'licensed' AND b.term = 'under' AND d.term = 'the'")
 def bm25_phrase(c: Corpus):
-    return keyword.phrase(c.tokens, ["licensed", "under", "the"])
+    return keyword.phrase(c, ["licensed", "under", "the"])
 
 
 @query("bm25_prefix", "SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM postings WHERE starts_with(term, 'licen') GROUP BY 1")
@@ -69,23 +68,23 @@ def bm25_prefix(c: Corpus):
 
 @query("vocab_df", "SELECT term, count(*) AS df FROM postings GROUP BY term ORDER BY df DESC, term LIMIT 200")
 def vocab_df(c: Corpus):
-    return keyword.vocabulary(c.postings).orderBy(F.desc("df"), "term").limit(200)
+    return c.vocabulary.orderBy(F.desc("df"), "term").limit(200)
 
 
 @query("common_terms", "SELECT term, df FROM (SELECT term, count(*) AS df FROM postings GROUP BY term) CROSS JOIN (SELECT count(*) AS n FROM lengths) WHERE df >= 0.1 * n")
 def common_terms(c: Corpus):
     n = F.broadcast(c.lengths.agg(F.count("*").alias("n")))
-    return keyword.vocabulary(c.postings).join(n).filter(F.col("df") >= 0.1 * F.col("n")).select("term", "df")
+    return c.vocabulary.join(n).filter(F.col("df") >= 0.1 * F.col("n")).select("term", "df")
 
 
 @query("unmatched_terms", "SELECT DISTINCT qid, s.term FROM searches s WHERE length(s.term) >= 3 AND s.term NOT IN (SELECT term FROM postings)")
 def unmatched_terms(c: Corpus):
-    return c.searches.filter(F.length("term") >= 3).join(c.postings.select("term").distinct(), "term", "left_anti").select("qid", "term").distinct()
+    return c.searches.filter(F.length("term") >= 3).join(c.vocabulary, "term", "left_anti").select("qid", "term").distinct()
 
 
 @query("wildcard_expand", "SELECT term, count(*) AS df FROM postings WHERE regexp_matches(term, '^th.*ing$') GROUP BY term ORDER BY df DESC, term LIMIT 200")
 def wildcard_expand(c: Corpus):
-    return keyword.vocabulary(c.postings.filter(F.col("term").rlike(T.glob_regex("th*ing")))).orderBy(F.desc("df"), "term").limit(200)
+    return c.vocabulary.filter(F.col("term").rlike(T.glob_regex("th*ing"))).orderBy(F.desc("df"), "term").limit(200)
 
 
 SPELL = """WITH w AS (SELECT DISTINCT substr(term, 1, length(term) - 1) AS word FROM searches WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z]+$')), v AS (SELECT term, count(*) AS df FROM postings WHERE regexp_matches(term, '^[a-z]+$') GROUP BY term),
@@ -99,13 +98,14 @@ def spelling_suggest(c: Corpus):
     # Plain letters only: the SQL engine counts edits in bytes, Spark in characters.
     plain = F.col("term").rlike("^[a-z]+$")
     words = c.searches.filter((F.length("term") >= 6) & plain).select(F.expr("substring(term, 1, length(term) - 1)").alias("word")).distinct()
-    return keyword.suggestions(words, keyword.vocabulary(c.postings.filter(plain)))
+    return keyword.suggestions(words, c.vocabulary.filter(plain))
 
 
-@query("number_variants", "SELECT doc_id, count(*) AS n FROM tokens WHERE term IN ('2000000', '2000000', '2m', '2000k') GROUP BY 1")
+@query("number_variants", "SELECT doc_id, count(*) AS n FROM tokens WHERE term IN ('5556869', '6869', '2373', '6210') GROUP BY 1")
 def number_variants(c: Corpus):
-    forms = ["2000000", *[f for f in number_forms("2000000") if "," not in f], "2000k"]
-    return c.tokens.filter(F.col("term").isin(*forms)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    typed = ["5,556,869", "6,869", "2,373", "6,210"]
+    forms = [f for t in typed for f in number_forms(t) if f.isalnum()]
+    return keyword.postings_of_words(c, forms).groupBy("doc_id").agg(F.sum("tf").alias("n"))
 
 
 @query("filename_search", "SELECT id, 10 * CAST(contains(lower(regexp_extract(path, '[^/]*$')), 'doc_1') AS INT) + CAST(contains(lower(parent_dir), 'src1') AS INT) AS score FROM files WHERE contains(lower(regexp_extract(path, '[^/]*$')), 'doc_1') OR contains(lower(parent_dir), 'src1') ORDER BY score DESC, id LIMIT 50")
@@ -117,40 +117,52 @@ def filename_search(c: Corpus):
 
 DOT = "list_sum(list_transform(list_zip(%s, %s), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 COS = f"{DOT % ('a.embedding', 'b.embedding')} / (sqrt({DOT % ('a.embedding', 'a.embedding')}) * sqrt({DOT % ('b.embedding', 'b.embedding')}))"
-KNN = f"SELECT qid, id, sim, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20 AND %s) WHERE rank <= 10"
+KNN = f"SELECT qid, id, sim, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND {{keep}}) WHERE rank <= 10"
 
 
 def _knn(c: Corpus, keep=None):
     e = c.table("embeddings")
-    asked = e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     pool = e.filter(keep) if keep is not None else e
     return vectors.knn(asked, pool.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
 
 
-@query("knn_cosine", KNN % "true")
+@query("knn_cosine", KNN.format(keep="true"))
 def knn_cosine(c: Corpus):
     return _knn(c)
 
 
-@query("knn_filtered", KNN % "b.label = 1")
+@query("knn_filtered", KNN.format(keep="b.label = 1"))
 def knn_filtered(c: Corpus):
     return _knn(c, F.col("label") == 1)
 
 
-@query("similar_to", f"SELECT id, rank, round(1.0 / (1 + rank), 6) AS score FROM ({KNN % 'true'}) WHERE qid = 7")
+SAME_FILE = KNN.format(keep="a.vec_id // 10 <> b.vec_id // 10")
+
+
+@query("similar_to", f"SELECT qid, id, rank, round(1.0 / (1 + rank), 6) AS score FROM ({SAME_FILE})")
 def similar_to(c: Corpus):
-    return _knn(c).filter("qid = 7").select("id", "rank", F.round(1.0 / (1 + F.col("rank")), 6).alias("score"))
+    # Ten vectors are a file's; its own are no answer.
+    e = c.table("embeddings")
+    file = lambda v: F.floor(F.col(v) / 10)
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    near = vectors.knn(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10, file("id") != file("qid"))
+    return near.select("qid", "id", "rank", F.round(1.0 / (1 + F.col("rank")), 6).alias("score"))
+
+
+SPOILT = "CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding, lambda x: CAST('nan' AS FLOAT)) WHEN vec_id % 70 = 0 THEN [] WHEN vec_id % 90 = 0 THEN NULL ELSE embedding END"
 
 
-@query("bad_vectors", "SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) = 0 OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0")
+@query("bad_vectors", f"SELECT vec_id FROM (SELECT vec_id, {SPOILT} AS e FROM embeddings) WHERE e IS NULL OR len(e) = 0 OR len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0")
 def bad_vectors(c: Corpus):
-    return vectors.bad(c.table("embeddings"), "vec_id", "embedding")
+    e, v = F.col("embedding"), F.col("vec_id")
+    spoilt = F.when(v % 50 == 0, F.transform(e, lambda x: F.lit(float("nan")).cast("float"))).when(v % 70 == 0, F.array().cast("array<float>")).when(v % 90 == 0, F.lit(None)).otherwise(e)
+    return vectors.bad(c.table("embeddings").select("vec_id", spoilt.alias("e")), "vec_id", "e")
 
 
-@query("unit_vectors", f"SELECT vec_id, round(sqrt({DOT % ('embedding', 'embedding')}), 6) AS norm, CAST(len(embedding) AS INT) AS dim FROM embeddings")
+@query("unit_vectors", f"SELECT vec_id, unnest(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt({DOT % ('embedding', 'embedding')}), 6))) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings")
 def unit_vectors(c: Corpus):
-    e = F.col("embedding")
-    return c.table("embeddings").select("vec_id", F.round(V.norm(e), 6).alias("norm"), F.size(e).alias("dim"))
+    return c.table("embeddings").select("vec_id", F.posexplode(V.unit(F.col("embedding"))).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("centroid", "SELECT label, i - 1 AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")
@@ -158,16 +170,18 @@ def centroid(c: Corpus):
     return vectors.centroids(c.table("embeddings"), "label", "embedding")
 
 
-@query("vector_coverage", "SELECT round(least(1.0, (SELECT count(*) FROM embeddings) / (SELECT count(*) FROM documents)), 6) AS coverage")
+@query("vector_coverage", "SELECT round(c, 6) AS coverage, c >= 0.95 AS ready FROM (SELECT least(1.0, (SELECT count(*) FROM embeddings) / (SELECT count(*) FROM files WHERE status <> 'NAME_ONLY')) AS c)")
 def vector_coverage(c: Corpus):
+    # Files known by name alone have no passages to embed.
     v = c.table("embeddings").agg(F.count("*").alias("v"))
-    return c.table("documents").agg(F.count("*").alias("n")).join(F.broadcast(v)).select(F.round(F.least(F.lit(1.0), F.col("v") / F.col("n")), 6).alias("coverage"))
+    share = F.least(F.lit(1.0), F.col("v") / F.col("n"))
+    return c.files.filter("status != 'NAME_ONLY'").agg(F.count("*").alias("n")).join(F.broadcast(v)).select(F.round(share, 6).alias("coverage"), (share >= 0.95).alias("ready"))
 
 
-@query("frame_best", f"SELECT file, arg_max(id, (sim, -id)) AS id, max(sim) AS sim FROM (SELECT id // 10 AS file, id, sim FROM ({KNN % 'true'}) WHERE qid = 3) GROUP BY 1")
+@query("frame_best", f"SELECT qid, file, arg_max(id, (sim, -id)) AS id, max(sim) AS sim FROM (SELECT qid, id // 10 AS file, id, sim FROM ({KNN.format(keep='true')})) GROUP BY 1, 2")
 def frame_best(c: Corpus):
-    hits = _knn(c).filter("qid = 3").withColumn("file", F.floor(F.col("id") / 10))
-    return hits.groupBy("file").agg(F.max_by("id", F.struct("sim", -F.col("id"))).alias("id"), F.max("sim").alias("sim"))
+    hits = _knn(c).withColumn("file", F.floor(F.col("id") / 10))
+    return hits.groupBy("qid", "file").agg(F.max_by("id", F.struct("sim", -F.col("id"))).alias("id"), F.max("sim").alias("sim"))
 
 
 LANE_A = f"SELECT qid, doc_id AS id, rank FROM ({TOP % (RANKED % SCORES, 20)})"
@@ -178,7 +192,7 @@ PLACED = f"SELECT qid, id, rrf, sources, place FROM (SELECT *, row_number() OVER
 
 def _fused(c: Corpus):
     first = keyword.top(_scores(c).select("qid", "doc_id", "score"), 20).select("qid", F.col("doc_id").alias("id"), "rank")
-    counts = c.searches.join(c.postings, "term").groupBy("qid", "doc_id").agg(F.sum("tf").cast("double").alias("score"))
+    counts = c.searches.join(keyword.postings_of(c, c.searches).select("term", "doc_id", "tf"), "term").groupBy("qid", "doc_id").agg(F.sum("tf").cast("double").alias("score"))
     second = keyword.top(counts, 20).select("qid", F.col("doc_id").alias("id"), "rank")
     return ranking.placed(ranking.fuse([("keyword", first), ("words", second)]), 20)
 
@@ -204,27 +218,34 @@ def filename_bonus(c: Corpus):
     return hits.select("qid", "id", F.round(ranking.filename_bonus(F.col("rrf"), F.col("path"), ["txt"]), 9).alias("score"))
 
 
-@query("declares_boost", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?im)^\s*password\s*=') OR regexp_matches(text, '(?im)\b(def|func|fn|function)\s+password\b') OR regexp_matches(text, '(?im)\b(class|interface|struct|enum)\s+password\b') OR regexp_matches(text, '(?im)\bpassword\s*\([^)]*\)\s*\{') OR regexp_matches(text, '(?im)^\s*\x22?password\x22?\s*:') THEN 1.4 ELSE 1.0 END AS score FROM documents WHERE contains(lower(text), 'password')")
+DECLARED = r"(?im)(\b(class|interface|struct|enum|trait|record|union|protocol|namespace|module|type|def|func|fn|function|fun|sub|procedure|const|let|var|val|create +table|create +view|create +index|create +trigger)[ \t]+token\b)|(^[ \t]*\x22?token\x22?[ \t]*(:=?|=)[^=\n])|(\btoken *\([^()\n]*\) *\{)"
+
+
+@query("declares_boost", f"SELECT doc_id, CASE WHEN regexp_matches(replace(text, ' token = ', chr(10) || 'token = '), '{DECLARED}') THEN CAST(1.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS score FROM documents WHERE contains(lower(text), 'token') OR contains(lower(text), 'the')")
 def declares_boost(c: Corpus):
-    docs = c.table("documents").filter(F.lower("text").contains("password"))
-    return docs.select("doc_id", ranking.declaration_bonus(F.lit(1.0), F.col("text"), "password").alias("score"))
+    docs = c.table("documents").filter(F.lower("text").contains("token") | F.lower("text").contains("the"))
+    lines = F.replace("text", F.lit(" token = "), F.lit("\ntoken = "))
+    return docs.select("doc_id", ranking.declaration_bonus(F.lit(1.0), lines, "token").alias("score"))
 
 
-@query("fold_copies", "SELECT head, position, older FROM (SELECT coalesce(content_hash, '#' || id) AS g, max_by(id, (mtime_ns, -id)) AS head, min(rank) AS position, count(*) - 1 AS older FROM (SELECT id, content_hash, mtime_ns, row_number() OVER (ORDER BY size_bytes DESC, id) AS rank FROM files WHERE ext = 'pdf' QUALIFY rank <= 500) GROUP BY 1)")
+@query("fold_copies", "SELECT head, position, older FROM (SELECT coalesce(content_hash, '#' || id) AS g, max_by(id, (mtime_ns, -id)) AS head, min(rank) AS position, count(*) - 1 AS older FROM (SELECT id, content_hash, mtime_ns, row_number() OVER (ORDER BY size_bytes DESC, id) AS rank FROM files WHERE ext = 'pdf') GROUP BY 1)")
 def fold_copies(c: Corpus):
     pdf = c.files.filter("ext = 'pdf'").select("id", "content_hash", "mtime_ns", "size_bytes")
     return ranking.fold_copies(ranking.positions(pdf, F.desc("size_bytes"), F.asc("id")))
 
 
-FAMILY = r"regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '')"
-MARKS = r"[ _.-]*(\([0-9]+\)|\[[0-9]+\]|v[0-9]+(\.[0-9]+)*|rev[ _.-]?[0-9]*|final|draft|copy|old|new|latest|current|[0-9]{4}-[0-9]{2}-[0-9]{2})$"
+MARKED = r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '')),
+ '(^|[ _.-])([0-9]{4}[-_][0-9]{2}[-_][0-9]{2}|[0-9]{2}[-_][0-9]{2}[-_][0-9]{2,4})', '\1 @', 'g'), '[(\[] *[0-9]{1,3} *[)\]]', ' @', 'g'), '(^|[ _.-])v *[0-9]+([._][0-9]+)*', '\1 @', 'g'), '(^|[ _.-])rev(ision)? *[0-9]+', '\1 @', 'g'), '[ _.-]+'), lambda w: w <> '')"""
+VERSIONS = "('final', 'draft', 'copy', 'old', 'new', 'latest', 'current', 'rev', 'revision', '@')"
+RENAMED = "SELECT id, replace(path, '.', CASE id % 6 WHEN 0 THEN '_v2.1.' WHEN 1 THEN ' (1).' WHEN 2 THEN '_final_draft.' WHEN 3 THEN '-2024-01-05 copy.' WHEN 4 THEN '_semifinal.' ELSE '.' END) AS path FROM files"
 
 
-@query("version_family", f"SELECT id, lower(trim(regexp_replace(regexp_replace(regexp_replace({FAMILY}, '{MARKS}', '', 'i'), '{MARKS}', '', 'i'), '{MARKS}', '', 'i'))) AS family FROM (SELECT id, replace(path, '.', CASE id % 4 WHEN 0 THEN '_v2.' WHEN 1 THEN ' (1).' WHEN 2 THEN '_final_draft.' ELSE '.' END) AS path FROM files)")
+@query("version_family", f"SELECT id, array_to_string(w[1:coalesce(list_max(list_transform(w, lambda x, i: CASE WHEN x IN {VERSIONS} THEN 1 ELSE i END)), 1)], ' ') AS family, coalesce(w[-1] IN {VERSIONS}, false) AS marked FROM (SELECT id, {MARKED} AS w FROM ({RENAMED}))")
 def version_family(c: Corpus):
-    mark = F.when(F.col("id") % 4 == 0, "_v2.").when(F.col("id") % 4 == 1, " (1).").when(F.col("id") % 4 == 2, "_final_draft.").otherwise(".")
+    i = F.col("id") % 6
+    mark = F.when(i == 0, "_v2.1.").when(i == 1, " (1).").when(i == 2, "_final_draft.").when(i == 3, "-2024-01-05 copy.").when(i == 4, "_semifinal.").otherwise(".")
     named = c.files.select("id", F.replace("path", F.lit("."), mark).alias("path"))
-    return named.select("id", T.version_family(F.col("path")).alias("family"))
+    return named.select("id", T.version_family(F.col("path")).alias("family"), T.has_version_mark(F.col("path")).alias("marked"))
 
 
 CHUNK_HITS = "SELECT s.qid, c.file_id, c.id AS chunk_id, row_number() OVER (PARTITION BY s.qid ORDER BY count(*) DESC, c.id) AS rank FROM (SELECT DISTINCT qid, term FROM searches) s JOIN (SELECT DISTINCT id, file_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM chunks) c ON s.term = c.term GROUP BY 1, 2, 3"
@@ -248,8 +269,3 @@ def recall_at_k(c: Corpus):
     found = bm25_top(c).select("qid", "doc_id", F.lit(1.0).alias("found"))
     hit = right.join(found, ["qid", "doc_id"], "left").groupBy("qid").agg(F.max(F.coalesce("found", F.lit(0.0))).alias("hit"))
     return hit.agg(F.round(F.avg("hit"), 6).alias("recall"))
-
-
-@query("search_full", None)
-def search_full(c: Corpus):
-    return search(c, "license version type:txt,md,pdf,docx after:2020", limit=20)

@@ -1,7 +1,8 @@
 """The engine's entities, derived from the given tables by the same expressions in Spark and in SQL.
 
 files, chunks, messages, vectors and contacts stand for what an indexer would have stored. Every
-entity is a lazy DataFrame over Parquet, so filters and columns reach the scans.
+entity is a lazy DataFrame over Parquet, so filters and columns reach the scans. What costs a pass
+over all texts (hashes of files, postings, the vocabulary) is stored once and read after that.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.store import Store
+
 #: 2024-01-01T00:00:00Z in nanoseconds, the corpus's "now", and a day.
 BASE_NS = 1704067200000000000
 DAY_NS = 86400000000000
@@ -19,15 +22,29 @@ EXTENSIONS = ("pdf", "docx", "txt", "md", "eml", "jpg", "py", "xlsx")
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
+#: Ids of mail rows and of attachment rows in the listing of all files begin here.
+MAIL_ID, ATTACHMENT_ID = 1_000_000_000_000, 2_000_000_000_000
+PLACES = ("Leeds", "Porto", "Lyon", "Graz")
+#: Input bytes for each bucket of the postings.
+BUCKET_BYTES = 32_000_000
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.store = Store(spark, [f"{sf_dir}/documents.parquet"])
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def files(self) -> DataFrame:
+        """Every file without its text, from the store."""
+        return self.store.table("files", lambda: self.texts.drop("text"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Every file with its text."""
         d = F.col("doc_id")
         ext = F.element_at(F.lit(list(EXTENSIONS)), (d % 8 + 1).cast("int"))
         parent = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang")
@@ -62,13 +79,23 @@ class Corpus:
         file_id = F.col("conv_id") * 1000 + F.col("turn")
         other = F.when(F.col("role") == "user", "assistant").otherwise("user")
         at = lambda who: F.concat(who, F.lit("@example.com"))
+        archive = F.concat(F.lit("/mail/archive_"), (F.col("conv_id") % 10).cast("string"), F.lit(".mbox"))
+        folder = F.when(F.col("turn") % 4 == 0, "Inbox").when(F.col("turn") % 4 == 1, "Inbox/Work").when(F.col("turn") % 4 == 2, "Sent Items").otherwise("Archive")
         return self.table("conversations").select(
+            (file_id + MAIL_ID).alias("mail_id"), archive.alias("archive"), folder.alias("folder"), F.concat(archive, F.lit("/message_"), file_id.cast("string"), F.lit(".eml")).alias("path"),
+            F.concat(F.lit("report_"), F.col("turn").cast("string"), F.lit(".pdf")).alias("attachment"), F.concat(F.lit("<M"), file_id.cast("string"), F.lit("@Example.com>")).alias("message_id"),
             file_id.alias("file_id"), F.col("conv_id").alias("conversation"), at(F.col("role")).alias("sender"), F.array(at(other)).alias("recipients"),
             F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("subject"),
             F.when(file_id % 17 != 0, 1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("sent_at"),
             (F.col("turn") % 3 == 0).alias("has_attach"), "turn", "text",
         )
 
+    @cached_property
+    def bodies(self) -> DataFrame:
+        """(id, text) of files and messages."""
+        own = self.table("documents").select(F.col("doc_id").alias("id"), "text")
+        return own.unionByName(self.messages.select(F.col("mail_id").alias("id"), "text"))
+
     @cached_property
     def repos(self) -> DataFrame:
         rows = [(k, f"repo_{k}", f"/corpus/src{k}") for k in range(7)]
@@ -89,20 +116,76 @@ class Corpus:
         )
 
     @cached_property
-    def tokens(self) -> DataFrame:
-        """(doc_id, pos, term): every word of every document, lower-cased."""
-        words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
-        return self.table("documents").select("doc_id", F.posexplode(words).alias("pos", "term"))
+    def listing(self) -> DataFrame:
+        """Files, messages and attachments as rows of one list; place is where a picture was taken."""
+        nothing = lambda kind: F.lit(None).cast(kind)
+        place = F.when(F.col("ext") == "jpg", F.get(F.lit(list(PLACES)), F.expr("cast(id div 8 % 5 as int)")))
+        own = self.files.select("id", "path", "ext", "size_bytes", "mtime_ns", "taken_at_ns", "status", "source_kind", "repo_id", "volume_id", place.alias("place"))
+        m = self.messages
+        row = lambda df, id_, path, ext, kind: df.select(
+            id_.alias("id"), path.alias("path"), F.lit(ext).alias("ext"), F.length("text").cast("long").alias("size_bytes"), (F.col("sent_at") * 1_000_000_000).alias("mtime_ns"),
+            nothing("long").alias("taken_at_ns"), F.lit("INDEXED").alias("status"), F.lit(kind).alias("source_kind"), nothing("long").alias("repo_id"), nothing("long").alias("volume_id"),
+            nothing("string").alias("place"),
+        )
+        mail = row(m, F.col("mail_id"), F.col("path"), "eml", "eml")
+        attached = m.filter("has_attach")
+        parts = row(attached, F.col("file_id") + ATTACHMENT_ID, F.concat("path", F.lit("/attachments/"), "attachment"), "pdf", "file")
+        return own.unionByName(mail).unionByName(parts)
+
+    @cached_property
+    def piles(self) -> DataFrame:
+        """Groups of faces, some of them named."""
+        labels = self.table("embeddings").select(F.col("label").cast("long").alias("id")).distinct()
+        return labels.select("id", F.when(F.col("id") % 3 != 2, F.concat(F.lit("Person "), F.col("id").cast("string"))).alias("name"))
+
+    @cached_property
+    def faces(self) -> DataFrame:
+        """(face, file_id, pile): the faces in pictures; two fifths are in no pile yet."""
+        v = F.col("vec_id")
+        return self.table("embeddings").select(v.alias("face"), (v - v % 8 + 5).alias("file_id"), F.when(v % 5 < 3, F.col("label").cast("long")).alias("pile"))
+
+    @property
+    def buckets(self) -> int:
+        """Folders that the postings are dealt to by a hash of the word, so that a search reads few of them."""
+        _ = self.store.folder
+        return max(8, min(4096, self.store.bytes // BUCKET_BYTES))
+
+    def bucket(self, term: str | Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets))
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        """(term, doc_id, tf, pos, len, b): a word's places in each document, with the document's length."""
+
+        def build() -> DataFrame:
+            words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
+            each = self.table("documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("len"), F.posexplode("w").alias("pos", "term"))
+            rows = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"), F.first("len").alias("len"))
+            part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, self.buckets // 64)))  # a common word's bucket is written by several tasks
+            return rows.withColumn("b", self.bucket("term")).repartition(F.col("b"), part).sortWithinPartitions("b", "term", "doc_id")
+
+        return self.store.table("postings", build, "b")
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """(term, df): documents that a word is in."""
+        return self.store.table("vocabulary", lambda: self.postings.groupBy("term").agg(F.count("*").alias("df")))
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """(doc_id, pos, term): every word of every document, lower-cased."""
+        return self.postings.select("doc_id", "term", F.explode("pos").alias("pos"))
 
     @cached_property
     def lengths(self) -> DataFrame:
-        """(doc_id, len): words a document, empty ones too, without exploding."""
+        """(doc_id, len): words a document, empty ones too."""
         words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
-        return self.table("documents").select("doc_id", F.size(words).cast("long").alias("len"))
+        return self.store.table("lengths", lambda: self.table("documents").select("doc_id", F.size(words).cast("long").alias("len")))
+
+    def build_index(self) -> None:
+        """Writes what isn't stored yet."""
+        for table in (self.files, self.postings, self.vocabulary, self.lengths):
+            table.schema  # noqa: B018
 
     @cached_property
     def searches(self) -> DataFrame:
@@ -139,7 +222,10 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lam
 SQL_VIEWS = {
     "files": _FILES,
     "chunks": "SELECT doc_id * 100000 + i - 1 AS id, doc_id AS file_id, i - 1 AS ordinal, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line, ' ') <> ''",
-    "messages": "SELECT conv_id * 1000 + turn AS file_id, conv_id AS conversation, role || '@example.com' AS sender, [CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END || '@example.com'] AS recipients, 'Conversation ' || conv_id AS subject, CASE WHEN (conv_id * 1000 + turn) % 17 <> 0 THEN 1704067200 + conv_id * 3600 + turn * 60 END AS sent_at, turn % 3 = 0 AS has_attach, turn, text FROM conversations",
+    "messages": f"SELECT {MAIL_ID} + conv_id * 1000 + turn AS mail_id, '/mail/archive_' || (conv_id % 10) || '.mbox' AS archive, CASE turn % 4 WHEN 0 THEN 'Inbox' WHEN 1 THEN 'Inbox/Work' WHEN 2 THEN 'Sent Items' ELSE 'Archive' END AS folder, '/mail/archive_' || (conv_id % 10) || '.mbox/message_' || (conv_id * 1000 + turn) || '.eml' AS path, 'report_' || turn || '.pdf' AS attachment, '<M' || (conv_id * 1000 + turn) || '@Example.com>' AS message_id, conv_id * 1000 + turn AS file_id, conv_id AS conversation, role || '@example.com' AS sender, [CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END || '@example.com'] AS recipients, 'Conversation ' || conv_id AS subject, CASE WHEN (conv_id * 1000 + turn) % 17 <> 0 THEN 1704067200 + conv_id * 3600 + turn * 60 END AS sent_at, turn % 3 = 0 AS has_attach, turn, text FROM conversations",
+    "listing": f"SELECT id, path, ext, size_bytes, mtime_ns, taken_at_ns, status, source_kind, repo_id, volume_id, CASE WHEN ext = 'jpg' THEN {list(PLACES)}[CAST(id // 8 % 5 AS INT) + 1] END AS place FROM files UNION ALL SELECT mail_id, path, 'eml', length(text), sent_at * 1000000000, NULL, 'INDEXED', 'eml', NULL, NULL, NULL FROM messages UNION ALL SELECT {ATTACHMENT_ID} + file_id, path || '/attachments/' || attachment, 'pdf', length(text), sent_at * 1000000000, NULL, 'INDEXED', 'file', NULL, NULL, NULL FROM messages WHERE has_attach",
+    "piles": "SELECT DISTINCT CAST(label AS BIGINT) AS id, CASE WHEN label % 3 <> 2 THEN 'Person ' || label END AS name FROM embeddings",
+    "faces": "SELECT vec_id AS face, vec_id - vec_id % 8 + 5 AS file_id, CASE WHEN vec_id % 5 < 3 THEN CAST(label AS BIGINT) END AS pile FROM embeddings",
     "repos": "SELECT k AS id, 'repo_' || k AS name, '/corpus/src' || k AS root_path FROM range(7) t(k)",
     "volumes": "SELECT * FROM (VALUES (1, 'Archive disk', 'drive', 'ONLINE'), (2, 'Office share', 'network', 'OFFLINE'), (3, 'Old laptop', 'archived', 'ARCHIVED')) t(id, name, kind, state)",
     "file_tags": "SELECT doc_id AS file_id, lang AS tag FROM documents UNION ALL SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, 'quality' FROM labels WHERE quality = 1",

@@ -3,6 +3,7 @@
 import io
 from contextlib import redirect_stdout
 
+from brindle.operators import keyword
 from brindle.queries.all import QUERIES
 from brindle.sources.corpus import Corpus
 
@@ -18,7 +19,13 @@ def plan(df):
 
 def test_only_needed_columns_are_read(spark):
     text = plan(QUERIES["filter_type_in"](spark, DATA))
-    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in text and "Exchange" not in text
+    assert "ReadSchema: struct<id:bigint,path:string,ext:string>" in text and "Exchange" not in text
+
+
+def test_a_search_reads_its_words_buckets_alone(spark):
+    text = plan(keyword.postings_of_words(Corpus(spark, DATA), ["license"]).select("doc_id", "tf"))
+    assert "PartitionFilters: [isnotnull(b" in text and "EqualTo(term,license)" in text and "documents.parquet" not in text
+    assert "documents.parquet" not in plan(QUERIES["bm25_top"](spark, DATA))
 
 
 def test_filters_reach_the_scan(spark):
