@@ -169,7 +169,7 @@ def day_words(ns: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences of a text: they end at . ! or ? before white space, but not after a title or a single letter."""
-    kept = F.regexp_replace(c, r"\b(Mr|Mrs|Ms|Dr|Prof|St|No|vs|etc|[A-Z])\.", "$1\u0001")
+    kept = F.regexp_replace(c, r"(^|[^\p{L}\p{N}])(Mr|Mrs|Ms|Dr|Prof|St|No|vs|etc|[A-Z])\.", "$1$2\u0001")
     cut = F.split(F.regexp_replace(kept, r"([.!?][\"')\]]*)\s+", "$1\u0002"), "\u0002")
     return F.filter(F.transform(cut, lambda s: F.trim(F.translate(s, "\u0001", "."))), lambda s: s != "")
 
@@ -178,3 +178,33 @@ def symbol_tokens(c: Column) -> Column:
     """Parts of mixed-case and letter-digit words, two letters or more, each once whatever its case."""
     parts = F.filter(identifier_parts(c), lambda w: F.length(w) >= 2)
     return F.array_distinct(F.transform(parts, F.lower))
+
+
+# Folders that no index wants.
+EXCLUDED_FOLDERS = ("node_modules", ".git", "__pycache__", ".venv", "venv")
+
+
+def excluded(path: Column) -> Column:
+    """Caches and environments, owner files and temporary files."""
+    folders = F.split(F.lower(F.regexp_replace(path, "[^/]*$", "")), "/")
+    return F.arrays_overlap(folders, F.lit(list(EXCLUDED_FOLDERS))) | basename(path).startswith("~$") | F.lower(path).endswith(".tmp")
+
+
+def under_root(path: Column, root: str) -> Column:
+    """Whether a path is the root or below it, with either slash."""
+    plain = F.regexp_replace(path, r"\\", "/")
+    return (plain == root) | plain.startswith(root.rstrip("/") + "/")
+
+
+def day_hint(path: Column) -> Column:
+    """A day that a file's name spells: 20150314 or 2015-03-14, between other signs than digits."""
+    found = F.regexp_extract(basename(path), r"(?:^|[^0-9])((?:19|20)[0-9]{2}[-_]?[01][0-9][-_]?[0-3][0-9])(?:[^0-9]|$)", 1)
+    return F.try_to_date(F.regexp_replace(found, "[-_]", ""), "yyyyMMdd")
+
+
+def pasted_signs(c: Column) -> Column:
+    """Signs that a text was copied: lines (2), two pairs of quotes, two signs of code; 0 for short texts."""
+    words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    quotes = F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
+    signs = 2 * F.trim(c).contains("\n").cast("int") + (quotes >= 4).cast("int") + c.rlike(r"[{};=<>()\[\]][^{};=<>()\[\]]*[{};=<>()\[\]]").cast("int")
+    return F.when((F.length(F.trim(c)) >= 24) & (words >= 4), signs).otherwise(0)

@@ -38,14 +38,6 @@ def co_occurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
     return met.select("x", "y", "weight", F.round(F.log2(F.col("n") * F.col("weight") / (F.col("kx") * F.col("ky"))), 6).alias("pmi"))
 
 
-def near_hashes(rows: DataFrame, most: int = 16) -> DataFrame:
-    """(a, b, bits): pairs of 64-bit hashes in one group that differ in at most `most` bits; equal ones once."""
-    left = rows.select("grp", F.col("id").alias("a"), F.col("h").alias("ha"))
-    right = rows.select("grp", F.col("id").alias("b"), F.col("h").alias("hb"))
-    bits = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return left.join(right, "grp").filter("a < b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most)
-
-
 def running_budget(turns: DataFrame, budget: int) -> DataFrame:
     """The newest turns of each conversation whose costs fit the budget together."""
     spent = F.sum("cost").over(Window.partitionBy("conversation").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))

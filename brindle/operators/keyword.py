@@ -54,6 +54,20 @@ def scores(corpus: Corpus, searches: DataFrame) -> DataFrame:
     return each.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
 
 
+#: From this share of all documents on a word is common.
+COMMON_SHARE = 0.1
+
+
+def without_common(corpus: Corpus, searches: DataFrame) -> DataFrame:
+    """searches without common words, but whole where no other word of a query is in the vocabulary."""
+    n = corpus.lengths.count()
+    df = searches.select("term").distinct().join(corpus.vocabulary, "term", "left")
+    met = searches.select("qid", "term").distinct().join(df, "term")
+    common = F.coalesce(F.col("df") >= COMMON_SHARE * n, F.lit(False))
+    keeps = F.max((~common & F.col("df").isNotNull()).cast("int")).over(Window.partitionBy("qid"))
+    return met.withColumn("keeps", keeps).filter(~common | (F.col("keeps") == 0)).select("qid", "term")
+
+
 def named_like(files: DataFrame, words: Sequence[str]) -> DataFrame:
     """(id, score) of files whose name (10 a word) or folder (1 a word) holds words of two letters and more."""
     score = F.lit(0)

@@ -82,3 +82,16 @@ def answer(files: DataFrame, spec: Aggregate, corpus) -> DataFrame:
         "newest": lambda: found.agg(F.max_by("path", F.struct(when, -F.col("id"))).alias("path")),
         "oldest": lambda: found.agg(F.min_by("path", F.struct(when, F.col("id"))).alias("path")),
     }[spec.op]()
+
+
+def filters_of(sentence: str) -> Parsed:
+    """The filters that a sentence states: a kind of file, one person after from, by or to, one year."""
+    spec = parse_aggregate("how many " + sentence) or Aggregate("count")
+    return Aggregate("count", spec.types, spec.people[:1], spec.year).parsed()
+
+
+def sides_of(question: str) -> list[str]:
+    """The two things that a comparison is about."""
+    q = re.sub(r"^.*?\b(?:compare|between)\b", "", question.lower())
+    parts = re.split(r"\b(?:and|with|versus|vs|to)\b", q, maxsplit=1)
+    return [w for p in parts for w in re.findall(r"[a-z0-9]+", p) if w not in STOPWORDS] if len(parts) == 2 else []

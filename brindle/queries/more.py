@@ -20,24 +20,6 @@ def mail_browse(c: Corpus):
     return rows.select("file_id", "subject", "sent_at").orderBy(F.col("sent_at").desc_nulls_last(), "file_id").limit(50)
 
 
-@query("mail_all_words", "SELECT file_id FROM messages WHERE contains(lower(text), 'the') AND contains(lower(text), 'of')")
-def mail_all_words(c: Corpus):
-    return c.messages.filter(F.lower("text").contains("the") & F.lower("text").contains("of")).select("file_id")
-
-
-@query("mail_conversation", "SELECT conversation, file_id, turn, substr(text, 1, 200) AS opening FROM (SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY turn DESC) AS r FROM messages) WHERE r <= 3")
-def mail_conversation(c: Corpus):
-    last = F.row_number().over(Window.partitionBy("conversation").orderBy(F.desc("turn")))
-    return c.messages.withColumn("r", last).filter("r <= 3").select("conversation", "file_id", "turn", F.substring("text", 1, 200).alias("opening"))
-
-
-@query("mail_dupes", "SELECT file_id, keep_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY md5(text), sender) AS keep_id FROM messages) WHERE file_id <> keep_id")
-def mail_dupes(c: Corpus):
-    keyed = c.messages.select("file_id", "sender", F.md5(F.col("text").cast("binary")).alias("h"))
-    first = keyed.groupBy("h", "sender").agg(F.min("file_id").alias("keep_id"))
-    return keyed.join(first, ["h", "sender"]).filter("file_id != keep_id").select("file_id", "keep_id")
-
-
 @query("mail_to", "SELECT file_id FROM messages WHERE list_contains(recipients, 'user@example.com')")
 def mail_to(c: Corpus):
     return c.messages.filter(F.array_contains("recipients", "user@example.com")).select("file_id")
@@ -116,22 +98,11 @@ def contact_search(c: Corpus):
     return c.contacts.filter(F.exists(parts, lambda w: w.startswith("cust")) & F.exists(parts, lambda w: w.startswith("00000001"))).select("id")
 
 
-@query("contact_merge", "SELECT email, min(name) AS name, string_agg(DISTINCT company, ',' ORDER BY company) AS companies, count(*) AS n FROM contacts GROUP BY email")
-def contact_merge(c: Corpus):
-    return c.contacts.groupBy("email").agg(F.min("name").alias("name"), F.array_join(F.sort_array(F.collect_set("company")), ",").alias("companies"), F.count("*").alias("n"))
-
-
 @query("domain_statistics", "SELECT split_part(email, '@', 2) AS domain, count(*) AS n FROM contacts GROUP BY 1")
 def domain_statistics(c: Corpus):
     return c.contacts.groupBy(F.substring_index("email", "@", -1).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query("consensus", "SELECT o_custkey AS id, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS value, round(CAST(least(0.97, 0.6 + 0.1 * least(3, count(*))) AS DOUBLE), 6) AS confidence FROM orders GROUP BY 1")
-def consensus(c: Corpus):
-    confidence = F.least(F.lit(0.97), 0.6 + 0.1 * F.least(F.lit(3), F.count("*")))
-    return c.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("value"), F.round(confidence, 6).alias("confidence"))
-
-
 # ---- changes and streams
 
 OLD = "SELECT id, mtime_ns, size_bytes, content_hash FROM files WHERE id % 19 <> 0"
@@ -233,38 +204,6 @@ def twin_reuse(c: Corpus):
 
 # ---- pictures and faces
 
-HASH32 = "CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)"
-
-
-@query("phash_pairs", f"SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS bits FROM (SELECT id, parent_dir AS grp, {HASH32} AS h FROM files WHERE ext = 'jpg') a JOIN (SELECT id, parent_dir AS grp, {HASH32} AS h FROM files WHERE ext = 'jpg') b ON a.grp = b.grp AND a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 12")
-def phash_pairs(c: Corpus):
-    h = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long")
-    return graphs.near_hashes(c.texts.filter("ext = 'jpg'").select("id", F.col("parent_dir").alias("grp"), h.alias("h")), 12)
-
-
-@query("photo_reuse", f"SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.taken_at_ns - b.taken_at_ns), b.id) AS r FROM files a JOIN files b ON a.parent_dir = b.parent_dir AND a.id <> b.id AND abs(a.taken_at_ns - b.taken_at_ns) <= {60 * DAY_NS} WHERE a.ext = 'jpg' AND b.ext = 'jpg') WHERE r = 1")
-def photo_reuse(c: Corpus):
-    # Interval join: equal folder and an interval's number or the next, so that each row meets few others.
-    span = 60 * DAY_NS
-    p = c.files.filter("ext = 'jpg'").select("id", "parent_dir", "taken_at_ns", F.floor(F.col("taken_at_ns") / span).alias("slot"))
-    left = p.select("id", "parent_dir", F.col("taken_at_ns").alias("t"), F.explode(F.array("slot", F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
-    right = p.select(F.col("id").alias("other"), "parent_dir", F.col("taken_at_ns").alias("u"), "slot")
-    gap = F.abs(F.col("t") - F.col("u"))
-    near = left.join(right, ["parent_dir", "slot"]).filter((F.col("id") != F.col("other")) & (gap <= span))
-    return near.groupBy("id").agg(F.min_by("other", F.struct(gap, "other")).alias("other"))
-
-
-@query("face_assign", "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0 AND label = 1")
-def face_assign(c: Corpus):
-    return c.table("embeddings").filter("vec_id % 5 != 0 and label = 1").select("vec_id", "label")
-
-
-@query("photo_library", "SELECT f.id, f.path, t.tags FROM files f LEFT JOIN (SELECT file_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM file_tags GROUP BY 1) t ON f.id = t.file_id WHERE f.ext = 'jpg'")
-def photo_library(c: Corpus):
-    tags = c.file_tags.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"))
-    return c.files.filter("ext = 'jpg'").select("id", "path").join(tags.withColumnRenamed("file_id", "id"), "id", "left")
-
-
 # ---- text, code, graph
 
 MENTIONS = "SELECT DISTINCT doc_id AS chunk, term AS entity FROM tokens WHERE length(term) >= 9 AND term IN (SELECT term FROM postings GROUP BY term HAVING count(*) BETWEEN 5 AND 50)"
@@ -288,29 +227,6 @@ def identifier_split(c: Corpus):
     return c.table("part").select("p_partkey", T.identifier_parts(name).alias("parts"))
 
 
-@query("html_to_text", None)
-def html_to_text(c: Corpus):
-    return c.table("pages").select("page_id", T.html_text(F.col("html")).alias("text"))
-
-
-@query("html_digest", r"SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g')) AS n FROM pages")
-def html_digest(c: Corpus):
-    c_ = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
-    return c.table("pages").select("page_id", F.length(F.regexp_replace(c_, r"<[^>]+>", " ")).alias("n"))
-
-
-@query("quote_strip", None)
-def quote_strip(c: Corpus):
-    return c.messages.select("file_id", T.unquoted(F.concat("text", F.lit("\nOn Monday X wrote:\n> old\n"))).alias("text"))
-
-
-@query("code_matches", "SELECT doc_id, i - 1 AS line, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id % 8 = 6) WHERE contains(lower(l), 'license') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 3")
-def code_matches(c: Corpus):
-    lines = c.texts.filter("ext = 'py'").select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    return lines.filter(F.lower("text").contains("license")).withColumn("r", first).filter("r <= 3").select("doc_id", "line", "text")
-
-
 @query("code_browse", "SELECT f.id, r.name, f.path FROM files f JOIN repos r ON f.repo_id = r.id ORDER BY f.mtime_ns DESC, f.id LIMIT 100")
 def code_browse(c: Corpus):
     named = c.repos.select(F.col("id").alias("repo_id"), "name")
@@ -326,18 +242,6 @@ def repo_attribution(c: Corpus):
     return c.files.select("id", F.explode(above).alias("root")).join(roots, "root").groupBy("id").agg(F.max_by("repo", F.length("root")).alias("repo"))
 
 
-@query("git_pickaxe", "SELECT o_orderkey AS revision, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS BIGINT) AS delta FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 100 = 7 GROUP BY 1 HAVING sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) <> 0")
-def git_pickaxe(c: Corpus):
-    lines = c.table("lineitem").filter("l_partkey % 100 = 7").select(F.col("l_orderkey").alias("revision"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("d"))
-    return lines.groupBy("revision").agg(F.sum("d").alias("delta")).filter("delta != 0")
-
-
-@query("git_log", "SELECT o_orderkey AS revision, c_name AS author, count(*) AS lines FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1, 2")
-def git_log(c: Corpus):
-    commits = c.table("orders").filter("o_orderdate >= timestamp_ntz'1997-01-01'").join(c.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return commits.join(c.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderkey").alias("revision"), F.col("c_name").alias("author")).agg(F.count("*").alias("lines"))
-
-
 @query("year_hint", r"SELECT id, CAST(nullif(regexp_extract(p, '(^|[^0-9])((18|19|20)[0-9]{2})([^0-9]|$)', 2), '') AS INT) AS year FROM (SELECT id, parent_dir || '/' || (1990 + id % 40) || '/x.jpg' AS p FROM files)")
 def year_hint(c: Corpus):
     path = F.concat("parent_dir", F.lit("/"), (1990 + F.col("id") % 40).cast("string"), F.lit("/x.jpg"))
@@ -389,38 +293,6 @@ def face_piles(c: Corpus):
     return faces.assign(e.filter("vec_id % 5 >= 3").select(F.col("vec_id").alias("face"), F.col("embedding").alias("v")), piles)
 
 
-@query("answer_support", "SELECT item_id, round(CAST(len(list_intersect(list_distinct(q), list_distinct(w))) AS DOUBLE) / len(list_distinct(q)), 6) AS support FROM (SELECT b.item_id, list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS q, list_filter(regexp_split_to_array(lower(d.text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)".replace("\\\\", "\\"))
-def answer_support(c: Corpus):
-    asked = c.table("benchmark").select(F.col("item_id"), F.array_distinct(T.words(F.col("text"))).alias("q"))
-    cited = c.table("documents").select(F.col("doc_id").alias("item_id"), F.array_distinct(T.words(F.col("text"))).alias("w"))
-    return asked.join(cited, "item_id").select("item_id", F.round(F.size(F.array_intersect("q", "w")) / F.size("q"), 6).alias("support"))
-
-
-@query("amount_grounding", r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{3,}'))) AS amounts FROM documents WHERE regexp_matches(text, '[0-9]{3,}')")
-def amount_grounding(c: Corpus):
-    docs = c.table("documents").filter(F.col("text").rlike("[0-9]{3,}"))
-    return docs.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0)))).alias("amounts"))
-
-
-@query("glossary_substitute", r"SELECT doc_id, length(regexp_replace(text, '(?i)licen[cs]e', 'permission', 'g')) AS n FROM documents")
-def glossary_substitute(c: Corpus):
-    return c.table("documents").select("doc_id", F.length(F.regexp_replace("text", "(?i)licen[cs]e", "permission")).alias("n"))
-
-
-@query("renamed_source", "WITH t AS (SELECT volume_id, list_distinct(list(lang || source)) AS names FROM files WHERE volume_id IS NOT NULL GROUP BY 1) SELECT a.volume_id AS a, b.volume_id AS b, round(CAST(len(list_intersect(a.names, b.names)) AS DOUBLE) / len(list_distinct(list_concat(a.names, b.names))), 6) AS jaccard FROM t a JOIN t b ON a.volume_id < b.volume_id")
-def renamed_source(c: Corpus):
-    # Volumes are few: three rows meet three rows.
-    names = c.files.filter("volume_id is not null").groupBy("volume_id").agg(F.collect_set(F.concat("lang", "source")).alias("names"))
-    other = names.select(F.col("volume_id").alias("b"), F.col("names").alias("m"))
-    met = names.withColumnRenamed("volume_id", "a").join(other, F.col("a") < F.col("b"))
-    return met.select("a", "b", F.round(F.size(F.array_intersect("names", "m")) / F.size(F.array_union("names", "m")), 6).alias("jaccard"))
-
-
-@query("junk_images", "SELECT content_hash, count(*) AS seen FROM files WHERE ext = 'jpg' AND content_hash IS NOT NULL AND size_bytes < 3000 GROUP BY 1")
-def junk_images(c: Corpus):
-    return c.files.filter("ext = 'jpg' and content_hash is not null and size_bytes < 3000").groupBy("content_hash").agg(F.count("*").alias("seen"))
-
-
 @query("stream_sliding", "SELECT epoch(s) AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 day', ts) - INTERVAL '1 day']) AS s FROM events) GROUP BY 1")
 def stream_sliding(c: Corpus):
     return windows.sliding(windows.timed(c.table("events")), "2 days", "1 day").withColumn("start", F.col("start").cast("double"))
