@@ -2,12 +2,17 @@
 
 Winnowing picks anchors: of every run of LENGTH bytes the positions whose SEED-byte hash is the
 least, so that equal strings of LENGTH bytes share an anchor wherever they are. Anchors meet by
-hash. Where an earlier document has the anchor with all the bytes around it that a string over
-it could need, all of those strings are repeated. The other anchors of more than one document go
-on with the bytes around them: their suffixes are sorted by mergesort, comparisons finding the
-common extension by binary search over prefix polynomial hashes, neighbours' extensions are
-checked byte by byte, and for each distance to the left the runs of suffixes that agree far
-enough to the right and to the left give the least document that has the string.
+hash, those of one run of texts only once for each context. Where an earlier document has the
+anchor with the same hash of all the bytes around it that a string over it could need, all of those
+strings are repeated: runs of such anchors are sent to the earlier document and compared with it
+byte by byte, and should one differ, everything is done again with other hashes.
+
+The other anchors of more than one document go on with the bytes around them: their suffixes are
+sorted by mergesort, comparisons finding the common extension by binary search over prefix
+polynomial hashes, neighbours' extensions are checked byte by byte, and for each distance to the
+left the runs of suffixes that agree far enough to the right and to the left give the least document
+that has the string. An anchor with very many contexts would make one task's work of that sort:
+its strings are spread instead, as they are, and the least document of each is aggregated.
 """
 
 from __future__ import annotations
@@ -33,6 +38,12 @@ GROUP_BYTES = 16_000_000
 LEAST_GROUPS = 64
 #: Anchors with bytes that are sorted at once; an anchor that more documents have is a piece of its own.
 SORT_ROWS = 20_000
+#: From so many differing contexts on an anchor's strings are spread by themselves.
+HOT_ROWS = 120_000
+#: Bytes of texts whose anchors meet before they are sent.
+RUN_BYTES = 8_000_000
+#: Bits of the hash of what is around an anchor.
+AROUND_BITS = 48
 
 _MAX = np.uint64((1 << 64) - 1)
 
@@ -47,6 +58,11 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(x) - width + 1], out[extra : extra + len(x) - width + 1]) if extra else out
 
 
+def _turned(data: np.ndarray, turn: int) -> np.ndarray:
+    """data with its bytes renamed, so that other strings collide; as it is for turn 0."""
+    return np.random.default_rng(turn).permutation(256).astype(np.uint8)[data] if turn else data
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position in data, text number, hash of the seed, hash of what is around) of all anchors."""
     nothing = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -102,117 +118,204 @@ def _stamp(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return hashing.mix64(whole + size.astype(np.uint64)) >> np.uint64(32)
 
 
-def anchor_rows(groups: int):
-    """Of batches of (doc_id, text), one row for each run of texts and group: (grp, blob)."""
+def anchor_rows(groups: int, turn: int, bits: int):
+    """Of batches of (doc_id, text), one row for each run of texts and group: (grp, blob, known).
+
+    `blob` has the anchors of the run's least document with each context, `known` the others, which
+    that document settles, with its id and how far on its anchor is.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, data, bounds in hashing.pieces(batch.column(1)):
+                data = _turned(data, turn)
                 at, text, seed, around = anchors(data, bounds)
-                if not len(at):
-                    continue
-                stamp = _stamp(hashing.prefix_hashes(data), bounds)
-                group = ((seed >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(group, kind="stable")
-                edges = np.searchsorted(group[order], np.arange(groups + 1))
-                blobs, names = [], []
-                for g in range(groups):
-                    own = order[edges[g] : edges[g + 1]]
-                    if not len(own):
-                        continue
-                    t, count = np.unique(text[own], return_counts=True)
-                    docs = pack([(ids[first + t].view(np.uint64), 8), (stamp[t], 4), (count, 4)])
-                    rows = pack([(seed[own], 5), (around[own], 6), (at[own] - bounds[text[own]], 4)])
-                    blobs.append(np.int64(len(docs)).tobytes() + docs + rows)
-                    names.append(g)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "blob"])
+                if len(at):
+                    stamp = _stamp(hashing.prefix_hashes(data), bounds)[text]
+                    held.append((ids[first + text], stamp, seed, around & np.uint64((1 << bits) - 1), at - bounds[text]))
+                size += len(data)
+                if size >= RUN_BYTES and held:
+                    yield _packed_run(held, groups)
+                    held, size = [], 0
+        if held:
+            yield _packed_run(held, groups)
 
     return work
 
 
-def _flat(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """doc, stamp, seed, around and position of all anchors of a group."""
+def _packed_run(held: list[tuple], groups: int) -> pa.RecordBatch:
+    doc, stamp, seed, around, at = (np.concatenate([h[i] for h in held]) for i in range(5))
+    group = ((seed >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((doc, around, seed, group))
+    doc, stamp, seed, around, at, group = (x[order] for x in (doc, stamp, seed, around, at, group))
+    new = np.append(True, (seed[1:] != seed[:-1]) | (around[1:] != around[:-1]) | (group[1:] != group[:-1]))
+    least = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    settled = doc > doc[least]
+    edges = np.searchsorted(group, np.arange(groups + 1))
+    names, blobs, known = [], [], []
+    for g in np.flatnonzero(np.diff(edges)):
+        own = np.arange(edges[g], edges[g + 1])
+        rest, done = own[~settled[own]], own[settled[own]]
+        rest, done = rest[np.lexsort((stamp[rest], doc[rest]))], done[np.lexsort((at[done], stamp[done], doc[done]))]
+        names.append(int(g))
+        blobs.append(_by_texts(doc[rest], stamp[rest], [(seed[rest], 5), (around[rest], 6), (at[rest], 4)]))
+        known.append(_by_texts(doc[done], stamp[done], [(at[done], 4), (doc[least[done]].view(np.uint64), 8), ((at[least[done]] - at[done]).view(np.uint64), 4)]))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(known, pa.binary())], ["grp", "blob", "known"])
+
+
+def _by_texts(doc: np.ndarray, stamp: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Rows in order of doc and stamp, which are kept once a text with the number of its rows."""
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (stamp[1:] != stamp[:-1]))[: len(doc)])
+    texts = pack([(doc[first].view(np.uint64), 8), (stamp[first], 4), (np.diff(np.append(first, len(doc))), 4)])
+    return np.int64(len(texts)).tobytes() + texts + pack(columns)
+
+
+def _columns(blobs: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """doc, stamp and the columns of all rows of such blobs."""
     parts = []
     for raw in blobs:
-        size = int(np.frombuffer(raw, np.int64, 1)[0])
-        (doc, stamp, count), _ = unpack(raw[8 : 8 + size], [8, 4, 4])
-        (seed, around, at), _ = unpack(raw[8 + size :], [5, 6, 4])
+        size = 8 + int(np.frombuffer(raw, np.int64, 1)[0])
+        (doc, stamp, count), _ = unpack(raw[8:size], [8, 4, 4])
         count = count.astype(np.int64)
-        parts.append((np.repeat(doc.view(np.int64), count), np.repeat(stamp, count), seed, around, at.astype(np.int64)))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
+        parts.append([np.repeat(doc, count), np.repeat(stamp, count), *unpack(raw[size:], sizes)[0]])
+    return [np.concatenate([p[i] for p in parts]) for i in range(len(sizes) + 2)]
 
 
-def _by_document(doc: np.ndarray, stamp: np.ndarray, columns: list[tuple[str, np.ndarray]]) -> pa.Table:
-    """One row for each document, whose columns hold its numbers as 4-byte integers."""
+def _by_document(doc: np.ndarray, stamp: np.ndarray, columns: list[tuple[str, np.ndarray, str]]) -> pa.Table:
+    """One row for each document, whose columns hold its numbers as packed integers of the kinds given."""
     order = np.lexsort((stamp, doc))
     doc, stamp = doc[order], stamp[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (stamp[1:] != stamp[:-1])
     first = np.flatnonzero(new)
-    ends = (np.append(first, len(doc)) * 4).astype(np.int32)
-    out = {"doc_id": pa.array(doc[first]), "stamp": pa.array(stamp[first].astype(np.int64))}
-    for name, x in columns:
-        data = np.ascontiguousarray(x[order].astype("<u4"))
+    out = {"doc_id": pa.array(doc[first], pa.int64()), "stamp": pa.array(stamp[first].astype(np.int64))}
+    for name, x, kind in columns:
+        data = np.ascontiguousarray(x[order].astype(kind))
+        ends = (np.append(first, len(doc)) * data.itemsize).astype(np.int32)
         out[name] = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
     return pa.table(out)
 
 
-def meet(rows: pa.Table) -> pa.Table:
-    """Anchors that more than one document has: (doc_id, stamp, at, sure), sure 1 where an earlier
-    document has all that is around it, 0 where bytes must decide."""
-    doc, stamp, seed, around, at = _flat(rows["blob"].to_pylist())
-    order = np.lexsort((doc, around, seed))
-    doc, stamp, seed, around, at = doc[order], stamp[order], seed[order], around[order], at[order]
-    new_seed = np.ones(len(seed), bool)
-    new_seed[1:] = seed[1:] != seed[:-1]
-    new = new_seed.copy()
-    new[1:] |= around[1:] != around[:-1]
-    least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-    part = np.cumsum(new_seed) - 1
-    starts = np.flatnonzero(new_seed)
-    several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) & (np.add.reduceat(new.astype(np.int64), starts) > 1)
-    sure = doc > least
-    take = sure | several[part]
-    return _by_document(doc[take], stamp[take], [("at", at[take]), ("sure", sure[take])])
+#: What an anchor that more than one document has comes to: bytes decide, an earlier document settles it, or
+#: bytes decide with its strings spread.
+OPEN, SURE, HOT = 0, 1, 2
+MET = "doc_id long, stamp long, at binary, sure binary, src binary, ahead binary"
+
+
+def meeting(hot_rows: int):
+    def meet(rows: pa.Table) -> pa.Table:
+        """Anchors that more than one document has: (doc_id, stamp, at, sure, src, ahead), with the earlier
+        document that settles a sure one and how far on it has the anchor."""
+        doc, stamp, seed, around, at = _columns(rows["blob"].to_pylist(), [5, 6, 4])
+        doc, at = doc.view(np.int64), at.astype(np.int64)
+        order = np.lexsort((doc, around, seed))
+        doc, stamp, seed, around, at = doc[order], stamp[order], seed[order], around[order], at[order]
+        new_seed = np.append(True, seed[1:] != seed[:-1])
+        new = new_seed | np.append(True, around[1:] != around[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+        sure = doc > doc[first]
+        part, starts = np.cumsum(new_seed) - 1, np.flatnonzero(new_seed)
+        several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) & (np.add.reduceat(new.astype(np.int64), starts) > 1)
+        many = np.add.reduceat((~sure).astype(np.int64), starts) >= hot_rows
+        kind = np.where(sure, SURE, np.where(many[part], HOT, OPEN))
+        take = sure | several[part]
+        src, ahead = np.where(sure, doc[first], 0), np.where(sure, at[first] - at, 0)
+        k = _columns(rows["known"].to_pylist(), [4, 8, 4])
+        more = k[0].view(np.int64), k[1], k[2].astype(np.int64), np.full(len(k[0]), SURE), k[3].view(np.int64), k[4].astype(np.uint32).view(np.int32).astype(np.int64)
+        doc, stamp, at, kind, src, ahead = (np.concatenate([x[take], y]) for x, y in zip((doc, stamp, at, kind, src, ahead), more, strict=True))
+        return _by_document(doc, stamp, [("at", at, "<u4"), ("sure", kind, "u1"), ("src", src, "<i8"), ("ahead", ahead, "<i4")])
+
+    return meet
+
+
+def sure_runs(at: np.ndarray, src: np.ndarray, ahead: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(start, stop, src, ahead) of maximal runs of bytes that sure anchors of one source and distance cover."""
+    order = np.lexsort((at, ahead, src))
+    at, src, ahead = at[order], src[order], ahead[order]
+    start, stop = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, n)
+    new = np.append(True, (src[1:] != src[:-1]) | (ahead[1:] != ahead[:-1]) | (start[1:] > stop[:-1]))[: len(at)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    return start[first], stop[last], src[first], ahead[first]
 
 
-def context_rows(groups: int):
-    """Of batches of (doc_id, text, stamps, ats), one row for each batch and group: (grp, blob, bytes)."""
+CUT = "grp long, blob binary, src long, runs binary, hot binary, doc_id long, stamp long, start long"
+
+
+def packed_runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, src: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(src, blob) for each source of some runs of bytes of data: their places in it, their sizes and the bytes."""
+    order = np.argsort(src, kind="stable")
+    start, size, place, src = start[order], size[order], place[order], src[order]
+    ends = np.cumsum(size)
+    flat = data[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+    firsts = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+    for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(src)).tolist(), strict=True):
+        yield int(src[a]), pack([(place[a:b], 4), (size[a:b], 4)]) + flat[ends[a] - size[a] : ends[b - 1]].tobytes()
+
+
+def cut_rows(groups: int, turn: int):
+    """Of batches of (doc_id, text, anchors), what of a document's bytes has to be seen elsewhere: contexts of
+    open anchors by group, runs of sure ones with the document that is to have them, strings over hot ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in CUT.split(", ")]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        context = context_rows(groups)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            stamps, ats = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for first, data, bounds in hashing.pieces(batch.column(1)):
-                own = _stamp(hashing.prefix_hashes(data), bounds)
-                found = [
-                    (np.concatenate([np.frombuffer(a, "<u4") for s, a in zip(stamps[first + t], ats[first + t], strict=True) if s == own[t]] or [np.empty(0, "<u4")]).astype(np.int64))
-                    for t in range(len(bounds) - 1)
-                ]
-                text = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                if not len(text):
-                    continue
-                at = np.concatenate(found) + bounds[text]
-                left = np.minimum(at - bounds[text], SIDE)
-                right = np.minimum(bounds[text + 1] - at, LENGTH)
-                padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-                around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[at].copy()
-                place = np.arange(AROUND)
-                around[(place < (SIDE - left)[:, None]) | (place >= (SIDE + right)[:, None])] = 0
-                h = hashing.prefix_hashes(data)
-                seed = hashing.mix64(h[at + SEED] - h[at] * hashing.powers(SEED)[SEED])
-                group = (seed >> np.uint64(40)) % np.uint64(groups)
-                order = np.argsort(group, kind="stable")
-                edges = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
-                names, blobs = [], []
-                for g in range(groups):
-                    o = order[edges[g] : edges[g + 1]]
-                    if len(o):
-                        names.append(g)
-                        head = pack([(seed[o], 8), (ids[first + text[o]].view(np.uint64), 8), (own[text[o]], 4), (at[o] - bounds[text[o]], 4), (left[o], 1), (right[o], 1)])
-                        blobs.append(head + around[o].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "blob"])
+            ids, found = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_pylist()
+            for first, raw, bounds in hashing.pieces(batch.column(1)):
+                data = _turned(raw, turn)
+                own, rows, open_, runs = _stamp(hashing.prefix_hashes(data), bounds), [], [], []
+                for t in range(len(bounds) - 1):
+                    n, open_now = int(bounds[t + 1] - bounds[t]), []
+                    for part in found[first + t]:
+                        if part["stamp"] != own[t]:
+                            continue
+                        at, kind = np.frombuffer(part["at"], "<u4").astype(np.int64), np.frombuffer(part["sure"], "u1")
+                        open_now.append(at[kind == OPEN])
+                        if (s := kind == SURE).any():
+                            a, b, src, ahead = sure_runs(at[s], np.frombuffer(part["src"], "<i8")[s], np.frombuffer(part["ahead"], "<i4")[s].astype(np.int64), n)
+                            runs.append((bounds[t] + a, b - a, a + ahead, src))
+                        begin = (at[kind == HOT][:, None] - np.arange(SIDE + 1)).ravel()
+                        for a in (bounds[t] + np.unique(begin[(begin >= 0) & (begin + LENGTH <= n)])).tolist():
+                            rows.append((*[None] * 4, raw[a : a + LENGTH].tobytes(), int(ids[first + t]), int(own[t]), int(a - bounds[t])))
+                    open_.append(open_now)
+                if runs:
+                    rows += [(None, None, src, blob, *[None] * 4) for src, blob in packed_runs(raw, *(np.concatenate([r[i] for r in runs]) for i in range(4)))]
+                rows += [(g, blob, *[None] * 6) for g, blob in context(ids[first : first + len(own)], own, data, bounds, open_)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return work
+
+
+def context_rows(groups: int):
+    """A function of the ids, stamps and bytes of some texts and of their open anchors: (group, blob) of the
+    anchors with the bytes around them."""
+
+    def work(ids: np.ndarray, own: np.ndarray, data: np.ndarray, bounds: np.ndarray, open_: list[list]) -> Iterator[tuple[int, bytes]]:
+        found = [np.concatenate(o) if o else np.empty(0, np.int64) for o in open_]
+        text = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        if not len(text):
+            return
+        at = np.concatenate(found) + bounds[text]
+        left = np.minimum(at - bounds[text], SIDE)
+        right = np.minimum(bounds[text + 1] - at, LENGTH)
+        padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+        around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[at].copy()
+        place = np.arange(AROUND)
+        around[(place < (SIDE - left)[:, None]) | (place >= (SIDE + right)[:, None])] = 0
+        h = hashing.prefix_hashes(data)
+        seed = hashing.mix64(h[at + SEED] - h[at] * hashing.powers(SEED)[SEED])
+        group = (seed >> np.uint64(40)) % np.uint64(groups)
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
+        for g in np.flatnonzero(np.diff(edges)).tolist():
+            o = order[edges[g] : edges[g + 1]]
+            head = pack([(seed[o], 8), (ids[text[o]].view(np.uint64), 8), (own[text[o]], 4), (at[o] - bounds[text[o]], 4), (left[o], 1), (right[o], 1)])
+            yield g, head + around[o].tobytes()
 
     return work
 
@@ -302,7 +405,7 @@ def settle(rows: pa.Table) -> pa.Table:
         found.append(_settled(some, *(x[some] for x in (seed, doc, left, right, around))))
         start = stop
     which, low, high = (np.concatenate([f[i] for f in found]) for i in range(3))
-    return _by_document(doc[which], stamp[which], [("start", at[which] - high), ("stop", at[which] - low + LENGTH)])
+    return _by_document(doc[which], stamp[which], [("start", at[which] - high, "<u4"), ("stop", at[which] - low + LENGTH, "<u4")])
 
 
 def _settled(rows: np.ndarray, seed: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple:
@@ -357,48 +460,79 @@ def spans(n: int, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np
     return a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
-def removable(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, stamp, parts): for each document the intervals of bytes to remove, in packed parts."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, differ) of rows (uid, runs, text): which of the runs the text doesn't have at their places."""
+    for batch in batches:
+        out = []
+        for raw, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            (place, size), rest = unpack(raw, [4, 4])
+            place, size = place.astype(np.int64), size.astype(np.int64)
+            there, asked = np.frombuffer(text.encode(), np.uint8), np.frombuffer(rest, np.uint8)
+            index = np.repeat(place - (np.cumsum(size) - size), size) + np.arange(len(asked))
+            inside = index < len(there)
+            bad = ~inside
+            bad[inside] = there[index[inside]] != asked[inside]
+            out.append(np.unique(np.repeat(np.arange(len(size)), size)[bad]).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["uid", "differ"])
+
+
+def removable(docs: DataFrame, key: str = "doc_id", text: str = "text", first_bits: int = AROUND_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, stamp, parts): for each document the intervals of bytes to remove, in packed parts.
+
+    first_bits: bits of the contexts' hash in the first try; fewer make collisions that must be found.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-total // GROUP_BYTES))
-    met = rows.mapInArrow(anchor_rows(groups), "grp long, blob binary").groupBy("grp").applyInArrow(meet, "doc_id long, stamp long, at binary, sure binary")
-    shared = scratch.save(met, "shared")
+    turn, found = 0, None
+    while found is None:
+        found = _tried(rows, groups, turn, first_bits if turn == 0 else AROUND_BITS, hot_rows)
+        turn += 1
+    return found.withColumn("turn", F.lit(turn - 1))
+
+
+def _tried(rows: DataFrame, groups: int, turn: int, bits: int, hot_rows: int) -> DataFrame | None:
+    """The parts by one kind of hashes; None if bytes differ where hashes agree."""
+    scratch = Scratch(rows.sparkSession, "suffix")
+    sent = rows.mapInArrow(anchor_rows(groups, turn, bits), "grp long, blob binary, known binary")
+    shared = scratch.save(sent.groupBy("grp").applyInArrow(meeting(hot_rows), MET), "shared")
+    scratch.collect_garbage()
+    each = shared.groupBy("doc_id").agg(F.collect_list(F.struct("stamp", "at", "sure", "src", "ahead")).alias("anchors"))
+    cut = scratch.save(rows.join(each, "doc_id").select("doc_id", "text", "anchors").mapInArrow(cut_rows(groups, turn), CUT), "cut")
+    scratch.collect_garbage()
+    runs = cut.filter("src is not null").select("src", "runs", F.sha2("runs", 256).alias("uid"))
+    judged = runs.join(rows.select(F.col("doc_id").alias("src"), "text"), "src").select("uid", "runs", "text").mapInArrow(_differing, "uid string, differ array<long>")
+    # Of rows that share the source's id one is enough: a run differs if it does in each of them.
+    each = judged.groupBy("uid").agg(F.count("*").alias("n"), F.flatten(F.collect_list("differ")).alias("all")).filter("size(all) > 0")
+    wrong = F.exists(F.array_distinct("all"), lambda i: F.size(F.filter("all", lambda x: x == i)) == F.col("n"))
+    if not each.filter(wrong).isEmpty():
+        scratch.drop(shared, cut)
+        return None
     scratch.collect_garbage()
-    # Anchors as (at, sure) pairs: those for bytes to decide are picked out of them within the reader.
-    open_ = shared.groupBy("doc_id").agg(F.collect_list("stamp").alias("stamps"), F.collect_list(F.struct("at", "sure")).alias("anchors"))
-    picked = open_.mapInArrow(_open_only, "doc_id long, stamps array<long>, ats array<binary>")
-    contexts = rows.join(picked, "doc_id").select("doc_id", "text", "stamps", "ats").mapInArrow(context_rows(groups), "grp long, blob binary")
+    contexts = cut.filter("grp is not null").select("grp", "blob")
     settled = scratch.save(contexts.groupBy("grp").applyInArrow(settle, "doc_id long, stamp long, start binary, stop binary"), "settled")
     scratch.collect_garbage()
-    sure = shared.select("doc_id", "stamp", "at", "sure", F.lit(None).cast("binary").alias("start"), F.lit(None).cast("binary").alias("stop"))
-    more = settled.select("doc_id", "stamp", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("sure"), "start", "stop")
-    return sure.unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("stamp", "at", "sure", "start", "stop")).alias("parts"))
-
-
-def _open_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, stamps, ats = [], [], []
-        for i, own, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            some = [(s, np.frombuffer(x["at"], "<u4")[np.frombuffer(x["sure"], "<u4") == 0]) for s, x in zip(own, pairs, strict=True)]
-            some = [(s, a) for s, a in some if len(a)]
-            if some:
-                ids.append(i)
-                stamps.append([s for s, _ in some])
-                ats.append([a.tobytes() for _, a in some])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stamps, pa.list_(pa.int64())), pa.array(ats, pa.list_(pa.binary()))], ["doc_id", "stamps", "ats"])
-
-
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    strings = cut.filter("hot is not null").select("hot", "doc_id", "stamp", "start")
+    least = strings.groupBy("hot").agg(F.min("doc_id").alias("least"))
+    repeated = strings.join(least, "hot").filter("doc_id > least").select("doc_id", "stamp", F.col("start").alias("from"))
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    parts = shared.select("doc_id", "stamp", "at", "sure", *nothing("binary", "start", "stop"), *nothing("long", "from"))
+    parts = parts.unionByName(settled.select("doc_id", "stamp", *nothing("binary", "at", "sure"), "start", "stop", *nothing("long", "from")))
+    parts = parts.unionByName(repeated.select("doc_id", "stamp", *nothing("binary", "at", "sure", "start", "stop"), "from"))
+    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("stamp", "at", "sure", "start", "stop", "from")).alias("parts"))
+
+
+def deduplicate(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, first_bits: int = AROUND_BITS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row of docs.
 
     Every byte under a LENGTH-byte string that also starts in a document with a smaller doc_id goes.
     Null texts count as empty. Rows without a doc_id neither lose bytes nor make others lose them;
-    rows that share one are each held against smaller ids only. `kept` is what remains, as binary.
+    rows that share one are each held against smaller ids only. `kept` is what remains, as binary. An
+    empty table gives an empty result; other columns are not read.
     """
-    parts = removable(docs, key, text)
+    parts = removable(docs, key, text, first_bits, hot_rows)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(parts, "doc_id", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
@@ -406,7 +540,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
         for batch in batches:
             found = batch.column(2).to_pylist()
             for first, data, bounds in hashing.pieces(batch.column(1)):
-                own = _stamp(hashing.prefix_hashes(data), bounds)
+                turns = [t for t in batch.column(3).slice(first, len(bounds) - 1).to_pylist() if t]
+                own = _stamp(hashing.prefix_hashes(_turned(data, turns[0] if turns else 0)), bounds)
                 out: list[tuple] = []
                 for t in range(len(bounds) - 1):
                     raw = data[bounds[t] : bounds[t + 1]]
@@ -415,9 +550,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
                         if part["stamp"] != own[t]:
                             continue
                         if part["at"] is not None:
-                            at = np.frombuffer(part["at"], "<u4").astype(np.int64)[np.frombuffer(part["sure"], "<u4") == 1]
+                            at = np.frombuffer(part["at"], "<u4").astype(np.int64)[np.frombuffer(part["sure"], "u1") == SURE]
                             starts.append(np.maximum(at - SIDE, 0))
                             stops.append(np.minimum(at + LENGTH, len(raw)))
+                        elif part["from"] is not None:
+                            starts.append(np.array([part["from"]], np.int64))
+                            stops.append(np.array([part["from"] + LENGTH], np.int64))
                         else:
                             starts.append(np.frombuffer(part["start"], "<u4").astype(np.int64))
                             stops.append(np.frombuffer(part["stop"], "<u4").astype(np.int64))
@@ -433,4 +571,4 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
                     [x.split()[0] for x in schema.split(", ")],
                 )
 
-    return rows.select("doc_id", "text", "parts").mapInArrow(work, schema)
+    return rows.select("doc_id", "text", "parts", "turn").mapInArrow(work, schema)

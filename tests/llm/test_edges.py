@@ -209,6 +209,18 @@ def test_suffix_dedup(docs, empty, messy, spark):
     assert len(again) == messy.count() and all(r["n_removed"] == 0 for r in again if r["doc_id"] is None)
 
 
+def test_suffix_dedup_with_colliding_hashes_and_hot_anchors(spark):
+    r = random.Random(18)
+    shared = words(77, 40)
+    rows = [(i, words(500 + i, r.randint(2, 30)) + " " + shared[r.randint(0, 30) :] + " " + words(900 + i, r.randint(2, 30))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute.suffix(rows)
+    # With 2 bits, contexts that differ have one hash; only the comparison of bytes can tell.
+    assert set(suffix_dedup.removable(frame, first_bits=2).select("turn").distinct().collect()) == {(1,)}
+    for options in ({"first_bits": 2}, {"hot_rows": 3}, {"hot_rows": 10}):
+        assert by_id(suffix_dedup.deduplicate(frame, **options), "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
 def test_suffix_dedup_random(spark):
     r = random.Random(8)
     pool = [words(50 + i, 25) for i in range(12)]
