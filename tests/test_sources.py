@@ -55,7 +55,7 @@ def test_passages(spark):
     assert all(a < c <= b for (a, b), (c, _) in zip(spans, spans[1:], strict=False))
     rows = passages.chunk(spark.createDataFrame([(1, text), (2, None), (3, "short")], "id long, text string")).collect()
     assert all(text[r["start"] : r["end"]] == r["text"] for r in rows if r["id"] == 1) and [r["text"] for r in rows if r["id"] == 3] == ["short"]
-    assert passages.passages("") == [] and passages.light_stem("meetings") == passages.light_stem("meeting")
+    assert passages.passages("") == [] and passages.porter("meetings") == passages.porter("meeting")
     assert "needle" in passages.dense_window("hay " * 500 + "needle and needle " + "hay " * 500, ["needle"])
 
 
