@@ -254,7 +254,6 @@ class NearDuplicates:
         likely = self.percent / 100 - MARGIN
         tried = self.scratch.save(self.estimates(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()), "tried")
         self.texts = self.texts_of(tried.select(F.explode(F.array("a", "b")).alias("rep")))
-        self.scratch.collect_garbage()
         verified = self.verified(tried.filter(F.col("ratio") & (F.col("j") >= likely)))
         links = verified.filter("linked").select("a", "b")
         # One doc_id on several rows may have several sets; they are one node.

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +50,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with self.tidied():
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -58,10 +60,16 @@ class Scratch:
         for df in frames:
             self._delete(df._scratch_path)
 
-    def collect_garbage(self) -> None:
-        """Lets Spark's cleaner find shuffles that nothing refers to any more, and delete their files."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    @contextmanager
+    def tidied(self) -> Iterator[None]:
+        """What runs inside deletes its shuffles as it ends; the session is as it was afterwards."""
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
 
     def drop_all(self) -> None:
         try:

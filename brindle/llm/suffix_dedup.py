@@ -496,22 +496,20 @@ def _tried(rows: DataFrame, groups: int, turn: int, bits: int, hot_rows: int) ->
     scratch = Scratch(rows.sparkSession, "suffix")
     sent = rows.mapInArrow(anchor_rows(groups, turn, bits), "grp long, blob binary, known binary")
     shared = scratch.save(sent.groupBy("grp").applyInArrow(meeting(hot_rows), MET), "shared")
-    scratch.collect_garbage()
     each = shared.groupBy("doc_id").agg(F.collect_list(F.struct("stamp", "at", "sure", "src", "ahead")).alias("anchors"))
     cut = scratch.save(rows.join(each, "doc_id").select("doc_id", "text", "anchors").mapInArrow(cut_rows(groups, turn), CUT), "cut")
-    scratch.collect_garbage()
     runs = cut.filter("src is not null").select("src", "runs", F.sha2("runs", 256).alias("uid"))
     judged = runs.join(rows.select(F.col("doc_id").alias("src"), "text"), "src").select("uid", "runs", "text").mapInArrow(_differing, "uid string, differ array<long>")
     # Of rows that share the source's id one is enough: a run differs if it does in each of them.
     each = judged.groupBy("uid").agg(F.count("*").alias("n"), F.flatten(F.collect_list("differ")).alias("all")).filter("size(all) > 0")
     wrong = F.exists(F.array_distinct("all"), lambda i: F.size(F.filter("all", lambda x: x == i)) == F.col("n"))
-    if not each.filter(wrong).isEmpty():
+    with scratch.tidied():
+        agree = each.filter(wrong).isEmpty()
+    if not agree:
         scratch.drop(shared, cut)
         return None
-    scratch.collect_garbage()
     contexts = cut.filter("grp is not null").select("grp", "blob")
     settled = scratch.save(contexts.groupBy("grp").applyInArrow(settle, "doc_id long, stamp long, start binary, stop binary"), "settled")
-    scratch.collect_garbage()
     strings = cut.filter("hot is not null").select("hot", "doc_id", "stamp", "start")
     least = strings.groupBy("hot").agg(F.min("doc_id").alias("least"))
     repeated = strings.join(least, "hot").filter("doc_id > least").select("doc_id", "stamp", F.col("start").alias("from"))
@@ -519,7 +517,9 @@ def _tried(rows: DataFrame, groups: int, turn: int, bits: int, hot_rows: int) ->
     parts = shared.select("doc_id", "stamp", "at", "sure", *nothing("binary", "start", "stop"), *nothing("long", "from"))
     parts = parts.unionByName(settled.select("doc_id", "stamp", *nothing("binary", "at", "sure"), "start", "stop", *nothing("long", "from")))
     parts = parts.unionByName(repeated.select("doc_id", "stamp", *nothing("binary", "at", "sure", "start", "stop"), "from"))
-    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("stamp", "at", "sure", "start", "stop", "from")).alias("parts"))
+    parts = scratch.save(parts.groupBy("doc_id").agg(F.collect_list(F.struct("stamp", "at", "sure", "start", "stop", "from")).alias("parts")), "parts")
+    scratch.drop(shared, cut, settled)
+    return parts
 
 
 def deduplicate(
