@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from brindle.llm import ann, bpe, importance, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, url_rules, vector_codes, warc
+from brindle.llm import ann, bpe, html_text, importance, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, url_rules, vector_codes, warc
 from brindle.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return importance.resample(docs, _table(spark, sf_dir, "benchmark"))
@@ -194,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_html_text": op11_html_text,
     "op12_resampling": op12_resampling,
     "op13_vector_codes": op13_vector_codes,
 }
