@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from brindle.llm.scratch import Scratch
 
 #: Most distinct vectors in a shard, and the fewest shards a large table is dealt to.
-SHARD_ROWS = 65_536
+SHARD_ROWS = 8_192
 SHARDS = 8
 #: Queries that meet a shard at once: a block is about as large as a quarter of a shard, so that a shard
 #: is sent to few tasks.
@@ -30,6 +30,11 @@ BLOCK = 16_384
 LINKS = 16
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 96
+#: Each shard's width of searches is fitted: so many of its vectors are searched and scanned exactly, and the
+#: width doubles until the share of their k nearest that is found is this. From a quarter of the shard on,
+#: a scan is cheaper.
+FIT_QUERIES = 64
+FIT_RECALL = 0.98
 
 
 def _without_repeats(pool: np.ndarray) -> np.ndarray:
@@ -186,9 +191,27 @@ class Graph:
         order = np.argsort(-scores, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
+    def fitted_width(self, k: int, width: int = SEARCH_WIDTH) -> int:
+        """The least of width, 2 * width, ... that finds FIT_RECALL of the k nearest of a sample."""
+        n = len(self.x)
+        q = self.x[:: max(1, n // FIT_QUERIES)][:FIT_QUERIES]
+        k = min(k, n)
+        exact = q @ self.x.T
+        least = np.partition(exact, n - k, axis=1)[:, n - k, None] - 1e-6
+        while width * 4 < n:
+            found = self.search(q, k, width)[1]
+            if (found >= least).mean() >= FIT_RECALL:
+                break
+            width *= 2
+        return width
+
     def search(self, q: np.ndarray, k: int, width: int = SEARCH_WIDTH) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and scores of the k best found for each query; -1 where there are fewer."""
         n = len(self.x)
+        if width * 4 >= n:
+            scores = q @ self.x.T
+            ids = np.argsort(-scores, axis=1, kind="stable")[:, :k].astype(np.int32)
+            return ids, np.take_along_axis(scores, ids, 1)
         entry = np.zeros((len(q), 1), np.int32)
         for level in range(len(self.neighbours) - 1, 0, -1):
             entry = self._beam(q, entry, level, 4, n)[0][:, :1]
@@ -211,8 +234,8 @@ def _unit(x: np.ndarray, scale: float, radius: float) -> np.ndarray:
     return np.column_stack([y, np.sqrt(np.maximum(1 - (y**2).sum(axis=1), 0))]).astype(np.float32)
 
 
-def build_index(distinct: DataFrame, scale: float, radius: float) -> DataFrame:
-    """(shard, ids, vectors, order, levels, neighbours) from (shard, id, v): one row of flat arrays a shard."""
+def build_index(distinct: DataFrame, scale: float, radius: float, k: int) -> DataFrame:
+    """(shard, ids, vectors, levels, neighbours, dim, width) from (shard, id, v): one row of flat arrays a shard."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -222,12 +245,12 @@ def build_index(distinct: DataFrame, scale: float, radius: float) -> DataFrame:
             {
                 "shard": [group["shard"].iloc[0]], "ids": [group["id"].to_numpy(np.int64)[graph.order].tobytes()],
                 "vectors": [x[graph.order].tobytes()], "levels": [graph.levels.tobytes()],
-                "neighbours": [[t.tobytes() for t in graph.neighbours]], "dim": [x.shape[1]],
+                "neighbours": [[t.tobytes() for t in graph.neighbours]], "dim": [x.shape[1]], "width": [graph.fitted_width(k)],
             }
         )
 
     return distinct.groupBy("shard").applyInPandas(
-        build, "shard long, ids binary, vectors binary, levels binary, neighbours array<binary>, dim int"
+        build, "shard long, ids binary, vectors binary, levels binary, neighbours array<binary>, dim int, width int"
     )
 
 
@@ -250,7 +273,7 @@ def search_shards(blocks: DataFrame, index: DataFrame, scale: float, radius: flo
         for part in np.array_split(np.arange(len(q)), max(1, -(-len(q) // 256))):
             own = q[part] / np.abs(q[part]).max(axis=1, keepdims=True)
             unit = np.column_stack([own / np.linalg.norm(own, axis=1)[:, None], np.zeros(len(part))])
-            at, _ = graph.search(unit.astype(np.float32), k, width)
+            at, _ = graph.search(unit.astype(np.float32), k, max(width, int(s["width"])))
             r, c = np.nonzero(at >= 0)
             to = at[r, c]
             score = np.einsum("rd,rd->r", q[part][r], x[to])
@@ -282,7 +305,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     shards = max(-(-total // SHARD_ROWS), min(SHARDS, -(-total // 256)))
     dims = F.size("v").cast("long") * 1_000_003  # a shard holds vectors of one length
     placed = classes.select((dims + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards))).alias("shard"), "id", "v")
-    index = scratch.save(build_index(placed, scale, radius), "index")
+    index = scratch.save(build_index(placed, scale, radius, k + 1), "index")
     asked = usable(queries, key, column).select(F.col("vec_id").alias("query_id"), "v").distinct()
     n_blocks = F.lit(max(1, -(-asked.count() // BLOCK)))
     block = F.pmod(F.xxhash64("query_id", F.lit(11)), n_blocks)
