@@ -202,9 +202,10 @@ def day_hint(path: Column) -> Column:
     return F.try_to_date(F.regexp_replace(found, "[-_]", ""), "yyyyMMdd")
 
 
-def pasted_signs(c: Column) -> Column:
-    """Signs that a text was copied: lines (2), two pairs of quotes, two signs of code; 0 for short texts."""
-    words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    quotes = F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
-    signs = 2 * F.trim(c).contains("\n").cast("int") + (quotes >= 4).cast("int") + c.rlike(r"[{};=<>()\[\]][^{};=<>()\[\]]*[{};=<>()\[\]]").cast("int")
-    return F.when((F.length(F.trim(c)) >= 24) & (words >= 4), signs).otherwise(0)
+def pasted(c: Column) -> Column:
+    """Whether a text was copied rather than typed: grammar.looks_pasted for a column."""
+    t, mark = F.regexp_replace(c, r"^\s+|\s+$", ""), r"[^\p{L}\p{N}_\s'\-,.?!]"
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    weight = count(mark) + 2 * count(mark + "{2,}") + 3 * count("\n") + 3 * t.rlike(r"^[\p{L}\p{N}_]+:\s").cast("int")
+    return (F.length(t) >= 24) & (words >= 4) & (weight >= 3) & (4 * weight >= words)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 
 LEAST_WORDS, LEAST_SUPPORT, LEAST_COVERAGE = 2, 0.70, 0.5
-NEGATION = r"(?i)\b(?:not|no|never|none|nothing|cannot|without)\b"
+# The words that deny in English, and the ending of their contractions.
+NEGATION = r"(?i)\b(?:barely|cannot|hardly|lacks?|neither|never|no|nobody|none|nor|not|nothing|nowhere|scarcely|without)\b|n['’]t\b"
 
 
 def numbers(c: Column) -> Column:

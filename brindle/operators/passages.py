@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,26 +96,31 @@ def with_pages(chunks: DataFrame, breaks: DataFrame) -> DataFrame:
     return chunks.join(pages, "doc_id", "left").withColumn("page", F.when(F.col("breaks").isNull(), 1).otherwise(before + 1)).drop("breaks")
 
 
+_SENTENCE_START = re.compile(r"(?:^|[.!?…]['\")\]]* |[。！？])(?=\S)")
+
+
 def dense_window(text: str, terms: list[str], width: int = 600) -> str:
-    """The `width` characters with most of the terms, a third of them before the first one, whole words only;
-    the beginning where there is none. Blanks count as one."""
+    """Up to `width` characters of a text from the sentence on after which most different terms follow, then
+    most terms in all; of equal sentences the first. Blanks count as one, and the last word is whole. Where
+    a term stands only beyond the width of any sentence's start, words begin windows too."""
     flat = " ".join(text.split())
     if len(flat) <= width or width <= 0:
         return flat
-    words = [re.escape(t) for t in terms if t]
-    hits = np.array([m.start() for m in re.finditer("|".join(words), flat, re.I)] if words else [], np.int64)
-    start = 0
-    if len(hits):
-        inside = np.searchsorted(hits, hits + width) - np.arange(len(hits))
-        start = min(max(0, int(hits[int(inside.argmax())]) - width // 3), len(flat) - width)
-    stop = start + width
-    if start and flat[start - 1] != " ":
-        space = flat.find(" ", start, stop)
-        start = space + 1 if space >= 0 else start
-    if stop < len(flat) and flat[stop] != " ":
-        space = flat.rfind(" ", start, stop)
-        stop = space if space > start else stop
-    return flat[start:stop].strip()
+    low = flat.lower()
+    found = sorted((m.start(), m.end(), k) for k, t in enumerate(dict.fromkeys(t.lower() for t in terms if t)) for m in re.finditer(re.escape(t), low))
+    at = [a for a, _, _ in found]
+
+    def best(starts: list[int]) -> tuple[tuple[int, int], int]:
+        inside = lambda s: [k for _, b, k in found[bisect_left(at, s) : bisect_right(at, s + width)] if b <= s + width]
+        return max(((len(set(v)), len(v)), -s) for s, v in ((s, inside(s)) for s in starts))
+
+    starts = [m.end() for m in _SENTENCE_START.finditer(flat)]
+    met = best(starts) if starts else ((0, 0), 0)
+    if found and not met[0][0]:
+        met = best([flat.rfind(" ", 0, a + 1) + 1 for a in at])
+    window = flat[-met[1] :][: width + 1]
+    whole = window[:width] if len(window) <= width or window[width] == " " else window[:width].rpartition(" ")[0] or window[:width]
+    return whole.strip()
 
 
 def windows(text: Column, terms: list[str], width: int = 600) -> Column:

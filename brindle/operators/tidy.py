@@ -13,9 +13,16 @@ from brindle.sources.store import kept
 #: Hashes that meet in one task, on each side.
 BLOCK = 4_096
 NEAR_BITS = 16
-# Folders that copies are spare in, and names that copies get.
-SPARE_FOLDERS = ("downloads", "temp", "tmp", "recycle", "trash", "backup")
-COPY_NAME = r"(?i)^copy of |[ _-]copy( *\([0-9]+\))?$|\([0-9]{1,3}\)$"
+# Folders that systems keep passing files in, and the marks that systems put on copies' names.
+SPARE_FOLDERS = (
+    "$recycle.bin", ".cache", ".thumbnails", ".trash", ".trash-1000", "autosave", "backup", "backups", "cache", "downloads", "lost+found", "old files",
+    "recycle bin", "recycler", "temp", "temporary internet files", "tmp", "trash",
+)
+WINDOWS_COPY = r" - copy(?: \([0-9]+\))?$"
+MAC_COPY = r" copy(?: [0-9]+)?$"
+LINUX_COPY = r" \((?:copy|another copy|[0-9]+(?:st|nd|rd|th) copy)\)$"
+BROWSER_COPY = r" ?\([0-9]+\)$"
+COPY_NAME = f"(?i)^copy of |{WINDOWS_COPY}|{MAC_COPY}|{LINUX_COPY}|{BROWSER_COPY}"
 
 
 def near_hashes(rows: DataFrame, most: int = NEAR_BITS) -> DataFrame:

@@ -222,9 +222,13 @@ def federated_commits(c: Corpus):
     return files.unionByName(page(c.table("orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], "o_orderkey", "commit", 10))
 
 
-@query("pasted_texts", r"SELECT doc_id FROM documents WHERE length(trim(text)) >= 24 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 4 AND 2 * CAST(contains(trim(text), chr(10)) AS INT) + CAST(length(text) - length(replace(text, '\x22', '')) >= 4 AS INT) + CAST(regexp_matches(text, '[{};=<>()\[\]][^{};=<>()\[\]]*[{};=<>()\[\]]') AS INT) >= 2".replace(r"\x22", '"'))
+MARK = r"[^\p{L}\p{N}_\s''\-,.?!]"
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@query("pasted_texts", rf"SELECT doc_id FROM (SELECT doc_id, length(t) AS chars, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) AS words, len(regexp_extract_all(t, '{MARK}')) + 2 * len(regexp_extract_all(t, '{MARK}{{2,}}')) + 3 * len(regexp_extract_all(t, '\n')) + 3 * CAST(regexp_matches(t, '^[\p{{L}}\p{{N}}_]+:\s') AS INT) AS weight FROM (SELECT doc_id, {STRIPPED} AS t FROM documents)) WHERE chars >= 24 AND words >= 4 AND weight >= 3 AND 4 * weight >= words")
 def pasted_texts(c: Corpus):
-    return c.table("documents").filter(T.pasted_signs(F.col("text")) >= 2).select("doc_id")
+    return c.table("documents").filter(T.pasted(F.col("text"))).select("doc_id")
 
 
 @query("sentence_filters", "SELECT id FROM listing WHERE ext IN ('eml', 'msg', 'pst', 'mbox') AND id IN (SELECT mail_id FROM messages WHERE contains(lower(sender), 'assistant')) AND coalesce(taken_at_ns, mtime_ns) BETWEEN 1704067200000000000 AND 1735689599999999000")
@@ -318,7 +322,7 @@ def _code(c: Corpus):
     return c.texts.filter("ext = 'py'").select("id", "path", F.replace("text", F.lit(" token = "), F.lit("\ntoken = ")).alias("text"))
 
 
-@query("code_matches", f"SELECT row_number() OVER (ORDER BY kind, path, line) AS place, * FROM (SELECT CASE WHEN regexp_matches(text, '{DECLARED}') THEN 'definition' ELSE 'mention' END AS kind, id, path, line, text FROM (SELECT id, path, trim(text, ' ') AS text, min(line) AS line FROM ({LINES}) WHERE trim(text, ' ') <> '' AND (contains(lower(text), 'token') OR contains(lower(text), 'toke')) GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY line) <= 3) QUALIFY place <= 200")
+@query("code_matches", f"SELECT row_number() OVER (ORDER BY kind, path, line) AS place, * FROM (SELECT CASE WHEN regexp_matches(text, '{DECLARED}') THEN 'definition' ELSE 'mention' END AS kind, id, path, line, text FROM (SELECT id, path, trim(text, ' ') AS text, min(line) AS line FROM ({LINES}) WHERE trim(text, ' ') <> '' AND contains(lower(text), 'token') GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY line) <= 3) QUALIFY place <= 200")
 def code_matches(c: Corpus):
     return code.matches(_code(c), ["token"])
 
@@ -405,7 +409,7 @@ def repo_registry(c: Corpus):
 CITED = "SELECT b.item_id, d.doc_id, b.text AS passage, d.text AS evidence FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))"
 NUMBERS = "list_distinct(list_transform(regexp_extract_all(%s, '[0-9][0-9,]*'), lambda x: replace(x, ',', '')))"
 WORDS_OF = f"list_distinct(list_filter(regexp_split_to_array(lower(%s), {BREAK}), lambda w: w <> ''))"
-NEGATED = r"regexp_matches(%s, '(?i)\b(?:not|no|never|none|nothing|cannot|without)\b')"
+NEGATED = r"regexp_matches(%s, '(?i)\b(?:barely|cannot|hardly|lacks?|neither|never|no|nobody|none|nor|not|nothing|nowhere|scarcely|without)\b|n[''’]t\b')"
 CLAIMS = f"SELECT item_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN passage ELSE passage || ' 987654 unsupported words that nobody wrote at all anywhere here' END AS sentence, evidence FROM ({CITED})"
 
 

@@ -67,7 +67,7 @@ def test_history_questions():
 
     q = code.parse_history('author:ann since:1997 until:1998-02 path:a.py added:"x y" fix it', dt.date(2024, 1, 1))
     assert (q.author, q.since, q.until, q.path, q.added, q.message) == ("ann", dt.date(1997, 1, 1), dt.date(1998, 2, 28), "a.py", "x y", "fix it")
-    assert code.needles(["Handlers", "at", "parse"]) == ["handlers", "handler", "at", "parse", "pars"]
+    assert code.needles(["Handlers", "at", "parse", "happy", "parsing"]) == ["handler", "at", "pars", "happ"]
 
 
 def test_wider_searches():
