@@ -44,7 +44,7 @@ def parts(corpus: Corpus, words: DataFrame) -> DataFrame:
     n, mean = corpus.lengths.agg(F.count("*"), F.avg("len")).first()
     tf = F.col("tf").cast("double")
     part = idf(n, F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / (mean or math.inf)))
-    return hits.join(asked.join(corpus.vocabulary, "term"), "term").select("term", "doc_id", part.alias("part"))
+    return hits.join(corpus.frequencies(asked, hits), "term").select("term", "doc_id", part.alias("part"))
 
 
 def scores(corpus: Corpus, searches: DataFrame) -> DataFrame:

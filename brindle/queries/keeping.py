@@ -147,36 +147,12 @@ def junk_pictures(c: Corpus):
 # ---- stored rows
 
 
-@query("append_vectors", "SELECT vec_id AS id, 'old' AS origin FROM embeddings UNION ALL SELECT vec_id + 1000000, 'new' FROM embeddings WHERE vec_id % 4 <> 0")
-def append_vectors(c: Corpus):
-    # A batch is appended but for rows of another length.
-    e = c.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    batch = e.select((F.col("id") + 1000000).alias("id"), F.when(F.col("id") % 4 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"))
-    dim = e.agg(F.max(F.size("embedding")).alias("dim"))
-    fits = batch.join(F.broadcast(dim), F.size("embedding") == F.col("dim")).select("id", F.lit("new").alias("origin"))
-    return e.select("id", F.lit("old").alias("origin")).unionByName(fits)
-
-
 @query("vectors_for", "SELECT vec_id, len(embedding) AS dim FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 1)")
 def vectors_for(c: Corpus):
     asked = c.table("documents").filter("doc_id % 3 = 1").select(F.col("doc_id").alias("vec_id"))
     return c.table("embeddings").join(asked, "vec_id", "left_semi").select("vec_id", F.size("embedding").alias("dim"))
 
 
-@query("cascading_delete", "SELECT 'files' AS tbl, count(*) AS n FROM files WHERE id % 13 <> 0 UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE file_id % 13 <> 0 UNION ALL SELECT 'tags', count(*) FROM file_tags WHERE file_id % 13 <> 0")
-def cascading_delete(c: Corpus):
-    gone = c.files.filter("id % 13 = 0").select("id")
-    left = lambda df, key, name: df.join(gone, F.col(key) == gone["id"], "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
-    return left(c.files.select(F.col("id").alias("k")), "k", "files").unionByName(left(c.chunks.select("file_id"), "file_id", "chunks")).unionByName(left(c.file_tags, "file_id", "tags"))
-
-
-@query("forget_folder", "SELECT 'files' AS tbl, count(*) AS n FROM files WHERE NOT starts_with(path, '/corpus/src2/') UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE file_id NOT IN (SELECT id FROM files WHERE starts_with(path, '/corpus/src2/'))")
-def forget_folder(c: Corpus):
-    gone = c.files.filter(T.under_root(F.col("path"), "/corpus/src2")).select(F.col("id").alias("file_id"))
-    kept = c.files.filter(~T.under_root(F.col("path"), "/corpus/src2")).agg(F.count("*").alias("n")).select(F.lit("files").alias("tbl"), "n")
-    return kept.unionByName(c.chunks.select("file_id").join(gone, "file_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("chunks").alias("tbl"), "n"))
-
-
 @query("usage_log", "SELECT user_id AS query, event_type AS kind, count(*) AS n, max(event_id) AS newest FROM events GROUP BY 1, 2")
 def usage_log(c: Corpus):
     return c.table("events").groupBy(F.col("user_id").alias("query"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))

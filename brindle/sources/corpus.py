@@ -157,20 +157,34 @@ class Corpus:
     def postings(self) -> DataFrame:
         """(term, doc_id, tf, pos, len, b): a word's places in each document, with the document's length."""
 
-        def build() -> DataFrame:
-            words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
-            each = self.table("documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("len"), F.posexplode("w").alias("pos", "term"))
-            rows = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"), F.first("len").alias("len"))
-            part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, self.buckets // 64)))  # a common word's bucket is written by several tasks
-            return rows.withColumn("b", self.bucket("term")).repartition(F.col("b"), part).sortWithinPartitions("b", "term", "doc_id")
-
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, self.buckets // 64)))  # a common word's bucket is written by several tasks
+        build = lambda: self.posted().repartition(F.col("b"), part).sortWithinPartitions("b", "term", "doc_id")
         return self.store.table("postings", build, "b")
 
+    def posted(self) -> DataFrame:
+        """The postings of the documents, made from their texts. A document's words are sorted with their places
+        inside its row, so that each distinct word leaves it as one row and nothing is aggregated."""
+        words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
+        placed = F.sort_array(F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+        docs = self.table("documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("len"), placed.alias("s"))
+        n = F.size("s")
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+        runs = docs.filter(n > 0).select("doc_id", "len", "s", first.alias("f"))
+        cut = F.transform("f", lambda a, k: F.slice("s", a + 1, F.coalesce(F.get("f", k + 1), F.size("s")) - a))
+        each = runs.select("doc_id", "len", F.explode(cut).alias("r"))
+        term = F.get("r", F.lit(0))["term"]
+        rows = each.select(term.alias("term"), "doc_id", F.size("r").cast("long").alias("tf"), F.transform("r", lambda x: x["pos"]).alias("pos"), "len")
+        return rows.withColumn("b", self.bucket("term"))
+
     @cached_property
     def vocabulary(self) -> DataFrame:
         """(term, df): documents that a word is in."""
         return self.store.table("vocabulary", lambda: self.postings.groupBy("term").agg(F.count("*").alias("df")))
 
+    def frequencies(self, asked: DataFrame, hits: DataFrame) -> DataFrame:
+        """(term, df) of the asked words; hits: their postings."""
+        return asked.join(self.vocabulary, "term")
+
     @cached_property
     def tokens(self) -> DataFrame:
         """(doc_id, pos, term): every word of every document, lower-cased."""
@@ -179,8 +193,11 @@ class Corpus:
     @cached_property
     def lengths(self) -> DataFrame:
         """(doc_id, len): words a document, empty ones too."""
+        return self.store.table("lengths", self.measured)
+
+    def measured(self) -> DataFrame:
         words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
-        return self.store.table("lengths", lambda: self.table("documents").select("doc_id", F.size(words).cast("long").alias("len")))
+        return self.table("documents").select("doc_id", F.size(words).cast("long").alias("len"))
 
     def build_index(self) -> None:
         """Writes what isn't stored yet."""
