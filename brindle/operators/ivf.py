@@ -129,8 +129,9 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(qid, id, sim, rank): the k best found of each query (qid, q) by cosine, ties to the smaller id, its
-        own id left out. Unless given, as many cells are read as the index measured."""
+        own id left out. Queries of another length find nothing. Unless given, as many cells are read as the index measured."""
         model, n = self.model, min(probes or self.probes, len(self.model.centres))
+        queries = queries.filter(F.size("q") == self.model.centres.shape[1])
         most = SHORT_LIST * k
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

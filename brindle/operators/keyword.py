@@ -103,16 +103,3 @@ def phrase(corpus: Corpus, terms: Sequence[str]) -> DataFrame:
     shifts = F.array(*[F.when(F.col("term") == t, F.col("pos") - i) for i, t in enumerate(terms)])
     starts = places.select("doc_id", "pos", F.explode(F.filter(shifts, lambda x: x.isNotNull())).alias("start"))
     return starts.groupBy("doc_id", "start").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") == len(terms)).select("doc_id").distinct()
-
-
-def suggestions(words: DataFrame, vocab: DataFrame, prefix: int = 3, most: int = 200) -> DataFrame:
-    """(word, suggestion, distance): of the `most` commonest words with the same first letters, the nearest
-    within 1 edit, or 2 for words of 7 letters and more; ties go to the commoner word."""
-    keyed = vocab.withColumn("p", F.substring("term", 1, prefix))
-    wanted = words.filter(F.length("word") >= 4).withColumn("p", F.substring("word", 1, prefix))
-    near = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("df"), "term"))
-    candidates = wanted.join(keyed, "p").filter("term != word").withColumn("r", near).filter(F.col("r") <= most)
-    ceiling = F.when(F.length("word") >= 7, 2).otherwise(1)
-    measured = candidates.withColumn("distance", F.levenshtein("word", "term")).filter(F.col("distance") <= ceiling)
-    best = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.desc("df"), "term"))
-    return measured.withColumn("r", best).filter("r = 1").select("word", F.col("term").alias("suggestion"), "distance")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import filters, keyword, ranking, vectors
+from brindle.operators import filters, keyword, ranking, spelling, vectors
 from brindle.plans import grammar
 from brindle.plans.grammar import Parsed
 from brindle.sources.corpus import BASE_NS, Corpus
@@ -21,11 +23,14 @@ LANE, MOST_FORMS = 100, 200
 def search(corpus: Corpus, text: str, limit: int = 20, today: dt.date = dt.date(2024, 1, 1), relax: int = 2, vector: list[float] | None = None) -> DataFrame:
     """(place, id, path, score, sources, folded) of one typed query; if it finds nothing, up to `relax` looser forms.
 
+    If just one of its words is in no document, the nearest spelling is searched in its place.
+
     A page is stored as it is found, so asking whether it is empty doesn't search twice.
     """
     q = grammar.parse(text, today)
     if grammar.looks_pasted(text) and not (q.phrases or q.filters or q.all_terms):
         q = Parsed(phrases=(grammar.pasted_phrase(text),))
+    q = corrected(corpus, q)
     page = kept(ranked(corpus, q, limit, vector), "page")
     for _, looser in grammar.relaxations(q)[:relax]:
         if not page.isEmpty():
@@ -34,41 +39,75 @@ def search(corpus: Corpus, text: str, limit: int = 20, today: dt.date = dt.date(
     return page
 
 
-def forms(corpus: Corpus, word: str) -> list[str]:
-    """The words of the vocabulary that a typed word stands for: itself and its spellings as a number; the
-    parts of a pattern's matches, commonest first."""
+def forms(corpus: Corpus, word: str) -> list[tuple[str, ...]]:
+    """What a typed word stands for, each a run of words of the vocabulary that follow each other: its own parts,
+    its spellings as a number, and for a name in code its parts and them in one. Of a pattern, the words that
+    it matches, commonest first."""
     w = word.lower()
     if set(w) & set("*?"):
         if sum(c.isalnum() for c in w) < 2:
             return []
         found = corpus.vocabulary.filter(F.col("term").rlike(T.glob_regex(w))).orderBy(F.desc("df"), "term").limit(MOST_FORMS)
-        return [r["term"] for r in found.collect()]
-    return list(dict.fromkeys([*T.plain_words(w), *(f for f in grammar.number_forms(w) if f.isalnum())]))
+        return [(r["term"],) for r in found.collect()]
+    runs = [tuple(T.plain_words(f)) for f in (w, *grammar.number_forms(w))]
+    parts = [p.lower() for p in grammar.identifier_parts(word)]
+    if len(parts) > 1:
+        runs.append(tuple(parts))
+    if "_" in w.strip("_") and w.replace("_", "").isalnum():
+        runs.append((w.replace("_", ""),))
+    return [r for r in dict.fromkeys(runs) if r]
 
 
 def matching(corpus: Corpus, q: Parsed) -> DataFrame | None:
     """(doc_id, score) of documents that the words of q ask for; None where q has no words.
 
     Alternatives of OR stand beside each other; within one, several words rank by how many match,
-    or must all match after an AND. All forms of a word count as that word. A word that stands for
-    nothing matches nothing.
+    or must all match after an AND. All forms of a word count as that word; of a form of several
+    words, these must follow each other. A word that stands for nothing matches nothing.
     """
-    rows, sizes = [], []
+    rows, sizes, runs = [], [], {}
     for g, group in enumerate(q.groups or ((q.terms,) if q.terms else ())):
         words = grammar.content_words(group)
         sizes.append(len(words))
-        rows += [(g, k, f) for k, w in enumerate(words) for f in forms(corpus, w)]
+        for k, w in enumerate(words):
+            for f in forms(corpus, w):
+                run = runs.setdefault(f, len(runs)) if len(f) > 1 else -1
+                rows += [(g, k, run, t) for t in dict.fromkeys(f)]
     if not sizes:
         return None
-    asked = corpus.spark.createDataFrame(rows, "grp int, word int, term string")
-    each = keyword.parts(corpus, asked.select("term"))
-    met = asked.join(each, "term").groupBy("doc_id", "grp").agg(F.sum("part").alias("score"), F.countDistinct("word").alias("matched"))
+    asked = corpus.spark.createDataFrame(rows, "grp int, word int, run int, term string")
+    met = asked.join(keyword.parts(corpus, asked.select("term")), "term")
+    if runs:
+        follow = [keyword.phrase(corpus, f).select("doc_id", F.lit(n).alias("run")) for f, n in runs.items()]
+        whole = reduce(DataFrame.unionByName, follow).withColumn("follows", F.lit(True))
+        met = met.join(whole, ["doc_id", "run"], "left").filter((F.col("run") < 0) | F.col("follows"))
+    once = met.groupBy("doc_id", "grp", "word", "term").agg(F.first("part").alias("part"))
+    met = once.groupBy("doc_id", "grp").agg(F.sum("part").alias("score"), F.countDistinct("word").alias("matched"))
     if q.all_terms:
         wanted = F.get(F.lit(sizes), F.col("grp"))
         met = met.filter(F.col("matched") == wanted)
     return met.groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
+def corrected(corpus: Corpus, q: Parsed) -> Parsed:
+    """q with its only word that no document has replaced by the nearest word of the vocabulary; q itself where
+    all are known, more than one isn't, or nothing is near."""
+    words = [w for g in (q.groups or (q.terms,)) for w in grammar.content_words(g)]
+    known = {w: {t for f in forms(corpus, w) for t in f} for w in dict.fromkeys(words) if not set(w) & set("*?")}
+    asked = sorted({t for ts in known.values() for t in ts})
+    if not asked:
+        return q
+    have = {r["term"] for r in keyword.postings_of_words(corpus, asked).select("term").distinct().collect()}
+    missing = [w for w, ts in known.items() if not ts & have]
+    if len(missing) != 1:
+        return q
+    near = spelling.suggestions(corpus, corpus.spark.createDataFrame([(missing[0].lower(),)], "word string")).collect()
+    if not near:
+        return q
+    swap = lambda ws: tuple(near[0]["suggestion"] if w == missing[0] else w for w in ws)
+    return replace(q, terms=swap(q.terms), groups=tuple(swap(g) for g in q.groups))
+
+
 def allowed(corpus: Corpus, q: Parsed) -> DataFrame:
     """Files under the filters, phrases and exclusions of q."""
     files = filters.apply(corpus.files, q, corpus)

@@ -67,6 +67,12 @@ def search_relaxed(c: Corpus):
     return _shown(search(c, "license type:zzz", limit=20))
 
 
+@query("search_misspelt", _page(["license", "version"], "true"))
+def search_misspelt(c: Corpus):
+    # One word is in no document: its nearest spelling is searched.
+    return _shown(search(c, "licensse version", limit=20))
+
+
 @query("search_by_name_order", _page(["license", "version"], "true", f"lower({BASENAME}), path").replace("CASE WHEN", "CASE WHEN false AND", 1))
 def search_by_name_order(c: Corpus):
     return _shown(search(c, "license version sort:name", limit=20))
@@ -85,10 +91,13 @@ def search_phrase_not_phrase(c: Corpus):
 
 @query("search_wildcard", "SELECT doc_id, count(DISTINCT term) AS n FROM postings WHERE term IN (SELECT term FROM postings WHERE regexp_matches(term, '^lic.*e$') GROUP BY term ORDER BY count(*) DESC, term LIMIT 200) GROUP BY 1")
 def search_wildcard(c: Corpus):
-    return keyword.postings_of_words(c, forms(c, "lic*e")).groupBy("doc_id").agg(F.countDistinct("term").alias("n"))
+    return keyword.postings_of_words(c, [w for w, in forms(c, "lic*e")]).groupBy("doc_id").agg(F.countDistinct("term").alias("n"))
+
+
+FOLLOW = "SELECT a.doc_id FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = '2' AND b.term = '373'"
 
 
-@query("search_number", f"SELECT doc_id, round(sum(part), 6) AS score FROM ({_part(['2', '373', '2373'])}) GROUP BY 1")
+@query("search_number", f"SELECT doc_id, round(sum(part), 6) AS score FROM ({_part(['2', '373', '2373'])}) WHERE term = '2373' OR doc_id IN ({FOLLOW}) GROUP BY 1")
 def search_number(c: Corpus):
     return matching(c, parse("2,373", TODAY)).select("doc_id", F.round("score", 6).alias("score"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.functions import vectors as V
-from brindle.operators import ivf, keyword, ranking, vectors
+from brindle.operators import ivf, keyword, ranking, spelling, vectors
 from brindle.plans.grammar import number_forms
 from brindle.queries.registry import query
 from brindle.sources.corpus import BASE_NS, Corpus
@@ -87,18 +87,16 @@ def wildcard_expand(c: Corpus):
     return c.vocabulary.filter(F.col("term").rlike(T.glob_regex("th*ing"))).orderBy(F.desc("df"), "term").limit(200)
 
 
-SPELL = """WITH w AS (SELECT DISTINCT substr(term, 1, length(term) - 1) AS word FROM searches WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z]+$')), v AS (SELECT term, count(*) AS df FROM postings WHERE regexp_matches(term, '^[a-z]+$') GROUP BY term),
-c AS (SELECT w.word, v.term, v.df, row_number() OVER (PARTITION BY w.word ORDER BY v.df DESC, v.term) AS r FROM w JOIN v ON substr(w.word, 1, 3) = substr(v.term, 1, 3) WHERE v.term <> w.word),
-m AS (SELECT *, levenshtein(word, term) AS distance FROM c WHERE r <= 200)
+SPELL = """WITH w AS (SELECT DISTINCT substr(term, 1, length(term) - 1) AS word FROM searches WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z]+$')), v AS (SELECT term, count(*) AS df FROM postings WHERE length(term) = strlen(term) GROUP BY term),
+m AS (SELECT w.word, v.term, v.df, levenshtein(w.word, v.term) AS distance FROM w JOIN v ON v.term <> w.word AND abs(length(v.term) - length(w.word)) <= 2)
 SELECT word, term AS suggestion, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, term) AS b FROM m WHERE distance <= CASE WHEN length(word) >= 7 THEN 2 ELSE 1 END) WHERE b = 1"""
 
 
 @query("spelling_suggest", SPELL)
 def spelling_suggest(c: Corpus):
-    # Plain letters only: the SQL engine counts edits in bytes, Spark in characters.
-    plain = F.col("term").rlike("^[a-z]+$")
-    words = c.searches.filter((F.length("term") >= 6) & plain).select(F.expr("substring(term, 1, length(term) - 1)").alias("word")).distinct()
-    return keyword.suggestions(words, c.vocabulary.filter(plain))
+    # The SQL engine counts edits in bytes, so its words are of one byte a letter; here all of the vocabulary is.
+    words = c.searches.filter((F.length("term") >= 6) & F.col("term").rlike("^[a-z]+$")).select(F.expr("substring(term, 1, length(term) - 1)").alias("word")).distinct()
+    return spelling.suggestions(c, words)
 
 
 @query("number_variants", "SELECT doc_id, count(*) AS n FROM tokens WHERE term IN ('5556869', '6869', '2373', '6210') GROUP BY 1")
