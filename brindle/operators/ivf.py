@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +38,8 @@ SHORT_LIST = 20
 MEASURED, RECALL = 128, 0.95
 #: Rows of a cell in one task; a larger cell is dealt to several.
 CELL_ROWS = 65_536
+#: Groups that cells are dealt to; each is a task, or several.
+SHELVES = 64
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -87,12 +88,11 @@ class Model:
         return cell, np.column_stack([_nearest(left[:, a:b], book).astype(np.uint8) for a, b, book in zip(cuts, cuts[1:], self.books, strict=False)])
 
     def estimates(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Inner products of q with the rows that codes stand for: the centre's part and a lookup a code."""
+        """Inner products of queries with the rows that codes stand for: the centre's part and a lookup a code."""
         cuts = self.cuts
-        tables = [book @ q[a:b] for a, b, book in zip(cuts, cuts[1:], self.books, strict=False)]
-        out = np.full(len(codes), float(self.centres[cell] @ q), np.float32)
-        for p, table in enumerate(tables):
-            out += table[codes[:, p]]
+        out = np.repeat((q @ self.centres[cell])[:, None], len(codes), axis=1).astype(np.float32)
+        for p, (a, b, book) in enumerate(zip(cuts, cuts[1:], self.books, strict=False)):
+            out += (q[:, a:b] @ book.T)[:, codes[:, p]]
         return out
 
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
@@ -145,28 +145,36 @@ class Index:
         asked = queries.select("qid", F.col("q").cast("array<double>").alias("q")).mapInArrow(spread, "qid long, cell int, q array<double>")
 
         def shortest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            found = []
-            if left.num_rows and right.num_rows:
-                cell, q = left.column("cell")[0].as_py(), unit_rows(left.column("q").combine_chunks())
-                codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-                ids = right.column("id").to_numpy()
-                for qid, row in zip(left.column("qid").to_pylist(), q, strict=True):
-                    score = model.estimates(row, cell, codes)
-                    best = np.argpartition(-score, most - 1)[:most] if len(score) > most else np.arange(len(score))
-                    found.append(pd.DataFrame({"qid": qid, "id": ids[best], "cell": np.int32(cell), "estimate": score[best].astype(np.float64)}))
-            frame = pd.concat(found) if found else pd.DataFrame({"qid": [], "id": [], "cell": [], "estimate": []})
-            return pa.Table.from_pandas(frame, schema=pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("cell", pa.int32()), ("estimate", pa.float64())]), preserve_index=False)
+            """Each query's best estimates in the task's cells together."""
+            schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("estimate", pa.float64())])
+            if not left.num_rows or not right.num_rows:
+                return schema.empty_table()
+            names, at = np.unique(left.column("qid").to_numpy(), return_inverse=True)
+            asked, q = left.column("cell").to_numpy(), unit_rows(left.column("q").combine_chunks())
+            cells, ids = right.column("cell").to_numpy(), right.column("id").to_numpy()
+            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.full(len(names), -np.inf, np.float32))
+            for cell in np.unique(asked):
+                mine, own = np.flatnonzero(asked == cell), np.flatnonzero(cells == cell)
+                for some in np.array_split(mine, -(-len(mine) // 256)):
+                    for part in np.array_split(own, -(-len(own) // 8192)) if len(own) else ():
+                        score = model.estimates(q[some], int(cell), codes[part])
+                        score[names[at[some]][:, None] == ids[part]] = -np.inf
+                        best = exact.merged(best, at[some], ids[part], score, most)
+            return pa.table([names[best[0]], best[1], best[2].astype(np.float64)], schema=schema)
 
         asked = kept(asked, "asked")
         cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
         read = lambda *columns: self.table.filter(F.col("cell").isin(cells)).select(*columns)
-        # A large cell is dealt to several tasks, and the queries that read it go to each of them.
-        codes = read("cell", "part", "id", "code")
+        # Cells of a shelf share a task, which keeps one short list a query; a large cell is dealt to several tasks,
+        # and the queries that read it go to each of them.
+        shelf = F.pmod("cell", F.lit(SHELVES)).alias("shelf")
+        codes = read(shelf, "part", "cell", "id", "code")
         parts = read("cell", "part").distinct()
-        near = asked.join(parts, "cell").groupBy("cell", "part").cogroup(codes.groupBy("cell", "part")).applyInArrow(shortest, "qid long, id long, cell int, estimate double")
+        near = asked.join(parts, "cell").withColumn("shelf", shelf).groupBy("shelf", "part").cogroup(codes.groupBy("shelf", "part")).applyInArrow(shortest, "qid long, id long, estimate double")
         first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("estimate"), "id"))
-        few = near.filter("id != qid").withColumn("r", first).filter(F.col("r") <= most).select("qid", "id", "cell")
-        scored = few.join(read("cell", "id", "v"), ["cell", "id"]).join(queries.select("qid", "q"), "qid")
+        few = near.withColumn("r", first).filter(F.col("r") <= most).select("qid", "id")
+        scored = few.join(read("id", "v"), "id").join(queries.select("qid", "q"), "qid")
         sim = F.round(cosine(F.col("q"), F.col("v")), 6).alias("sim")
         last = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))
         return scored.select("qid", "id", sim).withColumn("rank", last).filter(F.col("rank") <= k)

@@ -72,21 +72,26 @@ def _scan(queries: DataFrame, pool: DataFrame, k: int, group: int) -> DataFrame:
 
 
 def _merged(best: tuple, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, group: int) -> tuple:
-    """The k best (query, id, sim) of those so far and of more rows, and the least of each query that has k."""
-    at, old, sims, least = best
     new = np.round(q @ x.T, 6) + 0.0
     new[(qids // group)[:, None] == ids // group] = -np.inf
+    return merged(best, np.arange(len(q)), ids, new, k)
+
+
+def merged(best: tuple, rows: np.ndarray, ids: np.ndarray, new: np.ndarray, k: int) -> tuple:
+    """The k best (query, id, score) of those so far and of new scores of some queries (rows) and all ids, and
+    the least score of each query that has k."""
+    at, old, scores, least = best
+    cut = least[rows]
     if new.shape[1] > k:
-        least = np.maximum(least, np.partition(new, new.shape[1] - k, axis=1)[:, new.shape[1] - k])
-    r, c = np.nonzero((new >= least[:, None]) & np.isfinite(new))
-    at, old, sims = np.concatenate([at, r]), np.concatenate([old, ids[c]]), np.concatenate([sims, new[r, c]])
-    order = np.lexsort((old, -sims, at))
-    at, old, sims = at[order], old[order], sims[order]
+        cut = np.maximum(cut, np.partition(new, new.shape[1] - k, axis=1)[:, new.shape[1] - k])
+    r, c = np.nonzero((new >= cut[:, None]) & np.isfinite(new))
+    at, old, scores = np.concatenate([at, rows[r]]), np.concatenate([old, ids[c]]), np.concatenate([scores, new[r, c]])
+    order = np.lexsort((old, -scores, at))
+    at, old, scores = at[order], old[order], scores[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
-    keep = place < k
-    full = place == k - 1
-    least[at[full]] = np.maximum(least[at[full]], sims[full])
-    return at[keep], old[keep], sims[keep], least
+    keep, full = place < k, place == k - 1
+    least[at[full]] = np.maximum(least[at[full]], scores[full])
+    return at[keep], old[keep], scores[keep], least
 
 
 def nearest_to(vectors: DataFrame, q: list[float], k: int) -> DataFrame:

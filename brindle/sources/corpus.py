@@ -158,23 +158,29 @@ class Corpus:
         """(term, doc_id, tf, pos, len, b): a word's places in each document, with the document's length."""
 
         part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, self.buckets // 64)))  # a common word's bucket is written by several tasks
-        build = lambda: self.posted().repartition(F.col("b"), part).sortWithinPartitions("b", "term", "doc_id")
+        build = lambda: self._counted(self._runs().repartition(self.bucket("term"), part)).sortWithinPartitions("b", "term", "doc_id")
         return self.store.table("postings", build, "b")
 
     def posted(self) -> DataFrame:
+        return self._counted(self._runs())
+
+    def _counted(self, runs: DataFrame) -> DataFrame:
+        """What rows say of themselves is added after they are shuffled."""
+        return runs.select("term", "doc_id", F.size("pos").cast("long").alias("tf"), "pos", F.col("len").cast("long").alias("len"), self.bucket("term").alias("b"))
+
+    def _runs(self) -> DataFrame:
         """The postings of the documents, made from their texts. A document's words are sorted with their places
         inside its row, so that each distinct word leaves it as one row and nothing is aggregated."""
         words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
         placed = F.sort_array(F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
-        docs = self.table("documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("len"), placed.alias("s"))
+        docs = self.table("documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("len"), placed.alias("s"))
         n = F.size("s")
         first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
         runs = docs.filter(n > 0).select("doc_id", "len", "s", first.alias("f"))
         cut = F.transform("f", lambda a, k: F.slice("s", a + 1, F.coalesce(F.get("f", k + 1), F.size("s")) - a))
         each = runs.select("doc_id", "len", F.explode(cut).alias("r"))
         term = F.get("r", F.lit(0))["term"]
-        rows = each.select(term.alias("term"), "doc_id", F.size("r").cast("long").alias("tf"), F.transform("r", lambda x: x["pos"]).alias("pos"), "len")
-        return rows.withColumn("b", self.bucket("term"))
+        return each.select(term.alias("term"), "doc_id", F.transform("r", lambda x: x["pos"]).alias("pos"), "len")
 
     @cached_property
     def vocabulary(self) -> DataFrame:

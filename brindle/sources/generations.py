@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.store import tidied
+
 TRIES = 20
 
 
@@ -37,6 +39,8 @@ class Table:
     key: str
     bucket: str | None
     segments: tuple[Segment, ...] = ()
+    #: Columns that rows of a bucket are sorted by.
+    order: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -47,14 +51,14 @@ class Manifest:
     gone: tuple[tuple[str, int], ...] = ()
 
     def to_json(self) -> str:
-        tables = {n: {"key": t.key, "bucket": t.bucket, "segments": [[s.path, s.gen, s.buckets and list(s.buckets)] for s in t.segments]} for n, t in self.tables.items()}
+        tables = {n: {"key": t.key, "bucket": t.bucket, "order": t.order, "segments": [[s.path, s.gen, s.buckets and list(s.buckets)] for s in t.segments]} for n, t in self.tables.items()}
         return json.dumps({"gen": self.gen, "tables": tables, "gone": self.gone})
 
     @staticmethod
     def of(text: str) -> Manifest:
         raw = json.loads(text)
         segments = lambda rows: tuple(Segment(p, g, None if b is None else tuple(b)) for p, g, b in rows)
-        tables = {n: Table(t["key"], t["bucket"], segments(t["segments"])) for n, t in raw["tables"].items()}
+        tables = {n: Table(t["key"], t["bucket"], segments(t["segments"]), tuple(t["order"])) for n, t in raw["tables"].items()}
         return Manifest(raw["gen"], tables, tuple((p, g) for p, g in raw["gone"]))
 
 
@@ -122,12 +126,14 @@ class Generations:
     def _written(self, rows: DataFrame, name: str, partition: str | None = None) -> str:
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         writer = rows.write.option("compression", "zstd")
-        (writer.partitionBy(partition) if partition else writer).parquet(path)
+        with tidied(self.spark):
+            (writer.partitionBy(partition) if partition else writer).parquet(path)
         return path
 
-    def create(self, tables: Mapping[str, tuple[str, str, str | None]]) -> Manifest:
-        """The first generation: stored folders as they are. tables: name to (folder, key, bucket column or None)."""
-        first = {n: Table(key, bucket, (Segment(path, 1),)) for n, (path, key, bucket) in tables.items()}
+    def create(self, tables: Mapping[str, tuple[str, str, str | None, tuple[str, ...]]]) -> Manifest:
+        """The first generation: stored folders as they are. tables: name to (folder, key, bucket column or None,
+        columns that rows of a bucket are sorted by)."""
+        first = {n: Table(key, bucket, (Segment(path, 1),), order) for n, (path, key, bucket, order) in tables.items()}
         return self.commit(lambda m: Manifest(m.gen + 1, dict(first), ()))
 
     def write(self, rows: Mapping[str, DataFrame], gone: DataFrame | None = None) -> Manifest:
@@ -143,7 +149,7 @@ class Generations:
             gen, tables = m.gen + 1, dict(m.tables)
             for n, path in paths.items():
                 t = tables[n]
-                tables[n] = Table(t.key, t.bucket, (*t.segments, Segment(path, gen)))
+                tables[n] = Table(t.key, t.bucket, (*t.segments, Segment(path, gen)), t.order)
             return Manifest(gen, tables, (*m.gone, (keys, gen)) if keys else m.gone)
 
         return self.commit(change)
@@ -153,7 +159,8 @@ class Generations:
         m = self.newest()
         t, some = m.tables[name], tuple(sorted(buckets))
         live = self.rows(m, name).filter(F.col(t.bucket).isin(*some))
-        path = self._written(live.repartition(t.bucket).sortWithinPartitions(t.bucket, t.key), name, t.bucket)
+        # Folders are by bucket already, so what a task reads is a bucket's or a few buckets': nothing is shuffled.
+        path = self._written(live.sortWithinPartitions(t.bucket, *t.order), name, t.bucket)
         held = {s.path: {int(b) for b in self._buckets(s.path, t.bucket)} if s.buckets is None else set(s.buckets) for s in t.segments}
 
         def left(s: Segment) -> Segment | None:
@@ -165,7 +172,7 @@ class Generations:
                 raise RuntimeError("written to meanwhile: compact again")
             gen, tables = now.gen + 1, dict(now.tables)
             kept = [x for x in map(left, t.segments) if x]
-            tables[name] = Table(t.key, t.bucket, (*kept, Segment(path, gen, some)))
+            tables[name] = Table(t.key, t.bucket, (*kept, Segment(path, gen, some)), t.order)
             return Manifest(gen, tables, now.gone)
 
         return self.commit(change)

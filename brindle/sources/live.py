@@ -12,8 +12,11 @@ from brindle.sources.corpus import Corpus
 from brindle.sources.generations import Generations, Manifest
 from brindle.sources.store import shared_dir
 
-#: Table, key of the file that its rows belong to, and bucket column.
-TABLES = {"files": ("id", None), "passages": ("file_id", None), "tags": ("file_id", None), "lengths": ("doc_id", None), "vectors": ("file_id", None), "postings": ("doc_id", "b")}
+#: Table, key of the file that its rows belong to, bucket column and order in a bucket.
+TABLES = {
+    "files": ("id", None, ()), "passages": ("file_id", None, ()), "tags": ("file_id", None, ()), "lengths": ("doc_id", None, ()), "vectors": ("file_id", None, ()),
+    "postings": ("doc_id", "b", ("term", "doc_id")),
+}
 #: Vectors of a file; the vectors' ids are numbered through.
 VECTORS_A_FILE = 10
 
@@ -49,7 +52,7 @@ class LiveIndex:
         self.corpus = corpus
         self.generations = Generations(corpus.spark, folder or f"{shared_dir(corpus.spark)}/live-{uuid.uuid4().hex}")
         if not self.generations.newest().tables:
-            self.generations.create({n: (self._stored(n), key, bucket) for n, (key, bucket) in TABLES.items()})
+            self.generations.create({n: (self._stored(n), *how) for n, how in TABLES.items()})
 
     def _stored(self, name: str) -> str:
         c = self.corpus

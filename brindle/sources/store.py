@@ -10,7 +10,8 @@ import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """What is written inside deletes its shuffles as it ends; the session is as it was afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to a folder of its own and read again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidied(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,7 +84,8 @@ class Store:
         if not fs.exists(at):
             own = f"{self.folder}-{name}-{uuid.uuid4().hex}"
             writer = build().write.option("compression", "zstd")
-            (writer.partitionBy(partition) if partition else writer).parquet(own)
+            with tidied(self.spark):
+                (writer.partitionBy(partition) if partition else writer).parquet(own)
             made, _ = self._files(own)
             fs.mkdirs(at.getParent())
             if not fs.exists(at):

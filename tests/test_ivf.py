@@ -80,4 +80,4 @@ def test_estimates_are_products_of_what_codes_stand_for(n):
     assert cuts[-1] == 8 and np.abs(back - x).max() < 0.5
     for c in set(cell.tolist()):
         own = cell == c
-        assert np.allclose(model.estimates(x[0], c, codes[own]), back[own] @ x[0], atol=1e-4)
+        assert np.allclose(model.estimates(x[:3], c, codes[own]), x[:3] @ back[own].T, atol=1e-4)

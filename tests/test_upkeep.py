@@ -83,7 +83,7 @@ def test_only_touched_buckets_are_rewritten(corpus):
 def test_of_two_writers_one_tries_again(spark):
     store = Generations(spark, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     spark.range(10).write.parquet(f"{store.folder}/base")
-    store.create({"t": (f"{store.folder}/base", "id", None)})
+    store.create({"t": (f"{store.folder}/base", "id", None, ())})
     seen = []
 
     def slow(m):
