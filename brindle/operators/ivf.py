@@ -40,6 +40,8 @@ MEASURED, RECALL = 128, 0.95
 CELL_ROWS = 65_536
 #: Groups that cells are dealt to; each is a task, or several.
 SHELVES = 64
+#: Queries whose short lists a task keeps at once.
+QUERIES = 128
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -153,15 +155,19 @@ class Index:
             asked, q = left.column("cell").to_numpy(), unit_rows(left.column("q").combine_chunks())
             cells, ids = right.column("cell").to_numpy(), right.column("id").to_numpy()
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.full(len(names), -np.inf, np.float32))
-            for cell in np.unique(asked):
-                mine, own = np.flatnonzero(asked == cell), np.flatnonzero(cells == cell)
-                for some in np.array_split(mine, -(-len(mine) // 256)):
+            found = []
+            for first in range(0, len(names), QUERIES):  # few queries at a time, so that their short lists are sorted quickly
+                here = np.flatnonzero((at >= first) & (at < first + QUERIES))
+                size = min(QUERIES, len(names) - first)
+                best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.full(size, -np.inf, np.float32))
+                for cell in np.unique(asked[here]):
+                    mine, own = here[asked[here] == cell], np.flatnonzero(cells == cell)
                     for part in np.array_split(own, -(-len(own) // 8192)) if len(own) else ():
-                        score = model.estimates(q[some], int(cell), codes[part])
-                        score[names[at[some]][:, None] == ids[part]] = -np.inf
-                        best = exact.merged(best, at[some], ids[part], score, most)
-            return pa.table([names[best[0]], best[1], best[2].astype(np.float64)], schema=schema)
+                        score = model.estimates(q[mine], int(cell), codes[part])
+                        score[names[at[mine]][:, None] == ids[part]] = -np.inf
+                        best = exact.merged(best, at[mine] - first, ids[part], score, most)
+                found.append(pa.table([names[first + best[0]], best[1], best[2].astype(np.float64)], schema=schema))
+            return pa.concat_tables(found)
 
         asked = kept(asked, "asked")
         cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
