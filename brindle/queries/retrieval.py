@@ -87,14 +87,14 @@ def wildcard_expand(c: Corpus):
     return c.vocabulary.filter(F.col("term").rlike(T.glob_regex("th*ing"))).orderBy(F.desc("df"), "term").limit(200)
 
 
-SPELL = """WITH w AS (SELECT DISTINCT substr(term, 1, length(term) - 1) AS word FROM searches WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z]+$')), v AS (SELECT term, count(*) AS df FROM postings WHERE length(term) = strlen(term) GROUP BY term),
-m AS (SELECT w.word, v.term, v.df, levenshtein(w.word, v.term) AS distance FROM w JOIN v ON v.term <> w.word AND abs(length(v.term) - length(w.word)) <= 2)
+SPELL = r"""WITH w AS (SELECT DISTINCT substr(term, 1, length(term) - 1) AS word FROM searches WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z]+$')), v AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+m AS (SELECT w.word, v.term, v.df, levenshtein(w.word, regexp_replace(v.term, '[^\x00-\x7F]', '~', 'g')) AS distance FROM w JOIN v ON v.term <> w.word AND abs(length(v.term) - length(w.word)) <= 2)
 SELECT word, term AS suggestion, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, term) AS b FROM m WHERE distance <= CASE WHEN length(word) >= 7 THEN 2 ELSE 1 END) WHERE b = 1"""
 
 
 @query("spelling_suggest", SPELL)
 def spelling_suggest(c: Corpus):
-    # The SQL engine counts edits in bytes, so its words are of one byte a letter; here all of the vocabulary is.
+    # The SQL engine counts edits in bytes, so there another sign of one byte stands for letters that a-z can't match.
     words = c.searches.filter((F.length("term") >= 6) & F.col("term").rlike("^[a-z]+$")).select(F.expr("substring(term, 1, length(term) - 1)").alias("word")).distinct()
     return spelling.suggestions(c, words)
 
