@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import graphs
+from brindle.sources.store import kept
 
 # How sure two cards are one person, by what they share.
-CONFIDENCE = {"same email": 0.97, "same phone": 0.95, "same landline and name": 0.75, "same name and company": 0.70, "same name": 0.50}
-SAFE = ("same email", "same phone")
+CONFIDENCE = {
+    "same email": 0.97, "same phone": 0.95, "same name, one holds nothing else": 0.92, "same landline and name": 0.75, "same name and company": 0.70,
+    "same phone digits": 0.60, "same name": 0.50,
+}
+SAFE = ("same email", "same phone", "same name, one holds nothing else")
 # Hosts that give anyone an address, and public suffixes of two labels; any other suffix is one label.
 FREE_MAIL = ("aol.com", "example.com", "fastmail.com", "gmail.com", "gmx.de", "gmx.net", "hotmail.com", "icloud.com", "live.com", "mail.com", "me.com", "msn.com", "outlook.com", "proton.me", "protonmail.com", "web.de", "yahoo.co.uk", "yahoo.com", "yandex.com", "zoho.com")
 SUFFIXES = ("ac.at", "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.at", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "edu.au", "gov.au", "gov.in", "gov.uk", "gov.za", "ltd.uk", "me.uk", "net.au", "net.nz", "net.uk", "nhs.uk", "or.at", "or.jp", "org.au", "org.br", "org.nz", "org.uk", "org.za", "plc.uk", "sch.uk")
@@ -45,7 +49,12 @@ def duplicates(cards: DataFrame) -> DataFrame:
 
     Safe reasons join first; groups that only weaker reasons join are suggestions.
     """
-    found = links(cards)
+    return grouped(links(cards))
+
+
+def grouped(found: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """duplicates() of links (a, b, reason). A group that safe reasons join but that holds a rejected pair (a, b) isn't safe."""
+    found = kept(found, "links")
     sure = graphs.components(found.filter(F.col("reason").isin(*SAFE)).select("a", "b"))
     rated = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
     place = lambda df, c: df.join(sure.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")), c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
@@ -55,6 +64,9 @@ def duplicates(cards: DataFrame) -> DataFrame:
     joined = graphs.components(weak.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
     best = lambda df, key: df.groupBy(key.alias("component")).agg(F.max(F.element_at(rated, F.col("reason"))).alias("confidence"), F.array_join(F.sort_array(F.collect_set("reason")), ", ").alias("reasons"))
     certain = sure.select(F.col("node").alias("id"), "component").join(best(met.filter(strong), F.col("a_group")), "component").withColumn("safe", F.lit(True))
+    if rejected is not None:
+        inside = place(place(rejected.select("a", "b"), "a"), "b").filter("a_group = b_group").select(F.col("a_group").alias("component"), F.lit(True).alias("doubt")).distinct()
+        certain = certain.join(inside, "component", "left").withColumn("safe", F.col("doubt").isNull()).drop("doubt")
     top = lambda df: df.join(joined.select(F.col("node").alias("a_group"), F.col("component").alias("top")), "a_group")
     loose = best(top(weak), F.col("top")).withColumn("safe", F.lit(False))
     groups = joined.select(F.col("node").alias("g"), "component")

@@ -5,34 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.sources.store import kept
+from brindle.sources.store import drop, kept
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the least node that each node of (a, b) reaches.
 
-    Every round gives a node the least label around it and then that label's own label, so labels
-    travel twice as far each time; a count of changes ends it.
+    Each round links a node's larger neighbours to its least one, then all of its smaller ones to their least, until
+    the edges are stars around components' least nodes. Neighbours are never gathered in a group: their minimum is
+    aggregated before the shuffle and joined to the edges, whose hot nodes adaptive execution splits.
     """
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("n"), "l"), "labels")
+    ends = F.col("a"), F.col("b")
+    alone = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    now = kept(edges.filter("a != b").select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).distinct(), "edges")
+    mark = _fingerprint(now)
     for _ in range(most_rounds):
-        around = both.join(labels, F.col("b") == F.col("n")).groupBy(F.col("a").alias("n")).agg(F.min("l").alias("m"))
-        near = labels.join(around, "n").select("n", F.least("l", "m").alias("l"), F.col("l").alias("was"))
-        far = near.select(F.col("n").alias("k"), F.col("l").alias("kl"))
-        new = kept(near.join(far, F.col("l") == F.col("k"), "left").select("n", F.least("l", F.coalesce("kl", "l")).alias("l"), "was"), "labels")
-        if new.filter("l != was").isEmpty():
-            return new.select(F.col("n").alias("node"), F.col("l").alias("component"))
-        labels = new.select("n", "l")
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = kept(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        first = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(first, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = kept(moved.union(first).distinct(), "stars")
+        drop(now, large)
+        was, now, mark = mark, new, _fingerprint(new)
+        if mark == was:
+            rows = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b"))
+            return rows.union(alone).groupBy("node").agg(F.min("component").alias("component"))
     raise RuntimeError("components didn't settle")
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """The count and a sum of hashes of distinct edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def co_occurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
-    """(x, y, weight, pmi) of entities that share chunks, from distinct (chunk, entity)."""
+    """(x, y, weight, pmi) of entities that share chunks, from distinct (chunk, entity). A chunk's pairs are made in its row."""
     n = mentions.select("chunk").distinct().agg(F.count("*").alias("n"))
     single = mentions.groupBy("entity").agg(F.count("*").alias("k"))
-    left, right = mentions.select("chunk", F.col("entity").alias("x")), mentions.select("chunk", F.col("entity").alias("y"))
-    pairs = left.join(right, "chunk").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    sets = mentions.groupBy("chunk").agg(F.sort_array(F.collect_set("entity")).alias("e"))
+    starts = sets.select("e", F.posexplode("e").alias("i", "x"))
+    pairs = starts.select("x", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("y")).groupBy("x", "y").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
     named = lambda c, k: single.select(F.col("entity").alias(c), F.col("k").alias(k))
     met = pairs.join(named("x", "kx"), "x").join(named("y", "ky"), "y").join(F.broadcast(n))
     return met.select("x", "y", "weight", F.round(F.log2(F.col("n") * F.col("weight") / (F.col("kx") * F.col("ky"))), 6).alias("pmi"))

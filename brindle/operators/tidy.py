@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.sources.store import kept
+from brindle.sources.store import drop, kept
 
 #: Hashes that meet in one task, on each side.
 BLOCK = 4_096
@@ -62,7 +62,8 @@ def greedy_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         earlier = near.join(state.select(F.col("id").alias("a"), F.col("rep").alias("a_rep")), "a")
         seen = earlier.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("a_rep", F.lit(False))).alias("joins"), F.bool_or(F.col("a_rep").isNull()).alias("waits"))
         settled = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.coalesce("joins", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = kept(state.join(seen, "id", "left").select("id", settled.alias("rep")), "state")
+        before, state = state, kept(state.join(seen, "id", "left").select("id", settled.alias("rep")), "state")
+        drop(before)
         if state.filter("rep is null").isEmpty():
             break
     reps = state.filter("rep").select(F.col("id").alias("a"))

@@ -1,4 +1,4 @@
-"""Signatures: tails of messages, their details, and what a customer's messages agree on.
+"""Signatures: tails of messages, their details, and what a customer's messages agree on; cards of one person.
 
 An order stands for a message of its customer, signed with details that change with the years; every sixth is
 only known as a quotation in somebody else's message.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators import signatures
+from brindle.operators import same_person, signatures
 from brindle.queries.registry import query
 from brindle.sources.corpus import SQL_VIEWS, Corpus
 
@@ -72,3 +72,67 @@ h AS (SELECT person, slot, string_agg('was ' || value || ' until ' || coalesce(s
 SELECT r.person, r.slot, r.value, r.message, r.seen, r.first_seen, least(97, 60 + CASE WHEN name_line THEN 20 ELSE 0 END + least(30, 10 * (seen - 1)) - CASE WHEN lt.newest > r.o THEN 20 ELSE 0 END - CASE WHEN direct THEN 0 ELSE 15 END) / 100 AS confidence, coalesce(history, '') AS history FROM r JOIN lt USING (person) LEFT JOIN h USING (person, slot) WHERE place = 1""")
 def contact_consensus(c: Corpus):
     return signatures.consensus(signatures.blocks(_letters(c)))
+
+
+GIVEN, FAMILY = ("Ann", "A.", "Robert", "Rob", "Cy", "Ann Marie", ""), ("Lee", "Lee-Roe", "Yusof", "Bin Yusof", "")
+
+
+def book(c: Corpus) -> DataFrame:
+    """Cards of customers: some pairs share a name, a company, an address or a number, and some hold but their name."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[p.cast("long").cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    of = lambda values, n: F.element_at(F.lit(list(values)), (n % len(values) + 1).cast("int"))
+    bare, pair = k % 13 == 0, 100000 + F.floor(k / 20)
+    number = F.when(k % 10 == 1, text("+44 7700 ", pair)).when(k % 10 == 2, text("+44 20 ", pair)).when(k % 10 == 3, text("020 ", pair))
+    emails = F.filter(F.array(F.when(k % 6 == 0, text("m", F.floor(k / 12), "@x.org")), F.when(k % 9 == 4, text("m", F.floor(k / 18), "@y.org"))), lambda e: e.isNotNull())
+    return c.table("customer").select(
+        k.alias("id"), of(GIVEN, k).alias("given"), F.when(k % 4 == 0, F.col("c_name")).alias("additional"),
+        F.concat_ws(" ", of(FAMILY, F.floor(k / 14)), text("f", F.floor(k / 14))).alias("family"), F.when(~bare & (k % 3 != 0), text("Firm ", F.floor(k / 14))).alias("company"),
+        F.when(~bare, emails).alias("emails"), F.when(~bare & number.isNotNull(), F.array(F.struct(number.alias("value"), (k % 10 == 1).alias("mobile")))).alias("phones"), bare.alias("bare"),
+    )
+
+
+def rejections(c: Corpus) -> DataFrame:
+    return c.table("customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + F.when(F.col("c_custkey") % 20 == 0, 7).otherwise(6)).alias("b"))
+
+
+@query("contact_same_person")
+def contact_same_person(c: Corpus):
+    # tests/test_same_person.py holds it against all pairs.
+    shared = c.table("customer").filter("c_custkey % 40 = 0").select(F.concat(F.lit("email:m"), F.floor(F.col("c_custkey") / 18).cast("string"), F.lit("@y.org")).alias("value"))
+    return same_person.duplicates(book(c), rejections(c), shared)
+
+
+PEOPLE = "SELECT c_custkey // 3 AS grp, c_custkey AS id, c_custkey % 3 AS place, c_name, c_mktsegment, c_nationkey FROM customer"
+
+
+@query("contact_merge_fields", f"""WITH p AS ({PEOPLE}), one AS (SELECT grp, 'company' AS field, id, place, c_mktsegment AS value, id % 9 = 2 AS pick FROM p WHERE id % 5 <> 0 UNION ALL SELECT grp, 'notes', id, place, 'from ' || c_nationkey % 3, false FROM p),
+s AS (SELECT grp, field, count(DISTINCT value) > 1 AS conflict, coalesce(max(value) FILTER (pick), arg_min(value, place)) AS first, list(value ORDER BY place) AS vs, list(struct_pack(id := id, value := value) ORDER BY place) AS held FROM one GROUP BY 1, 2)
+SELECT grp, field, CAST(NULL AS VARCHAR) AS key, CASE WHEN field = 'notes' THEN array_to_string(list_transform(list_filter(list_transform(vs, lambda v, i: CASE WHEN list_position(vs, v) = i THEN v END), lambda v: v IS NOT NULL), lambda v: v), chr(10) || chr(10)) ELSE first END AS value, CAST(NULL AS VARCHAR) AS label, false AS main,
+ list_transform(list_filter(held, lambda h: field = 'notes' OR h.value = first), lambda h: h.id) AS ids, conflict FROM s
+UNION ALL SELECT grp, 'email', key, arg_min(value, place), arg_min(label, place) FILTER (label <> ''), bool_or(main), list(id ORDER BY place), false FROM (SELECT grp, id, place, 'n' || c_nationkey % 2 AS key, CASE WHEN id % 2 = 0 THEN 'n' ELSE 'N' END || c_nationkey % 2 AS value, CASE WHEN id % 3 = 1 THEN 'work' ELSE '' END AS label, id % 4 = 0 AS main FROM p) GROUP BY grp, key""")
+def contact_merge_fields(c: Corpus):
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+    rows = c.table("customer").select(F.floor(k / 3).alias("grp"), k.alias("id"), (k % 3).alias("place"), "c_mktsegment", "c_nationkey")
+    i, even = F.col("id"), (nation % 2).cast("string")
+    unit = lambda field, many, key, value, label, main: F.struct(F.lit(field).alias("field"), F.lit(many).alias("many"), key.alias("key"), value.alias("value"), label.alias("label"), main.alias("main"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    units = F.array(
+        unit("company", False, none, F.when(i % 5 != 0, F.col("c_mktsegment")).otherwise(" "), none, no), unit("notes", False, none, F.concat(F.lit("from "), (nation % 3).cast("string")), none, no),
+        unit("email", True, F.concat(F.lit("n"), even), F.concat(F.when(i % 2 == 0, "n").otherwise("N"), even), F.when(i % 3 == 1, "work").otherwise(""), i % 4 == 0),
+    )
+    choices = rows.filter("id % 9 = 2").select("grp", F.lit("company").alias("field"), "id")
+    return same_person.merged(rows.select("grp", "id", "place", F.explode(units).alias("u")).select("grp", "id", "place", "u.*"), choices)
+
+
+@query("contact_undo_fields", "SELECT c_custkey AS id, 'name' AS field, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN c_name ELSE CASE WHEN c_custkey % 3 = 0 THEN 'later' WHEN c_custkey % 2 = 0 THEN 'merged' ELSE c_name END END AS value, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 <> 0 END AS taken_back FROM customer UNION ALL SELECT c_custkey, 'company', c_mktsegment, true FROM customer WHERE c_custkey % 4 = 0")
+def contact_undo_fields(c: Corpus):
+    # Batch 7 renamed every second card and took every fourth one's company; names of every third were changed since.
+    k = F.col("c_custkey")
+    rows = c.table("customer").select(k.alias("id"), "c_name", "c_mktsegment")
+    i = F.col("id")
+    now = rows.select("id", F.lit("name").alias("field"), F.when(i % 3 == 0, "later").when(i % 2 == 0, "merged").otherwise(F.col("c_name")).alias("value"))
+    entry = lambda batch, seq, field, before, after: [F.lit(batch).alias("batch"), F.lit(seq).alias("seq"), "id", F.lit(field).alias("field"), before.alias("before"), after.cast("string").alias("after")]
+    journal = rows.filter(i % 2 == 0).select(*entry(7, 1, "name", F.col("c_name"), F.lit("first try"))).unionByName(rows.filter(i % 2 == 0).select(*entry(7, 2, "name", F.lit("first try"), F.lit("merged"))))
+    journal = journal.unionByName(rows.filter(i % 4 == 0).select(*entry(7, 3, "company", F.col("c_mktsegment"), F.lit(None)))).unionByName(rows.filter(i % 3 == 0).select(*entry(8, 4, "name", F.lit("merged"), F.lit("later"))))
+    return same_person.undone(now, journal, 7)

@@ -6,6 +6,7 @@ from, so a changed input is a new folder and never meets an old index.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import re
 import tempfile
@@ -41,12 +42,39 @@ def tidied(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Folders of kept tables that the process still has, by path.
+_LIVE: dict[str, SparkSession] = {}
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to a folder of its own and read again, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with tidied(df.sparkSession):
+    """df written to a folder of its own and read again, which cuts its lineage. drop() deletes it; what is left goes at exit."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _LIVE:
+        atexit.register(_drop_live)
+    _LIVE[path] = spark
+    with tidied(spark):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes kept tables that nothing reads any more."""
+    for path in (df._kept_path for df in frames):
+        spark = _LIVE.pop(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_live() -> None:
+    for path, spark in list(_LIVE.items()):
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended; the folder is the cluster's to clear
+            return
 
 
 class Store:
