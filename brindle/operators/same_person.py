@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators.contacts import folded, grouped
+from brindle.sources.store import kept
 
 
 def _words(c: Column) -> Column:
@@ -96,8 +97,8 @@ def links(cards: DataFrame, rejected: DataFrame | None = None, shared: DataFrame
     else:
         both = rejected.select("a", "b").union(rejected.select("b", "a")).distinct()
         rows = rows.join(both.select(F.col("a").alias("id"), F.lit(True).alias("touched")).distinct(), "id", "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
-    busy = rows.groupBy("hub").agg(F.count_distinct("id").alias("n")).filter("n > 1").select("hub")
-    rows = rows.join(busy, "hub")
+    busy = rows.groupBy("hub").agg((F.min("id") < F.max("id")).alias("busy")).filter("busy").select("hub")
+    rows = kept(rows.join(busy, "hub"), "hubs")
     first = rows.filter("not touched").groupBy(*role).agg(F.min("id").alias("a"))
     rest = rows.filter("touched").join(first, role, "left_anti").select(*role, F.col("id").alias("a"))
     centres = first.unionByName(rest).select("hub", "a", F.col("family").alias("af"), F.col("given").alias("ag"))
