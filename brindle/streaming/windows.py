@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, folder: str, schema, files_at_once: int = 4) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+def event_stream(spark: SparkSession, path: str, schema, files_at_once: int = 4) -> DataFrame:
+    """The files of a folder as they come. A path that is one file is that file in its folder, as a stream reads folders."""
+    reader, at = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once), spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def timed(events: DataFrame, late: str = "10 minutes") -> DataFrame:
