@@ -206,9 +206,11 @@ class Generations:
         """The rows of a table that count in a generation. `where` filters each folder's rows before they meet
         the keys that were taken out."""
         t = m.tables[name]
-        union = None
+        union, schema = None, None
         for s in t.segments:
-            own = self.spark.read.parquet(s.path)
+            # The first folder has rows; of later ones, whose writes may have had none, it gives the schema.
+            own = (self.spark.read.schema(schema) if union is not None else self.spark.read).parquet(s.path)
+            schema = own.schema if union is None else schema
             if s.buckets is not None:
                 own = own.filter(F.col(t.bucket).isin(*s.buckets))
             own = where(own).withColumn("_gen", F.lit(s.gen))
