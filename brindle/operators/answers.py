@@ -62,3 +62,73 @@ def substituted(text: Column, meanings: dict[str, str]) -> Column:
         escaped = "".join(c if c.isalnum() or c == " " else "\\" + c for c in phrase)
         text = F.regexp_replace(text, rf"(?i)\b{escaped}\b", meanings[phrase])
     return text
+
+
+#: Words after which a run without a stop is cut, as a sentence is.
+LONGEST = 60
+# The months in English.
+MONTHS = "january february march april may june july august september october november december".split()
+_STOPPED, _UNSTOPPED = r"([.!?…]['\")\]]*)[ \t\r\n]+|\n[ \t\r]*\n", r"((?:[^ \t\r\n\x01]+[ \t\r\n]+){%d})" % LONGEST
+_ENDINGS = "^(.{3,}?)(?:ing|ed|es|ly|s)$"
+_NAME, _QUOTED = r"[^\p{L}\p{N}.!?](\p{Lu}\p{L}+)", '"([^"]*[^" ] [^" ][^"]*)"'
+
+
+def sentences(c: Column) -> Column:
+    """The sentences of a text, trimmed and not empty; LONGEST words without a stop end one too. Null has none."""
+    marked = F.regexp_replace(F.regexp_replace(c, _STOPPED, "$1\x01"), _UNSTOPPED, "$1\x01")
+    return F.coalesce(F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.btrim(s, F.lit(" \t\r\n"))), lambda s: s != ""), F.array().cast("array<string>"))
+
+
+def light_stems(c: Column) -> Column:
+    """The distinct words of a text without their commonest endings."""
+    return F.array_distinct(F.transform(T.words(c), lambda w: F.regexp_replace(w, _ENDINGS, "$1")))
+
+
+def plain_quotes(c: Column) -> Column:
+    """One kind of quotation mark and single spaces."""
+    return F.regexp_replace(F.regexp_replace(c, "[“”„«»]", '"'), "[ \t\r\n]+", " ")
+
+
+def months(c: Column, dates: bool) -> Column:
+    """Numbers of the months that a text names, and with `dates` those of its dates as 2024-05-31. May is one as May only."""
+    named = [rf"\b{m.title()}\b" if m == "may" else rf"(?i)\b(?:{m}|{m[:3]})\b" for m in MONTHS]
+    found = [F.when(c.rlike(n) | (c.rlike(rf"\b[0-9]{{4}}-{i:02}-[0-9]{{2}}\b") if dates else F.lit(False)), i) for i, n in enumerate(named, 1)]
+    return F.array_compact(F.array(*found))
+
+
+def aligned(claims: DataFrame) -> DataFrame:
+    """claims (sentence, evidence, ...) with support, receipt, accepted and reason.
+
+    The receipt is the sentence of the evidence, or two that follow each other, with the largest share of the claim's
+    stems; of equals the shortest, then the first. A claim is accepted if it has LEAST_WORDS stems, the receipt
+    LEAST_SUPPORT of them, if both deny or neither does, and if the claim's numbers, months, names (capitalised words
+    inside it) and quotations of two words and more are all in the receipt; months are no names. Words that the evidence holds far apart
+    support nothing together. reason names the first test that failed. A row's work grows with its evidence.
+    """
+    wanted, text = light_stems(F.col("sentence")), F.coalesce("sentence", F.lit(""))
+    rows = claims.withColumn("_w", F.coalesce(wanted, F.array().cast("array<string>"))).withColumn("_p", sentences(F.col("evidence")))
+    rows = rows.withColumn("_q", F.transform("_p", lambda s: F.array_intersect(light_stems(s), F.col("_w"))))
+
+    def score(i: Column, n: int) -> Column:
+        last, here = i + n - 1, F.get("_q", i)
+        have = here if n == 1 else F.array_union(here, F.get("_q", last))
+        size = F.length(F.get("_p", i)) + (F.lit(0) if n == 1 else 1 + F.length(F.get("_p", last)))
+        return F.struct(F.size(have).alias("have"), (-size).alias("size"), (-i).alias("i"), F.lit(-n).alias("n"))
+
+    def best(_: Column, i: Column) -> Column:
+        return F.when(i + 1 < F.size("_p"), F.greatest(score(i, 1), score(i, 2))).otherwise(score(i, 1))
+
+    rows = rows.withColumn("_b", F.array_max(F.transform("_q", best)))
+    rows = rows.withColumn("receipt", F.coalesce(F.array_join(F.slice("_p", F.coalesce(1 - F.col("_b.i"), F.lit(1)), F.coalesce(-F.col("_b.n"), F.lit(1))), " "), F.lit("")))
+    support = F.coalesce(F.col("_b.have"), F.lit(0)) / F.greatest(F.size("_w"), F.lit(1))
+    receipt = F.col("receipt")
+    lacks = lambda of, have: F.size(F.array_except(of, have)) > 0
+    names = F.array_except(F.transform(F.regexp_extract_all(text, F.lit(_NAME), F.lit(1)), F.lower), F.lit(MONTHS))
+    quotes = F.regexp_extract_all(plain_quotes(text), F.lit(_QUOTED), F.lit(1))
+    reason = (
+        F.when(F.size("_w") < LEAST_WORDS, "too little").when(support < LEAST_SUPPORT, "unsupported").when(text.rlike(NEGATION) != receipt.rlike(NEGATION), "negation")
+        .when(lacks(numbers(text), numbers(receipt)), "number").when(lacks(months(text, False), months(receipt, True)), "month")
+        .when(lacks(names, T.words(receipt)), "name").when(F.exists(quotes, lambda x: ~F.contains(plain_quotes(receipt), x)), "quotation")
+    )
+    out = rows.withColumn("support", F.round(support, 6)).withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    return out.drop("_w", "_p", "_q", "_b")

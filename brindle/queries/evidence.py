@@ -443,6 +443,39 @@ def answer_reconciled(c: Corpus):
     return out.select("item_id", F.md5(F.col("answer").cast("binary")).alias("answer"), "dropped")
 
 
+PIECES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(%s, '([.!?…]["'')\]]*)[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(1), 'g'), '((?:[^ \t\r\n\x01]+[ \t\r\n]+){60})', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"""
+STEMMED = f"list_distinct(list_transform(list_filter(regexp_split_to_array(lower(%s), {BREAK}), lambda w: w <> ''), lambda w: regexp_replace(w, '^(.{{3,}}?)(?:ing|ed|es|ly|s)$', '\\1')))"
+#: A document is cited by an item that it shares a sentence of this many characters with.
+LEAST_CITED = 20
+ALIGNED = f"""
+WITH b AS (SELECT item_id, unnest({PIECES % 'text'}) AS s, generate_subscripts({PIECES % 'text'}, 1) AS n FROM benchmark),
+d AS (SELECT doc_id, {PIECES % 'text'} AS p FROM documents),
+cited AS (SELECT DISTINCT item_id, doc_id FROM (SELECT doc_id, unnest(p) AS s FROM d) JOIN b USING (s) WHERE length(s) >= {LEAST_CITED}),
+claims AS (SELECT item_id, doc_id, CAST(n AS INT) AS n, CASE doc_id % 4 WHEN 1 THEN s || ' It is never so.' WHEN 2 THEN s || ' 987654' WHEN 3 THEN s || ' of Xanthippe' ELSE s END AS s FROM cited JOIN b USING (item_id)),
+wanted AS (SELECT *, {STEMMED % 's'} AS w FROM claims),
+windows AS (SELECT doc_id, i, k, array_to_string(p[i:i + k - 1], ' ') AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM cited)) CROSS JOIN (VALUES (1), (2)) AS v(k) WHERE i + k - 1 <= len(p)),
+stemmed AS (SELECT *, {STEMMED % 't'} AS q FROM windows),
+best AS (SELECT item_id, doc_id, n, s, w, t, len(list_intersect(w, q)) AS have FROM wanted JOIN stemmed USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id, doc_id, n ORDER BY len(list_intersect(w, q)) DESC, length(t), i, k) = 1),
+told AS (SELECT *, CASE WHEN len(w) < 2 THEN 'too little' WHEN have / greatest(len(w), 1) < 0.7 THEN 'unsupported' WHEN {NEGATED % 's'} <> {NEGATED % 't'} THEN 'negation' WHEN NOT list_has_all({NUMBERS % 't'}, {NUMBERS % 's'}) THEN 'number' WHEN NOT list_has_all(regexp_split_to_array(lower(t), {BREAK}), list_transform(regexp_extract_all(s, '[^\\p{{L}}\\p{{N}}.!?](\\p{{Lu}}\\p{{L}}+)', 1), lambda x: lower(x))) THEN 'name' END AS reason FROM best)
+SELECT item_id, doc_id, n, md5(t) AS receipt, round(have / greatest(len(w), 1), 6) AS support, reason IS NULL AS accepted, reason FROM told
+""".replace("\\\\", "\\")
+
+
+@query("answer_aligned", ALIGNED)
+def answer_aligned(c: Corpus):
+    # Each sentence of a benchmark text, as it is or with something that isn't in the document, against a document that shares a sentence with it.
+    pieces = answers.sentences(F.col("text"))
+    asked = c.table("benchmark").select("item_id", F.posexplode(pieces).alias("n", "s"))
+    long = F.length("s") >= LEAST_CITED
+    shared = c.table("documents").select("doc_id", F.explode(pieces).alias("s")).filter(long)
+    cited = shared.join(asked.filter(long).select("item_id", "s"), "s").select("item_id", "doc_id").distinct()
+    d = F.col("doc_id") % 4
+    more = F.when(d == 1, F.concat("s", F.lit(" It is never so."))).when(d == 2, F.concat("s", F.lit(" 987654"))).when(d == 3, F.concat("s", F.lit(" of Xanthippe"))).otherwise(F.col("s"))
+    claims = cited.join(asked, "item_id").join(c.table("documents").select("doc_id", F.col("text").alias("evidence")), "doc_id")
+    found = answers.aligned(claims.select("item_id", "doc_id", (F.col("n") + 1).alias("n"), more.alias("sentence"), "evidence"))
+    return found.select("item_id", "doc_id", "n", F.md5(F.col("receipt").cast("binary")).alias("receipt"), "support", "accepted", "reason")
+
+
 @query("search_coverage", f"SELECT q.qid, round(coalesce(max(CAST(len(list_intersect(q.w, d.w)) AS DOUBLE) / len(q.w)), 0.0), 6) AS coverage, coalesce(max(CAST(len(list_intersect(q.w, d.w)) AS DOUBLE) / len(q.w)), 0.0) < 0.5 AS thin FROM (SELECT qid, list(DISTINCT term) AS w FROM searches GROUP BY 1) q LEFT JOIN ({TOP % (RANKED % SCORES, 3)}) t ON t.qid = q.qid LEFT JOIN ({SETS}) d ON d.doc_id = t.doc_id GROUP BY 1")
 def search_coverage(c: Corpus):
     wanted = c.searches.groupBy("qid").agg(F.collect_set("term").alias("words"))
