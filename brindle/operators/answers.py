@@ -96,8 +96,14 @@ def months(c: Column, dates: bool) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def prepared(rows: DataFrame) -> DataFrame:
+    """rows with what aligned needs of their evidence in its place; where many claims have one evidence, it is cut once before they meet."""
+    cut = rows.withColumn("_pieces", sentences(F.col("evidence"))).drop("evidence")
+    return cut.withColumn("_stems", F.transform("_pieces", light_stems))
+
+
 def aligned(claims: DataFrame) -> DataFrame:
-    """claims (sentence, evidence, ...) with support, receipt, accepted and reason.
+    """claims (sentence, evidence, ...) with support, receipt, accepted and reason. The evidence may be prepared.
 
     The receipt is the sentence of the evidence, or two that follow each other, with the largest share of the claim's
     stems; of equals the shortest, then the first. A claim is accepted if it has LEAST_WORDS stems, the receipt
@@ -106,8 +112,9 @@ def aligned(claims: DataFrame) -> DataFrame:
     support nothing together. reason names the first test that failed. A row's work grows with its evidence.
     """
     wanted, text = light_stems(F.col("sentence")), F.coalesce("sentence", F.lit(""))
-    rows = claims.withColumn("_w", F.coalesce(wanted, F.array().cast("array<string>"))).withColumn("_p", sentences(F.col("evidence")))
-    rows = rows.withColumn("_q", F.transform("_p", lambda s: F.array_intersect(light_stems(s), F.col("_w"))))
+    given = claims if "_stems" in claims.columns else prepared(claims.withColumn("_evidence", F.col("evidence"))).withColumnRenamed("_evidence", "evidence")
+    rows = given.withColumn("_w", F.coalesce(wanted, F.array().cast("array<string>"))).withColumnRenamed("_pieces", "_p")
+    rows = rows.withColumn("_q", F.transform("_stems", lambda s: F.array_intersect(s, F.col("_w"))))
 
     def score(i: Column, n: int) -> Column:
         last, here = i + n - 1, F.get("_q", i)
@@ -131,4 +138,4 @@ def aligned(claims: DataFrame) -> DataFrame:
         .when(lacks(names, T.words(receipt)), "name").when(F.exists(quotes, lambda x: ~F.contains(plain_quotes(receipt), x)), "quotation")
     )
     out = rows.withColumn("support", F.round(support, 6)).withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
-    return out.drop("_w", "_p", "_q", "_b")
+    return out.drop("_w", "_p", "_q", "_b", "_stems")

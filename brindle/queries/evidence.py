@@ -471,8 +471,10 @@ def answer_aligned(c: Corpus):
     cited = shared.join(asked.filter(long).select("item_id", "s"), "s").select("item_id", "doc_id").distinct()
     d = F.col("doc_id") % 4
     more = F.when(d == 1, F.concat("s", F.lit(" It is never so."))).when(d == 2, F.concat("s", F.lit(" 987654"))).when(d == 3, F.concat("s", F.lit(" of Xanthippe"))).otherwise(F.col("s"))
-    claims = cited.join(asked, "item_id").join(c.table("documents").select("doc_id", F.col("text").alias("evidence")), "doc_id")
-    found = answers.aligned(claims.select("item_id", "doc_id", (F.col("n") + 1).alias("n"), more.alias("sentence"), "evidence"))
+    # Documents that are cited are cut once each; claims come to them by their number, and texts aren't moved again.
+    evidence = answers.prepared(c.table("documents").select("doc_id", F.col("text").alias("evidence")).join(cited.select("doc_id").distinct(), "doc_id", "left_semi"))
+    claims = cited.join(asked, "item_id").select("item_id", "doc_id", (F.col("n") + 1).alias("n"), more.alias("sentence"))
+    found = answers.aligned(claims.join(evidence, "doc_id"))
     return found.select("item_id", "doc_id", "n", F.md5(F.col("receipt").cast("binary")).alias("receipt"), "support", "accepted", "reason")
 
 
