@@ -68,7 +68,7 @@ def substituted(text: Column, meanings: dict[str, str]) -> Column:
 LONGEST = 60
 # The months in English.
 MONTHS = "january february march april may june july august september october november december".split()
-_STOPPED, _UNSTOPPED = r"([.!?…]['\")\]]*)[ \t\r\n]+|\n[ \t\r]*\n", r"((?:[^ \t\r\n\x01]+[ \t\r\n]+){%d})" % LONGEST
+_STOPPED, _UNSTOPPED = r"([.!?…]['\")\]]*)[ \t\r\n]+|\n[ \t\r]*\n", r"((?:[^ \t\r\n\x01]++[ \t\r\n]++){%d})" % LONGEST
 _ENDINGS = "^(.{3,}?)(?:ing|ed|es|ly|s)$"
 _NAME, _QUOTED = r"[^\p{L}\p{N}.!?](\p{Lu}\p{L}+)", '"([^"]*[^" ] [^" ][^"]*)"'
 
