@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 
 LEAST_WORDS, LEAST_SUPPORT, LEAST_COVERAGE = 2, 0.70, 0.5
+#: Where a word begins and ends. The engines' own borders know different letters: noé is no word "no".
+BEGINS, ENDS = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 # The words that deny in English, and the ending of their contractions.
-NEGATION = r"(?i)\b(?:barely|cannot|hardly|lacks?|neither|never|no|nobody|none|nor|not|nothing|nowhere|scarcely|without)\b|n['’]t\b"
+NEGATION = rf"(?i){BEGINS}(?:barely|cannot|hardly|lacks?|neither|never|no|nobody|none|nor|not|nothing|nowhere|scarcely|without){ENDS}|n['’]t{ENDS}"
 
 
 def numbers(c: Column) -> Column:
@@ -68,6 +70,8 @@ def substituted(text: Column, meanings: dict[str, str]) -> Column:
 LONGEST = 60
 # The months in English.
 MONTHS = "january february march april may june july august september october november december".split()
+#: Of each month, patterns of its name and of a date in it.
+MONTH_FORMS = [(rf"{BEGINS}May{ENDS}" if m == "may" else rf"(?i){BEGINS}(?:{m}|{m[:3]}){ENDS}", rf"{BEGINS}[0-9]{{4}}-{i:02}-[0-9]{{2}}{ENDS}") for i, m in enumerate(MONTHS, 1)]
 _STOPPED, _UNSTOPPED = r"([.!?…]['\")\]]*)[ \t\r\n]+|\n[ \t\r]*\n", r"((?:[^ \t\r\n\x01]++[ \t\r\n]++){%d})" % LONGEST
 _ENDINGS = "^(.{3,}?)(?:ing|ed|es|ly|s)$"
 _NAME, _QUOTED = r"[^\p{L}\p{N}.!?](\p{Lu}\p{L}+)", '"([^"]*[^" ] [^" ][^"]*)"'
@@ -91,8 +95,7 @@ def plain_quotes(c: Column) -> Column:
 
 def months(c: Column, dates: bool) -> Column:
     """Numbers of the months that a text names, and with `dates` those of its dates as 2024-05-31. May is one as May only."""
-    named = [rf"\b{m.title()}\b" if m == "may" else rf"(?i)\b(?:{m}|{m[:3]})\b" for m in MONTHS]
-    found = [F.when(c.rlike(n) | (c.rlike(rf"\b[0-9]{{4}}-{i:02}-[0-9]{{2}}\b") if dates else F.lit(False)), i) for i, n in enumerate(named, 1)]
+    found = [F.when(c.rlike(n) | (c.rlike(d) if dates else F.lit(False)), i) for i, (n, d) in enumerate(MONTH_FORMS, 1)]
     return F.array_compact(F.array(*found))
 
 

@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import answers
+from brindle.queries import evidence, registry
 
 FAR = "The boiler was serviced on Monday. " + "Other things were said at length here. " * 20 + "Payment reached Leeds in autumn."
 LONG = "one two three four five six seven eight nine ten " * 30
@@ -38,6 +41,32 @@ def test_cases(spark):
     assert found[0]["receipt"] == "The boiler was serviced on Monday." and found[0]["support"] == 1.0
 
 
+#: Words that begin or end as a denial or a month does, beside real ones.
+BORDERS = ["noé wrote of the boiler", "the boiler of Sánchez is no", "ñno boiler is here", "no_one boiler", "They can’t", "they can’té stay", "Mayó is here", "in may", "mars, décembre", "on 2024-05-31é"]
+
+
+def test_word_borders_are_those_of_the_sql(spark):
+    duck = duckdb.connect()
+    rows = spark.createDataFrame([(s,) for s in BORDERS], "s string")
+    seen = rows.select(F.col("s").rlike(answers.NEGATION).alias("denies"), answers.months(F.col("s"), True).alias("months")).collect()
+    assert [r["denies"] for r in seen] == [duck.execute(f"SELECT {evidence.NEGATED % '?'}", [s]).fetchone()[0] for s in BORDERS]
+    assert [r["denies"] for r in seen] == [False, True, False, False, True, False, False, False, False, False]
+    assert [r["months"] for r in seen] == [[]] * 10
+
+
+def test_sql_of_aligned_has_all_tests(spark, tmp_path):
+    bench = ["The lease of the shop ends in June for all. The letter says \"us pay now\" to all tenants. We met on a day in May. It is noé of a boiler at home."]
+    docs = [(4, "The lease of the shop ends in May for all. We met on a day in May. The letter says \"pay us now\" to all tenants. It is noé of a boiler at home.")]
+    spark.createDataFrame([(1, t) for t in bench], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = registry.QUERIES["answer_aligned"](spark, str(tmp_path)).select("n", "receipt", "support", "reason").orderBy("n").collect()
+    assert [tuple(r) for r in got] == duck.execute(f"SELECT n, receipt, support, reason FROM ({registry.ORACLE_SQL['answer_aligned']}) ORDER BY n").fetchall()
+    assert [r["reason"] for r in got] == ["month", "quotation", None, None]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_windows_equal_brute_force(spark, seed):
     r = random.Random(seed)
