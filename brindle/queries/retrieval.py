@@ -197,8 +197,7 @@ PLACED = f"SELECT qid, id, rrf, sources, place FROM (SELECT *, row_number() OVER
 
 def _fused(c: Corpus):
     first = keyword.top(_scores(c).select("qid", "doc_id", "score"), 20).select("qid", F.col("doc_id").alias("id"), "rank")
-    counts = c.searches.join(keyword.postings_of(c, c.searches).select("term", "doc_id", "tf"), "term").groupBy("qid", "doc_id").agg(F.sum("tf").cast("double").alias("score"))
-    second = keyword.top(counts, 20).select("qid", F.col("doc_id").alias("id"), "rank")
+    second = keyword.top(keyword.counts(c, c.searches), 20).select("qid", F.col("doc_id").alias("id"), "rank")
     return ranking.placed(ranking.fuse([("keyword", first), ("words", second)]), 20)
 
 
