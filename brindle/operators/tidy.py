@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
@@ -50,6 +50,40 @@ def near_hashes(rows: DataFrame, most: int = NEAR_BITS) -> DataFrame:
     return copies.groupBy("grp", "r", "c").applyInPandas(pairs, "a long, b long, bits int")
 
 
+def reused(photos: DataFrame, most: int, within: int) -> DataFrame:
+    """(id, other, bits): for each picture the one of its group that is most like it, of equals the nearest in time, then
+    the least id; hashes differ in at most `most` bits and times by at most `within`. A picture with none has no row.
+
+    photos: (grp, id, h, at). Equal hashes are one class and only classes are paired; of a class, pictures of one
+    time are one cell, and a lone picture looks at the cell before it and the one after it in each class that is near,
+    so that what is shuffled grows with pictures and not with their pairs. Rows without a hash or a time take no part.
+    """
+    own = Window.partitionBy("grp", "h", "at").orderBy("id")
+    placed = photos.filter("h is not null and at is not null").select("grp", "h", "at", "id", F.first("id").over(own).alias("first"), F.lead("id").over(own).alias("next"))
+    other = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("next"))
+    placed = kept(placed.select("grp", "h", "at", "id", (F.col("id") == F.col("first")).alias("leads"), other.alias("other")), "placed")
+    at_once = placed.filter("other is not null").select("id", F.struct(F.lit(0).alias("bits"), F.lit(0).cast("long").alias("gap"), "other").alias("m"))
+    cell = F.struct("at", F.col("id").alias("other"))
+    beside = Window.partitionBy("grp", "h").orderBy("at")
+    cells = placed.filter("leads").select("grp", "h", "at", "id", F.col("other").isNull().alias("alone"))
+    same = cells.select("id", "at", "alone", F.lit(0).alias("bits"), F.array(F.lag(cell).over(beside), F.lead(cell).over(beside)).alias("near")).filter("alone")
+    classes = kept(cells.groupBy("grp", "h").agg(F.min("id").alias("id")), "classes")
+    side = lambda i, h: classes.select("grp", F.col("id").alias(i), F.col("h").alias(h))
+    pairs = near_hashes(classes, most).join(side("a", "x"), "a").join(side("b", "y").drop("grp"), "b")
+    pairs = kept(pairs.select("grp", F.explode(F.array(F.struct(F.col("x").alias("h"), F.col("y").alias("to")), F.struct(F.col("y").alias("h"), F.col("x").alias("to")))).alias("p"), "bits").select("grp", "p.*", "bits"), "classpairs")
+    asked = cells.filter("alone").join(pairs, ["grp", "h"]).select("grp", "h", "to", "bits", "at", "id", F.lit(None).cast("struct<at:bigint,other:bigint>").alias("cell"))
+    offered = cells.select("grp", F.col("h").alias("to"), "at", cell.alias("cell")).join(pairs, ["grp", "to"])
+    offered = offered.select("grp", "h", "to", "bits", "at", F.lit(None).cast("long").alias("id"), "cell")
+    of_pair = Window.partitionBy("grp", "h", "to")
+    last = lambda *by: F.last("cell", ignorenulls=True).over(of_pair.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = asked.unionByName(offered).select("id", "at", "bits", F.array(last(F.asc("at"), F.col("id").asc_nulls_first()), last(F.desc("at"), F.col("id").asc_nulls_first())).alias("near")).filter("id is not null")
+    found = same.drop("alone").unionByName(met).select("id", "at", "bits", F.explode("near").alias("n")).filter("n is not null")
+    gap = F.abs(F.col("at") - F.col("n.at"))
+    found = found.filter(gap <= within).select("id", F.struct("bits", gap.alias("gap"), F.col("n.other").alias("other")).alias("m"))
+    best = at_once.unionByName(found).groupBy("id").agg(F.min("m").alias("m"))
+    return best.select("id", F.col("m.other").alias("other"), F.col("m.bits").alias("bits"))
+
+
 def greedy_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, cluster): in order of id, a row joins the first earlier representative that it is near to, or is one.
 

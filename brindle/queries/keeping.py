@@ -289,15 +289,7 @@ def hash_distance(c: Corpus):
 
 @query("photo_reuse", f"SELECT id, other, bits FROM (SELECT a.id, b.id AS other, CAST(bit_count(xor(a.h, b.h)) AS INT) AS bits, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.h, b.h)), abs(a.taken_at_ns - b.taken_at_ns), b.id) AS r FROM ({PHOTOS}) a JOIN ({PHOTOS}) b ON a.parent_dir = b.parent_dir AND a.id <> b.id AND abs(a.taken_at_ns - b.taken_at_ns) <= {200 * DAY_NS} AND bit_count(xor(a.h, b.h)) < 8) WHERE r = 1")
 def photo_reuse(c: Corpus):
-    # Near pairs of a folder come from blocks; what is left of them is held against the time between.
-    p = _photos(c)
-    pairs = tidy.near_hashes(p.select(F.col("parent_dir").alias("grp"), "id", "h"), 7)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "bits").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "bits"))
-    when = p.select("id", "taken_at_ns")
-    met = both.join(when, "id").join(when.select(F.col("id").alias("other"), F.col("taken_at_ns").alias("then")), "other")
-    gap = F.abs(F.col("taken_at_ns") - F.col("then"))
-    near = met.filter(gap <= 200 * DAY_NS).groupBy("id").agg(F.min(F.struct("bits", gap.alias("gap"), "other")).alias("m"))
-    return near.select("id", F.col("m.other").alias("other"), F.col("m.bits").alias("bits"))
+    return tidy.reused(_photos(c).select(F.col("parent_dir").alias("grp"), "id", "h", F.col("taken_at_ns").alias("at")), 7, 200 * DAY_NS)
 
 
 @query("reverse_image", f"SELECT id, CASE WHEN bit_count(xor(h, q)) <= 16 THEN 'exact' ELSE 'similar' END AS label FROM ({PHOTOS}), (SELECT h AS q FROM ({PHOTOS}) ORDER BY id LIMIT 1)")
