@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.columns import given, named
+from brindle.llm.columns import given, named, quoted
 from brindle.llm.scratch import bound_batches
 
 #: Fixed value: the split that the public byte-level vocabulary was made with.
@@ -253,15 +253,19 @@ def encoded(text: Column, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(path)
         for batch in batches:
-            found = [bpe.encode_batch(run) for run in _runs(batch)]
-            counts = np.concatenate([c for _, c in found]) if found else np.empty(0, np.int64)
-            flat = np.concatenate([i for i, _ in found]) if found else np.empty(0, np.int32)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+            yield _ids_of(bpe, batch)
 
     return encode(text)
 
 
+def _ids_of(bpe: ByteBPE, batch: pa.Array) -> pa.ListArray:
+    found = [bpe.encode_batch(run) for run in _runs(batch)]
+    counts = np.concatenate([c for _, c in found]) if found else np.empty(0, np.int64)
+    flat = np.concatenate([i for i, _ in found]) if found else np.empty(0, np.int32)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+
 def _rows(batch: pa.Array) -> Iterator[list[int]]:
     flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
     return (flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
@@ -279,6 +283,20 @@ def decoded(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
+def recoded(text: Column, path: str) -> Column:
+    """struct<ids, decoded>: the token ids of a text and the text that they decode to, by one worker instead of two in a row."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def recode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            ids = _ids_of(bpe, batch)
+            back = pa.array((text_of(bpe.token_bytes, row) for row in _rows(ids)), pa.string(), size=len(ids))
+            yield pa.StructArray.from_arrays([ids, back], ["ids", "decoded"])
+
+    return recode(text)
+
+
 def digested(ids: Column, path: str) -> Column:
     """SHA-256 of the decimal ids, comma-joined, and of the text that the ids decode to."""
 
@@ -307,6 +325,15 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return docs.withColumn(text, decoded(F.col(ids), path))
 
 
+def recode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """docs with `ids` and `back`, as decode(encode(docs)) gives them."""
+    bound_batches(docs.sparkSession)
+    made = recoded(F.col(quoted(text)), path)
+    rest = [c for c in docs.columns if c.lower() not in (ids.lower(), back.lower())]
+    out = docs.select(given(docs, rest), made.alias("r"))
+    return out.select(*named(rest), F.col("r.ids").alias(ids), F.col("r.decoded").alias(back))
+
+
 def digests(encoded_docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256, which replace columns of
     those names; drops the ids."""

@@ -116,6 +116,10 @@ def test_bpe(docs, empty, messy):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert got[i] == (ids, library.decode(ids, skip_special_tokens=False)), i
     assert bpe.encode(empty, PATH).count() == 0 and bpe.encode(messy, PATH).count() == messy.count()
+    once = bpe.recode(docs, PATH)
+    assert once._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # one worker a task
+    assert by_id(once, "ids", "decoded") == got and bpe.recode(empty, PATH).count() == 0
+    assert bpe.recode(messy, PATH).columns == [*[c for c in messy.columns if c.lower() not in ("ids", "decoded")], "ids", "decoded"]
 
 
 def test_bpe_on_random_words(spark):
