@@ -230,15 +230,15 @@ def meeting(hot_rows: int):
     return meet
 
 
-def sure_runs(at: np.ndarray, src: np.ndarray, ahead: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """(start, stop, src, ahead) of maximal runs of bytes that sure anchors of one source and distance cover."""
-    order = np.lexsort((at, ahead, src))
-    at, src, ahead = at[order], src[order], ahead[order]
-    start, stop = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, n)
-    new = np.append(True, (src[1:] != src[:-1]) | (ahead[1:] != ahead[:-1]) | (start[1:] > stop[:-1]))[: len(at)]
-    first = np.flatnonzero(new)
+def sure_runs(text: np.ndarray, at: np.ndarray, src: np.ndarray, ahead: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, stop, src, ahead) of maximal runs of bytes that sure anchors of one text, source and distance cover."""
+    order = np.lexsort((at, ahead, src, text))
+    text, at, src, ahead = text[order], at[order], src[order], ahead[order]
+    start, stop = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, size[text])
+    same = (text[1:] == text[:-1]) & (src[1:] == src[:-1]) & (ahead[1:] == ahead[:-1])
+    first = np.flatnonzero(np.append(True, ~same | (start[1:] > stop[:-1]))[: len(at)])
     last = np.append(first[1:], len(at)) - 1
-    return start[first], stop[last], src[first], ahead[first]
+    return text[first], start[first], stop[last], src[first], ahead[first]
 
 
 CUT = "grp long, blob binary, src long, runs binary, hot binary, doc_id long, stamp long, start long"
@@ -267,24 +267,23 @@ def cut_rows(groups: int, turn: int):
             ids, found = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_pylist()
             for first, raw, bounds in hashing.pieces(batch.column(1)):
                 data = _turned(raw, turn)
-                own, rows, open_, runs = _stamp(hashing.prefix_hashes(data), bounds), [], [], []
-                for t in range(len(bounds) - 1):
-                    n, open_now = int(bounds[t + 1] - bounds[t]), []
-                    for part in found[first + t]:
-                        if part["stamp"] != own[t]:
-                            continue
-                        at, kind = np.frombuffer(part["at"], "<u4").astype(np.int64), np.frombuffer(part["sure"], "u1")
-                        open_now.append(at[kind == OPEN])
-                        if (s := kind == SURE).any():
-                            a, b, src, ahead = sure_runs(at[s], np.frombuffer(part["src"], "<i8")[s], np.frombuffer(part["ahead"], "<i4")[s].astype(np.int64), n)
-                            runs.append((bounds[t] + a, b - a, a + ahead, src))
-                        begin = (at[kind == HOT][:, None] - np.arange(SIDE + 1)).ravel()
-                        for a in (bounds[t] + np.unique(begin[(begin >= 0) & (begin + LENGTH <= n)])).tolist():
-                            rows.append((*[None] * 4, raw[a : a + LENGTH].tobytes(), int(ids[first + t]), int(own[t]), int(a - bounds[t])))
-                    open_.append(open_now)
-                if runs:
-                    rows += [(None, None, src, blob, *[None] * 4) for src, blob in packed_runs(raw, *(np.concatenate([r[i] for r in runs]) for i in range(4)))]
-                rows += [(g, blob, *[None] * 6) for g, blob in context(ids[first : first + len(own)], own, data, bounds, open_)]
+                own, rows, size = _stamp(hashing.prefix_hashes(data), bounds), [], np.diff(bounds)
+                # The parts of all texts at once: a text has one from each group that its anchors met in.
+                parts = [(t, part) for t, stamp in enumerate(own.tolist()) for part in found[first + t] if part["stamp"] == stamp]
+                text = np.repeat(np.array([t for t, _ in parts], np.int64), np.array([len(p["sure"]) for _, p in parts], np.int64))
+                joined = lambda name, kind: np.frombuffer(b"".join(p[name] for _, p in parts), kind).astype(np.int64)  # noqa: B023, E731
+                at, kind, src, ahead = joined("at", "<u4"), joined("sure", "u1"), joined("src", "<i8"), joined("ahead", "<i4")
+                if (hot := kind == HOT).any():
+                    begin = at[hot][:, None] - np.arange(SIDE + 1)
+                    inside = (begin >= 0) & (begin + LENGTH <= size[text[hot]][:, None])
+                    places = np.unique((bounds[text[hot]][:, None] + begin)[inside])
+                    of = np.searchsorted(bounds, places, side="right") - 1
+                    rows += [(*[None] * 4, raw[a : a + LENGTH].tobytes(), int(ids[first + t]), int(own[t]), int(a - bounds[t])) for a, t in zip(places.tolist(), of.tolist(), strict=True)]
+                if (sure := kind == SURE).any():
+                    t, a, b, src, ahead = sure_runs(text[sure], at[sure], src[sure], ahead[sure], size)
+                    rows += [(None, None, k, blob, *[None] * 4) for k, blob in packed_runs(raw, bounds[t] + a, b - a, a + ahead, src)]
+                open_ = kind == OPEN
+                rows += [(g, blob, *[None] * 6) for g, blob in context(ids[first : first + len(own)], own, data, bounds, text[open_], at[open_])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -295,12 +294,10 @@ def context_rows(groups: int):
     """A function of the ids, stamps and bytes of some texts and of their open anchors: (group, blob) of the
     anchors with the bytes around them."""
 
-    def work(ids: np.ndarray, own: np.ndarray, data: np.ndarray, bounds: np.ndarray, open_: list[list]) -> Iterator[tuple[int, bytes]]:
-        found = [np.concatenate(o) if o else np.empty(0, np.int64) for o in open_]
-        text = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    def work(ids: np.ndarray, own: np.ndarray, data: np.ndarray, bounds: np.ndarray, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
         if not len(text):
             return
-        at = np.concatenate(found) + bounds[text]
+        at = at + bounds[text]
         left = np.minimum(at - bounds[text], SIDE)
         right = np.minimum(bounds[text + 1] - at, LENGTH)
         padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])

@@ -287,3 +287,12 @@ def test_budget_fitting():
         taken = mixing.fit_counts(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
         assert abs(sum(n * t for n, t in zip(lengths, taken, strict=True)) - budget) <= max(lengths)
+
+
+def test_runs_of_one_source_are_joined_over_parts():
+    import numpy as np
+
+    x = lambda *v: np.array(v, np.int64)
+    # Two anchors of text 0 that met in different groups overlap; one of text 1, one of another source and one of another distance don't join.
+    got = suffix_dedup.sure_runs(x(0, 1, 0, 0, 0), x(100, 100, 30, 100, 100), x(7, 7, 7, 8, 7), x(5, 5, 5, 5, 6), x(120, 400))
+    assert sorted(zip(*(c.tolist() for c in got), strict=True)) == [(0, 4, 120, 7, 5), (0, 74, 120, 7, 6), (0, 74, 120, 8, 5), (1, 74, 150, 7, 5)]
