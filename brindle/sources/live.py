@@ -59,7 +59,7 @@ class LiveIndex:
         own = {
             "files": lambda: c.files,
             "lengths": lambda: c.lengths,
-            "postings": lambda: c.postings,
+            "postings": lambda: c.store.table("postings", c.posting_rows, "b"),
             "passages": lambda: c.store.table("passages", lambda: passages(c)),
             "tags": lambda: c.store.table("tags", lambda: c.file_tags),
             "vectors": lambda: c.store.table("vectors", lambda: vectors_of(c)),
