@@ -103,7 +103,7 @@ def spelling_suggest(c: Corpus):
 def number_variants(c: Corpus):
     typed = ["5,556,869", "6,869", "2,373", "6,210"]
     forms = [f for t in typed for f in number_forms(t) if f.isalnum()]
-    return keyword.postings_of_words(c, forms).groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    return keyword.counts_of_words(c, forms).groupBy("doc_id").agg(F.sum("tf").alias("n"))
 
 
 @query("filename_search", "SELECT id, 10 * CAST(contains(lower(regexp_extract(path, '[^/]*$')), 'doc_1') AS INT) + CAST(contains(lower(parent_dir), 'src1') AS INT) AS score FROM files WHERE contains(lower(regexp_extract(path, '[^/]*$')), 'doc_1') OR contains(lower(parent_dir), 'src1') ORDER BY score DESC, id LIMIT 50")

@@ -103,6 +103,10 @@ class LiveCorpus(Corpus):
         super().__init__(index.corpus.spark, index.corpus.sf_dir)
         self._index, self.at = index, at
 
+    @property
+    def indexed(self) -> bool:
+        return True
+
     @property
     def buckets(self) -> int:
         return self._index.corpus.buckets
