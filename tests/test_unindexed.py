@@ -24,7 +24,7 @@ def rows(df):
     return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["number_variants"])
+@pytest.mark.parametrize("name", ["number_variants", "bm25_prefix"])
 def test_rows_are_those_of_the_index_and_none_is_written(spark, folder, name):
     found = QUERIES[name](spark, folder)
     first = rows(found)
