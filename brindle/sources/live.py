@@ -107,6 +107,10 @@ class LiveCorpus(Corpus):
     def indexed(self) -> bool:
         return True
 
+    @property
+    def listed(self) -> bool:
+        return True
+
     @property
     def buckets(self) -> int:
         return self._index.corpus.buckets

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import text as T
 from brindle.operators import keyword
+from brindle.plans.search import forms
 from brindle.queries.all import QUERIES
 from brindle.sources.corpus import Corpus
 
@@ -24,7 +26,7 @@ def rows(df):
     return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["number_variants", "bm25_prefix"])
+@pytest.mark.parametrize("name", ["number_variants", "bm25_prefix", "search_wildcard"])
 def test_rows_are_those_of_the_index_and_none_is_written(spark, folder, name):
     found = QUERIES[name](spark, folder)
     first = rows(found)
@@ -47,3 +49,13 @@ def test_words_of_texts_are_counted_as_in_the_postings(spark, folder):
     assert c.indexed
     assert {k: rows(keyword.counts_where(c, *how)) for k, how in asked.items()} == plain and plain["all"] and not plain["none"]
     assert [rows(keyword.counts_of_words(c, ws)) for ws in (["the", "été"], WORDS, [])] == words
+
+
+def test_patterns_stand_for_the_same_words_without_a_vocabulary(spark, folder):
+    c = Corpus(spark, folder)
+    patterns = ["lic*", "*lic*e", "l?ce", "*É*", "x?8*9", "li*zz*", "L*-e", "?i"]
+    plain = [forms(c, p) for p in patterns]
+    assert not c.listed and plain[0] and plain[1] and plain[2] and plain[4] == [("x6869",)]
+    assert rows(c.vocabulary) and c.listed
+    assert [forms(Corpus(spark, folder), p) for p in patterns] == plain
+    assert [T.glob_piece(p) for p in ("lic*e", "?a*bcd*", "*_*", "a-bc")] == ["lic", "bcd", "", "bc"]
