@@ -52,7 +52,7 @@ def bm25_filtered(c: Corpus):
 
 @query("bm25_not", "SELECT DISTINCT doc_id FROM postings WHERE term = 'the' AND doc_id NOT IN (SELECT doc_id FROM postings WHERE term = 'license')")
 def bm25_not(c: Corpus):
-    has = lambda w: keyword.postings_of_words(c, [w]).select("doc_id")
+    has = lambda w: keyword.counts_of_words(c, [w]).select("doc_id")
     return has("the").join(has("license"), "doc_id", "left_anti").distinct()
 
 
@@ -84,7 +84,7 @@ def unmatched_terms(c: Corpus):
 
 @query("wildcard_expand", "SELECT term, count(*) AS df FROM postings WHERE regexp_matches(term, '^th.*ing$') GROUP BY term ORDER BY df DESC, term LIMIT 200")
 def wildcard_expand(c: Corpus):
-    return c.vocabulary.filter(F.col("term").rlike(T.glob_regex("th*ing"))).orderBy(F.desc("df"), "term").limit(200)
+    return keyword.globbed(c, "th*ing").orderBy(F.desc("df"), "term").limit(200)
 
 
 SPELL = r"""WITH w AS (SELECT DISTINCT substr(term, 1, length(term) - 1) AS word FROM searches WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z]+$')), v AS (SELECT term, count(*) AS df FROM postings GROUP BY term),

@@ -11,7 +11,7 @@ from brindle.plans.search import forms
 from brindle.queries.all import QUERIES
 from brindle.sources.corpus import Corpus
 
-WORDS = ["licence", "License", "LICENSED", "licen", "unlicensed", "lic", "lice", "5556869", "6869", "x6869", "2373", "the", "été", "İlicense", "liÇe", "Klice"]
+WORDS = ["licence", "License", "LICENSED", "licen", "unlicensed", "lic", "lice", "5556869", "6869", "x6869", "2373", "the", "été", "İlicense", "liÇe", "Klice", "thing", "Thwarting", "und", "Under", "andAnOr", "and", "an", "or"]
 
 
 @pytest.fixture
@@ -26,7 +26,7 @@ def rows(df):
     return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["number_variants", "bm25_prefix", "search_wildcard"])
+@pytest.mark.parametrize("name", ["number_variants", "bm25_prefix", "search_wildcard", "wildcard_expand", "search_interim", "bm25_not", "identifier_terms"])
 def test_rows_are_those_of_the_index_and_none_is_written(spark, folder, name):
     found = QUERIES[name](spark, folder)
     first = rows(found)
