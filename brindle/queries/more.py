@@ -218,7 +218,8 @@ def entity_cooccurrence_pmi(c: Corpus):
 
 @query("token_cost", "SELECT doc_id, round(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: greatest(1.35, length(w) / 4.0))), 4) AS cost FROM documents".replace("\\\\", "\\"))
 def token_cost(c: Corpus):
-    return c.table("documents").select("doc_id", F.round(T.token_cost(F.col("text")), 4).alias("cost"))
+    # Rounded as SQL does: the sums of texts of over a million words can lie halfway.
+    return c.table("documents").select("doc_id", (F.round(T.token_cost(F.col("text")) * 10000) / 10000).alias("cost"))
 
 
 @query("identifier_split", r"SELECT p_partkey, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda w: length(w) >= 2) AS parts FROM (SELECT p_partkey, 'getHTTPName' || p_partkey || '_' || p_brand AS n FROM part)")
